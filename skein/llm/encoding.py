@@ -51,7 +51,7 @@ _LETTERS[[c for c in range(0x530) if chr(c).isalpha()]] = True
 def pieces(text: str, chunk: int = CHUNK) -> list[str]:
     """The chunks and repaired joins of a text; joined they are the text, encoded apart they give its ids."""
     n = len(text)
-    if n <= chunk // 2:
+    if n <= max(WINDOW, chunk // 2):
         return [text] if n else []
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     sure = np.flatnonzero((codes[1:] == 32) & _LETTERS[np.minimum(codes[:-1], 0x52F)] & (codes[:-1] < 0x530)) + 1
