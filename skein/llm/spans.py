@@ -3,13 +3,15 @@
 The paragraphs of a text are all its runs of ``SPAN`` characters.  A paragraph's shingles are its runs of
 ``GRAM`` characters and its signature is the shingle of least hash (ties: the last).  One band of one row has
 full recall here, since equal paragraphs have equal signatures; neighbouring paragraphs mostly share theirs, so
-a text has about one signature in 50 characters.  Paragraphs whose signature occurs in two different texts are
-verified: their whole content is compared by two 64-bit rolling hashes, independent of the signature.
+a text has about one signature in 50 characters.  Signatures that occur in two different texts or more collide, and their paragraphs are verified:
 
-Equal texts are one class from the start.  Classes that share paragraphs are paired at the first paragraph of
-every maximal common run only: where two classes have the same paragraph and their preceding paragraphs are
-the same too, the pair is left to these.  A passage shared by many records so makes one row a pair, as the
-result asks, and a signature shared without a whole paragraph makes none.
+* a signature of at most ``FEW`` places by comparing, two by two, the characters round it;
+* a more frequent one by two 64-bit rolling hashes of each whole paragraph, which are then joined.
+
+Equal texts are one class from the start.  Frequent paragraphs pair classes only at the first paragraph of a
+common run: where two classes have the same paragraph and their preceding paragraphs are the same too, the pair
+is left to these.  A passage shared by many records so makes one row a pair, as the result asks, and a frequent
+signature without a common paragraph makes none.
 
 Texts are compared exactly as stored, by code points.  Texts that are null or shorter than ``SPAN`` share
 nothing.  Empty input gives no rows.  Extra columns are ignored.
@@ -21,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
 from skein.runtime import cut, table
 
-#: Characters of a paragraph and of a shingle.
-SPAN, GRAM = 200, 100
+#: Characters of a paragraph and of a shingle; places of a signature that are compared two by two.
+SPAN, GRAM, FEW = 200, 100, 16
 
 
 def _codes(text: str) -> np.ndarray:
@@ -105,50 +107,94 @@ def _signed(span: int, gram: int):
 
 
 def _verified(span: int, gram: int):
+    """Contexts of the few-fold signatures, paragraphs of the many-fold ones."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, text, few, many in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 codes = _codes(text)
-                place, _ = signatures(codes, span, gram)
-                at = np.flatnonzero(np.isin(place, wanted))
-                h1, h2 = rolling(codes, span, 2).view(np.int64), rolling(codes, span, 3).view(np.int64)
-                first = at == 0
-                before = np.maximum(at - 1, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(h1[at]), pa.array(h2[at]), pa.array(h1[before], mask=first), pa.array(h2[before], mask=first)],
-                    ["cls", "start", "h1", "h2", "b1", "b2"],
-                )
+                place, h = signatures(codes, span, gram)
+                few = np.array(few, np.int64)
+                lead, tail = np.minimum(few, span - gram), np.minimum(len(codes) - few - gram, span - gram)
+                if len(few):
+                    before = [text[p - a : p][::-1] for p, a in zip(few.tolist(), lead.tolist())]
+                    after = [text[p : p + gram + b] for p, b in zip(few.tolist(), tail.tolist())]
+                    none = pa.nulls(len(few), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(few), pa.binary()), pa.array(few.astype(np.int32)), pa.array(h[few].view(np.int64)), none, none, pa.array(before, pa.string()), pa.array(after, pa.string())], _COLUMNS
+                    )
+                at = np.flatnonzero(np.isin(place, many))
+                if len(at):
+                    h1, h2 = rolling(codes, span, 2).view(np.int64), rolling(codes, span, 3).view(np.int64)
+                    none = pa.nulls(len(at), pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(h1[at]), pa.array(h2[at]), pa.array((h1 ^ (h2 << 1))[np.maximum(at - 1, 0)], mask=at == 0), none, none], _COLUMNS
+                    )
 
     return verify
 
 
-def shared_paragraphs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(cls, start, h1, h2, b1, b2) of the paragraphs in two different texts or more; (cls, doc_id, n_chars)."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span).select(F.unhex(F.md5("text")).alias("cls"), "doc_id", "text")
-    members = texts.select("cls", "doc_id", F.length("text").alias("n_chars"))
-    signed = cut(texts.select("cls", "text").mapInArrow(_signed(span, gram), "cls binary, h bigint, place int").distinct())
-    several = signed.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h")
-    wanted = signed.join(several, "h").groupBy("cls").agg(F.collect_set("place").alias("places"))
-    one = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    asked = cut(wanted.join(one, "cls").select("cls", "doc_id", "places"))
-    paragraphs = cut(texts.drop("cls").join(asked, "doc_id").select("cls", "text", "places").mapInArrow(_verified(span, gram), "cls binary, start int, h1 bigint, h2 bigint, b1 bigint, b2 bigint"))
-    common = paragraphs.groupBy("h1", "h2").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h1", "h2")
-    return paragraphs.join(common, ["h1", "h2"]), members
-
-
-def _class_pairs(paragraphs: DataFrame) -> DataFrame:
-    """(cls1, cls2) of different classes with a common paragraph."""
-    starts = paragraphs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.count("b1").alias("inner"), F.min(F.struct("b1", "b2")).alias("lo"), F.max(F.struct("b1", "b2")).alias("hi")).where("inner < n or lo <> hi").select("h1", "h2")
-    p = paragraphs.join(starts, ["h1", "h2"]).groupBy("h1", "h2", "b1", "b2", "cls").agg(F.lit(1).alias("one"))
-    left, right = p.select("h1", "h2", "b1", "b2", F.col("cls").alias("cls1")), p.select("h1", "h2", F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("cls").alias("cls2"))
-    return left.join(right, ["h1", "h2"]).where("cls1 < cls2 and (b1 is null or c1 is null or b1 <> c1 or b2 <> c2)").select("cls1", "cls2").distinct()
+_COLUMNS = ["cls", "start", "h1", "h2", "before", "left", "right"]
+
+
+def common_prefix(a: str, b: str, most: int) -> Column:
+    """Characters that two string columns have in common from their begin, up to ``most``, by halving."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+    longer = lambda n, s: F.when((n + s <= F.least(F.length(a), F.length(b))) & (F.substr(a, F.lit(1), n + s) == F.substr(b, F.lit(1), n + s)), n + s).otherwise(n)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), longer)
+
+
+class Shared:
+    """What texts share: ``members`` (cls, doc_id, n_chars) of the classes of equal texts, ``few`` pairs of classes
+    (cls1, start1, cls2, start2, r, l) by a signature of at most ``FEW`` places, ``many`` (cls, start, h1, h2, before)
+    the verified paragraphs of more frequent signatures."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, span: int = SPAN, gram: int = GRAM, few: int = FEW) -> None:
+        self.span, self.gram = span, gram
+        texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span).select(F.unhex(F.md5("text")).alias("cls"), "doc_id", "text")
+        self.members = texts.select("cls", "doc_id", F.length("text").alias("n_chars"))
+        signed = cut(texts.select("cls", "text").mapInArrow(_signed(span, gram), "cls binary, h bigint, place int").distinct())
+        several = signed.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n")).where("a <> b").select("h", (F.col("n") <= few).alias("few"))
+        at = lambda kind: F.collect_list(F.when(F.col("few") == kind, F.col("place")))
+        wanted = signed.join(several, "h").groupBy("cls").agg(at(True).alias("few"), at(False).alias("many"))
+        one = self.members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        asked = wanted.join(one, "cls").select("cls", "doc_id", "few", "many")
+        kinds = "cls binary, start int, h1 bigint, h2 bigint, before bigint, left string, right string"
+        rows = cut(texts.drop("cls").join(asked, "doc_id").select("cls", "text", "few", "many").mapInArrow(_verified(span, gram), kinds))
+        self.few = self._compared(rows.where("right is not null"))
+        self.many = rows.where("right is null").select("cls", "start", "h1", "h2", "before")
+
+    def _compared(self, rows: DataFrame) -> DataFrame:
+        """Pairs of places of one signature with a common span: ``l`` characters before and ``r`` from the place on."""
+        side = lambda i: rows.select("h1", *[F.col(c).alias(f"{c}{i}") for c in ("cls", "start", "left", "right")])
+        pairs = side(1).join(side(2), "h1").where("cls1 < cls2")
+        r, l = common_prefix("right1", "right2", 2 * self.span), common_prefix("left1", "left2", self.span)
+        return pairs.select("cls1", "start1", "cls2", "start2", r.alias("r"), l.alias("l")).where((F.col("r") >= self.gram) & (F.col("l") + F.col("r") >= self.span))
+
+    def class_pairs(self) -> DataFrame:
+        """(cls1, cls2) of different classes with a common paragraph."""
+        key = ["h1", "h2"]
+        starts = self.many.groupBy(*key).agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n"), F.count("before").alias("inner"), F.min("before").alias("lo"), F.max("before").alias("hi"))
+        p = self.many.join(starts.where("a <> b and (inner < n or lo <> hi)").select(*key), key).select(*key, "before", "cls").distinct()
+        left, right = p.select(*key, F.col("before").alias("before1"), F.col("cls").alias("cls1")), p.select(*key, F.col("before").alias("before2"), F.col("cls").alias("cls2"))
+        met = left.join(right, key).where("cls1 < cls2 and (before1 is null or before2 is null or before1 <> before2)")
+        return met.select("cls1", "cls2").unionByName(self.few.select("cls1", "cls2")).distinct()
+
+    def covered(self) -> DataFrame:
+        """(cls, covered): characters of each class that other classes hold too, by the union of its intervals."""
+        common = self.many.groupBy("h1", "h2").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h1", "h2")
+        spans = self.many.join(common, ["h1", "h2"]).select("cls", F.col("start").alias("lo"), (F.col("start") + self.span).alias("hi"))
+        for i in (1, 2):
+            spans = spans.unionByName(self.few.select(F.col(f"cls{i}").alias("cls"), (F.col(f"start{i}") - F.col("l")).alias("lo"), (F.col(f"start{i}") + F.col("r")).alias("hi")))
+        once = spans.groupBy("cls", "lo").agg(F.max("hi").alias("hi"))
+        upto = F.max("hi").over(Window.partitionBy("cls").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+        return once.select("cls", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(upto, F.lit(0)))).alias("gain")).groupBy("cls").agg(F.sum("gain").alias("covered"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    paragraphs, members = shared_paragraphs(table(spark, d, "documents"), "doc_id", "text")
-    pairs = _class_pairs(paragraphs)
-    one, two = members.select(F.col("cls").alias("cls1"), F.col("doc_id").alias("x")), members.select(F.col("cls").alias("cls2"), F.col("doc_id").alias("y"))
-    across = pairs.join(one, "cls1").join(two, "cls2").select(F.least("x", "y").alias("doc_id1"), F.greatest("x", "y").alias("doc_id2"))
+    shared = Shared(table(spark, d, "documents"), "doc_id", "text")
+    one, two = (shared.members.select(F.col("cls").alias(f"cls{i}"), F.col("doc_id").alias(c)) for i, c in ((1, "x"), (2, "y")))
+    across = shared.class_pairs().join(one, "cls1").join(two, "cls2").select(F.least("x", "y").alias("doc_id1"), F.greatest("x", "y").alias("doc_id2"))
     copies = one.join(two, F.col("cls1") == F.col("cls2")).where("x < y").select(F.col("x").alias("doc_id1"), F.col("y").alias("doc_id2"))
     return across.unionByName(copies)
 
@@ -156,15 +202,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """For every document with shared passages: its characters, how many of them other documents hold too, and
     the smallest doc_id of the documents it is connected to by shared passages."""
-    paragraphs, members = shared_paragraphs(table(spark, d, "documents"), "doc_id", "text")
-    paragraphs = cut(paragraphs)
-    after = F.lead("start").over(Window.partitionBy("cls").orderBy("start"))
-    covered = paragraphs.select("cls", "start").distinct().withColumn("gap", F.least(F.lit(SPAN), F.coalesce(after - F.col("start"), F.lit(SPAN)))).groupBy("cls").agg(F.sum("gap").alias("covered"))
-    classes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    links = _class_pairs(paragraphs).join(classes.select(F.col("cls").alias("cls1"), F.col("rep").alias("r1")), "cls1").join(classes.select(F.col("cls").alias("cls2"), F.col("rep").alias("r2")), "cls2").select("r1", "r2")
+    shared = Shared(table(spark, d, "documents"), "doc_id", "text")
+    classes = shared.members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
+    links = shared.class_pairs().join(classes.select(F.col("cls").alias("cls1"), F.col("rep").alias("r1")), "cls1").join(classes.select(F.col("cls").alias("cls2"), F.col("rep").alias("r2")), "cls2").select("r1", "r2")
     group = components(links, "r1", "r2").select(F.col("vertex").alias("rep"), "component")
-    whole = classes.join(covered, "cls", "left").join(group, "rep", "left").where("copies > 1 or covered is not null").select("cls", "copies", "covered", F.coalesce("component", "rep").alias("grp"))
-    return members.join(whole, "cls").select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("covered")).cast("bigint").alias("shared_chars"), "grp")
+    whole = classes.join(shared.covered(), "cls", "left").join(group, "rep", "left").where("copies > 1 or covered is not null").select("cls", "copies", "covered", F.coalesce("component", "rep").alias("grp"))
+    return shared.members.join(whole, "cls").select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("covered")).cast("bigint").alias("shared_chars"), "grp")
 
 
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}

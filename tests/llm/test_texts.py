@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from skein.llm.conversations import bare, conversations
 from skein.llm.encoding import Encoder, encode_texts, pieces, vocabulary_path
 from skein.llm.leaks import PassageIndex, leaks, words_of
-from skein.llm.spans import _class_pairs, _codes, shared_paragraphs, signatures
+from skein.llm.spans import Shared, _codes, signatures
 from pyspark.sql import functions as F
 
 
@@ -114,10 +114,20 @@ def test_shared_spans_against_brute_force(spark):
     docs += [(100, docs[0][1]), (101, docs[0][1]), (102, passages[3]), (103, None), (104, ""), (105, "z" * 500), (106, "z" * 39)]
     want = {(a, b) for a, x in docs for b, y in docs if a < b and x and y and any(x[s : s + 40] in y for s in range(len(x) - 39))}
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("cls", F.lit(1))
-    paragraphs, members = shared_paragraphs(df, "doc_id", "text", 40, 20)
-    ids = {}
-    for r in members.collect():
-        ids.setdefault(bytes(r.cls), []).append(r.doc_id)
-    got = {tuple(sorted((a, b))) for r in _class_pairs(paragraphs).collect() for a in ids[bytes(r.cls1)] for b in ids[bytes(r.cls2)]} | {(a, b) for x in ids.values() for a in x for b in x if a < b}
-    assert got == want and want
-    assert _class_pairs(shared_paragraphs(df.limit(0), "doc_id", "text")[0]).collect() == []
+    cover = {}
+    for a, x in docs:
+        if x and len(x) >= 40:
+            other = [y for b, y in docs if y and y != x]
+            at = {i for s in range(len(x) - 39) if any(x[s : s + 40] in y for y in other) for i in range(s, s + 40)}
+            if at:
+                cover[a] = len(at)
+    for few in (2, 5, 1000):
+        shared = Shared(df, "doc_id", "text", 40, 20, few)
+        ids = {}
+        for r in shared.members.collect():
+            ids.setdefault(bytes(r.cls), []).append(r.doc_id)
+        got = {tuple(sorted((a, b))) for r in shared.class_pairs().collect() for a in ids[bytes(r.cls1)] for b in ids[bytes(r.cls2)]} | {(a, b) for x in ids.values() for a in x for b in x if a < b}
+        assert got == want and want
+        assert {i: r.covered for r in shared.covered().collect() for i in ids[bytes(r.cls)]} == cover
+    empty = Shared(df.limit(0), "doc_id", "text")
+    assert empty.class_pairs().collect() == [] and empty.covered().collect() == []
