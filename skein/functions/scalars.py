@@ -154,13 +154,13 @@ def adjacent_pairs(words: Column | str, sources: Column | str, full: bool = Fals
 
 
 def tf_idf(cnt: Column | str, df: Column | str, n: float = SETTINGS.corpus_size) -> Column:
-    """(1 + ln cnt) * ln(n / df); 0 where df is above n."""
-    return (1 + F.log(col(cnt))) * F.when(col(df) <= n, F.log(F.lit(n) / col(df))).otherwise(0.0)
+    """(1 + ln cnt) * ln(n / df); 0 where df is above n, null where cnt or df is 0."""
+    return (1 + F.log(col(cnt))) * F.when(col(df) <= n, F.log(F.try_divide(F.lit(n), col(df)))).otherwise(0.0)
 
 
 def word_score(cnt: Column | str, n: float = SETTINGS.corpus_size) -> Column:
     """tf-idf of a word by its own count; negative for counts above n."""
-    return (1 + F.log(col(cnt))) * F.log(F.lit(n) / col(cnt))
+    return (1 + F.log(col(cnt))) * F.log(F.try_divide(F.lit(n), col(cnt)))
 
 
 def pair_distance(pair_cnt: Column | str, word_cnt: Column | str) -> Column:

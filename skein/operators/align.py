@@ -119,7 +119,7 @@ def align_topics(topics: DataFrame, bigrams: DataFrame, words: DataFrame) -> Dat
         rows = rows.sort_values(["source1", "word1", "source2", "word2"])
         path = best_path([Pair(*r) for r in rows[["source1", "word1", "source2", "word2", "distance"]].itertuples(index=False)], int(rows["size"].iloc[0]))
         if not path:
-            return pd.DataFrame({"centroid": [], "members": [], "sources": []})
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("centroid", "int64"), ("members", object), ("sources", object))})
         return pd.DataFrame({"centroid": [rows["centroid"].iloc[0]], "members": [[path[0].word1, *(p.word2 for p in path)]], "sources": [[path[0].source1, *(p.source2 for p in path)]]})
 
     many = inside.where("size > 1").groupBy("centroid").applyInPandas(search, "centroid bigint, members array<bigint>, sources array<bigint>")

@@ -161,5 +161,5 @@ SQL = {
     "x25_trend_classes": f"""with {_TR}, r as (select word_md5, round(trend, 3) t from tr) select word_md5, case when abs(t) >= 15 then 'strong' when abs(t) >= 3 then 'mild' else 'flat' end old_class,
   case when abs(t) >= 0.5 then 'strong' when abs(t) >= 0.1 then 'mild' else 'flat' end new_class, t > 0 grows from r""",
     "x26_labels": f"with {_H}, s as (select distinct hour::varchar h from h) select h::bigint as hour, substr(h, 7, 2) || '.' || substr(h, 5, 2) || ' ' || substr(h, 9, 2) || ':00' as label, 'hour=' || h || '&q=a+b' as link from s",
-    "x26_linked_texts": rf"with {fr.TW} select id, regexp_replace(tw_text, '(https?://[^\s<]+)', '<a href=\"\1\">\1</a>', 'g') html from tw where contains(tw_text, 'http')",
+    "x26_linked_texts": rf"""with {fr.TW} select id, regexp_replace(tw_text, '(https?://[^\s<]+)', '<a href="\1">\1</a>', 'g') html from tw where contains(tw_text, 'http')""",
 }

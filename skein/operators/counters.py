@@ -95,7 +95,7 @@ QUERIES = {
     "x3_windowed_pairs": lambda s, d: fr.word_lists(s, d).select("id", F.explode(windowed_pairs("words")).alias("p")).groupBy("id").agg(F.count("*").alias("pairs"), F.min(F.concat_ws(" ", "p.w1", "p.w2")).alias("least_pair")),
     "g14_pairs_with_time": lambda s, d: fr.word_lists(s, d).select("created_at", F.explode(windowed_pairs("words", 3)).alias("p")).groupBy("created_at", F.col("p.w1").alias("word1"), F.col("p.w2").alias("word2")).agg(F.count("*").alias("n")),
     "k2_added_counts": lambda s, d: added(s, d),
-    "d10_all_days": lambda s, d: fr.word_time(s, d).groupBy(F.floor(F.col("tenminute") / 100_000).cast("bigint").alias("day")).agg(F.sum("cnt").cast("bigint").alias("cnt"), F.count_distinct("word_md5").alias("words")),
+    "d10_all_days": lambda s, d: fr.word_time(s, d).groupBy(F.floor(F.col("tenminute") / 1000).cast("bigint").alias("day")).agg(F.sum("cnt").cast("bigint").alias("cnt"), F.count_distinct("word_md5").alias("words")),
     "g4_table_counts": lambda s, d: table(s, d, "post_cnt").agg(F.count("*").alias("n")).select(F.lit("post_cnt").alias("name"), "n").unionByName(table(s, d, "post_reply_cnt").agg(F.count("*").alias("n")).select(F.lit("post_reply_cnt").alias("name"), "n")),
     "streamed_word_hours": lambda s, d: streamed(s, d),
 }
@@ -142,7 +142,7 @@ select word1, word2, cnt, word1_cnt from d join w using (word1) where cnt / word
     "x3_windowed_pairs": f"with {fr.WL}, p as ({_pairs_sql('wl', 5, 'id')}) select id, count(*) pairs, min(w1 || ' ' || w2) least_pair from p group by 1",
     "g14_pairs_with_time": f"with {fr.WL}, p as ({_pairs_sql('wl', 3, 'created_at')}) select created_at, w1 word1, w2 word2, count(*) n from p group by all",
     "k2_added_counts": f"with {fr.WT} select word_md5, sum(cnt)::bigint cnt from wt group by 1",
-    "d10_all_days": f"with {fr.WT} select tenminute // 100000 as day, sum(cnt)::bigint cnt, count(distinct word_md5) words from wt group by 1",
+    "d10_all_days": f"with {fr.WT} select tenminute // 1000 as day, sum(cnt)::bigint cnt, count(distinct word_md5) words from wt group by 1",
     "g4_table_counts": "select 'post_cnt' as name, count(*) n from post_cnt union all select 'post_reply_cnt', count(*) from post_reply_cnt",
     "streamed_word_hours": f"with {fr.TW} select created_at // 10000 as hour, count(*) tweets from tw where created_at is not null group by 1",
 }

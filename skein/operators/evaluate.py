@@ -174,7 +174,7 @@ def _averages(s: SparkSession, d: str) -> DataFrame:
 
 def _intersection(s: SparkSession, d: str) -> DataFrame:
     """Words counted on both of two days, with both counts."""
-    c = fr.word_time(s, d).groupBy("word_md5", F.floor(F.col("tenminute") / 100_000).cast("bigint").alias("day")).agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    c = fr.word_time(s, d).groupBy("word_md5", F.floor(F.col("tenminute") / 1000).cast("bigint").alias("day")).agg(F.sum("cnt").cast("bigint").alias("cnt"))
     one = lambda x, n: c.where(F.col("day") == x).select("word_md5", F.col("cnt").alias(n))
     return one(20140308, "c1").join(one(20140309, "c2"), "word_md5")
 
@@ -215,5 +215,5 @@ select topic, any_value(total) total, round(regr_slope(-log2((n + 1)::double / (
     "g19_mark_table": f"with {_MK} select update_time, round(avg(dens), 6) topic_density, round(avg(rel), 6) topic_relevance, round(avg(spam), 6) spam, round(avg((dens > 3 and spam = 0)::int), 6) true_positive from p group by 1",
     "a24_distance_spread": f"with {fr.DIST} select round(avg(sim), 6) mean, round(stddev_pop(sim), 6) sd from dist",
     "a27_frequent_users": f"with {fr.TW} select username, count(*) n from tw where username is not null group by 1 order by 2 desc, 1 limit 10",
-    "j13_words_of_both_days": f"with {fr.WT}, c as (select word_md5, tenminute // 100000 as day, sum(cnt)::bigint cnt from wt group by all) select x.word_md5, x.cnt c1, y.cnt c2 from c x join c y on x.word_md5 = y.word_md5 where x.day = 20140308 and y.day = 20140309",
+    "j13_words_of_both_days": f"with {fr.WT}, c as (select word_md5, tenminute // 1000 as day, sum(cnt)::bigint cnt from wt group by all) select x.word_md5, x.cnt c1, y.cnt c2 from c x join c y on x.word_md5 = y.word_md5 where x.day = 20140308 and y.day = 20140309",
 }

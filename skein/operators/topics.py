@@ -53,7 +53,7 @@ def greedy_topics(sims: DataFrame, trend: DataFrame, seeds: int = SETTINGS.trend
             taken.update(near_)
             if total not in near_:
                 out.append((word, [word, *near_]))
-        return pd.DataFrame(out, columns=["centroid", "members"])
+        return pd.DataFrame({"centroid": pd.Series([c for c, _ in out], dtype="int64"), "members": pd.Series([m for _, m in out], dtype=object)})
 
     return rows.groupBy("one").applyInPandas(choose, "centroid bigint, members array<bigint>")
 
@@ -221,7 +221,7 @@ select word, array_to_string(n, ',') members, md5(array_to_string(n, ',')) membe
     "a28_cohesion": f"""with {_SYM}, lb as (select a word, least(a, b) label from (select *, row_number() over (partition by a order by sim, b) r from sy where sim < 2) where r = 1),
   n as (select count(*) n from lb), sz as (select label, count(*) size from lb group by 1),
   sm as (select x.label, sum(case when x.label = y.label then 1 - sim end) si, sum(case when x.label <> y.label then 1 - sim end) se from sy join lb x on x.word = a join lb y on y.word = b group by 1)
-select label, size, round(1 - coalesce(coalesce(si, 0) / nullif(size * (size - 1), 0), 0), 6) intra, round(1 - coalesce(coalesce(se, 0) / nullif(size * (n - size), 0), 0), 6) extra from sz, n left join sm using (label)""",
+select label, size, round(1 - coalesce(coalesce(si, 0) / nullif(size * (size - 1), 0), 0), 6) intra, round(1 - coalesce(coalesce(se, 0) / nullif(size * (n - size), 0), 0), 6) extra from sz cross join n left join sm using (label)""",
     "g10_published_words": f"with {_MEM} select id, count(*) n from mem where id is not null group by 1",
     "g11_words_of_pairs": f"with {fr.DIST} select a word from dist where sim < 0.45 union select b from dist where sim < 0.45",
 }

@@ -60,7 +60,7 @@ def slopes(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return (
         sums.withColumn("n", n)
         .withColumn("trend", slope)
-        .select(key, "trend", (F.col("y") * 100 / F.col("top") / F.col("n") - F.col("trend") * (F.col("n") + 1) / 2).alias("intercept"), (F.col("trend") * (F.col("n") - 1)).alias("delta"))
+        .select(key, "trend", (F.try_divide(F.col("y") * 100, F.col("top") * F.col("n")) - F.col("trend") * (F.col("n") + 1) / 2).alias("intercept"), (F.col("trend") * (F.col("n") - 1)).alias("delta"))
     )
 
 

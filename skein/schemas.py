@@ -37,7 +37,7 @@ _DDL = {
 
 #: Type names of nested values.
 MEMBER = "struct<id: bigint, text: string, stem_text: string, trend: double, post_cnt: bigint>"
-CLUSTER = f"struct<members: array<{MEMBER}>, members_len: int, members_md5: string, centroid_md5: string, centroid_text: string, unaligned: string, gen_title: string>"
+CLUSTER = f"members array<{MEMBER}>, members_len int, members_md5 string, centroid_md5 string, centroid_text string, unaligned string, gen_title string"
 FACT = "struct<noun: string, noun_lemma: string, prep: string, prep_lemma: string, noun_id: string, prep_id: string, lead_id: string, is_hash_tag: boolean, is_person_name: boolean, is_number: boolean>"
 MARKS = "array<map<string, string>>"
 

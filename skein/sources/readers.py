@@ -68,7 +68,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     Line numbers come from the file's byte order: the file is read as one value, since a chunk is small.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("n", "line"))
     cells = F.split("line", "\t")
     return lines.select((F.col("n") + 1).alias("di"), F.get(cells, F.lit(0)).try_cast("bigint").alias("id"), F.get(cells, F.lit(1)).try_cast("bigint").alias("created_at"))
@@ -124,7 +124,7 @@ def nouns_of_facts(facts: DataFrame) -> DataFrame:
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Clusters of a JSON file that holds one array."""
-    return spark.read.schema(CLUSTER[len("struct<") : -1]).json(path, multiLine=True)
+    return spark.read.schema(CLUSTER).json(path, multiLine=True)
 
 
 def parse_marks(df: DataFrame, column: str = "marks") -> DataFrame:
@@ -133,8 +133,8 @@ def parse_marks(df: DataFrame, column: str = "marks") -> DataFrame:
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """(post, reply, weight) of a JSON map of maps."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<bigint, map<bigint, double>>").alias("m"))
-    return whole.select(F.explode("m").alias("post", "row")).select("post", F.explode("row").alias("reply", "weight"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, double>>").alias("m"))
+    return whole.select(F.explode("m").alias("post", "row")).select(F.col("post").try_cast("bigint").alias("post"), F.explode("row").alias("reply", "weight")).withColumn("reply", F.col("reply").try_cast("bigint"))
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,8 @@ from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.runtime import cut
+
 
 def _files(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -115,6 +117,7 @@ def write_chunks(tweets: DataFrame, path: str, rows: int) -> None:
 
 def quarantine(facts: DataFrame, path: str) -> DataFrame:
     """Sets the documents that could not be read aside under ``__trash__``; returns the rest."""
+    facts = cut(facts)
     bad = facts.where("_corrupt is not null")
     if not bad.isEmpty():
         bad.select("_corrupt").write.mode("append").text(f"{path}/__trash__")

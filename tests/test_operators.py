@@ -70,7 +70,7 @@ def test_medoids_and_fuzzy_means_find_two_groups(spark):
 def test_cosine_distances_against_numpy(spark):
     rng = np.random.default_rng(2)
     m = rng.random((40, 15)) * (rng.random((40, 15)) < 0.3)
-    cells = [(i, j, float(m[i, j])) for i, j in zip(*np.nonzero(m))] + [(99, 0, 0.0)]
+    cells = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))] + [(99, 0, 0.0)]
     df = spark.createDataFrame(cells, "post_md5 bigint, reply_md5 bigint, weight double")
     norm = np.linalg.norm(m, axis=1)
     rows = [i for i in range(40) if norm[i]]

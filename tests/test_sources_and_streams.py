@@ -68,7 +68,7 @@ def test_facts(spark, tmp_path):
     (tmp_path / "20140309_2.index.txt").write_text("")
     assert [(r.day, r.chunk) for r in readers.ready_chunks(spark, str(tmp_path)).collect()] == [(20140309, 1)]
     assert [tuple(r) for r in readers.read_index(spark, str(tmp_path / "20140309_1.index.txt")).collect()] == [(1, 11, 20140309120000), (2, 12, 20140309120001)]
-    (tmp_path / "tweets_20140308.db").write_text("")
+    (tmp_path / "tweets_20140308.db").write_text("x")
     assert [r.day for r in readers.shard_days(spark, str(tmp_path)).collect()] == [20140308]
 
 
