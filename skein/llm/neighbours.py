@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from skein.runtime import cut, table
 
-WIDTH, DIMS, BLOCK, SAMPLE, SEED = 64, 16, 32768, 20_000, 20140301
-#: Quantile of the chi-square distribution of 16 degrees of freedom at 0.995: a fixed value; MISS is the rest.
-CHI2, MISS = 34.267, 0.005
-#: Projected neighbours verified first, query rows at a time, pairs verified at a time.
-FIRST, ROWS, PAIRS = 64, 256, 100_000
+WIDTH, DIMS, BLOCK, SAMPLE, SEED = 64, 24, 32768, 20_000, 20140301
+#: Quantile of the chi-square distribution of 24 degrees of freedom at 0.995: a fixed value; MISS is the rest.
+CHI2, MISS = 45.559, 0.005
+#: Projected neighbours verified first; rows and columns of a tile, which fits into a core's cache; pairs verified at a time.
+FIRST, ROWS, COLUMNS, PAIRS = 64, 256, 2048, 50_000
 
 
 def directions() -> np.ndarray:
@@ -64,7 +64,7 @@ def leaf_of(points: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
     return node - len(splits)
 
 
-def search(queries: np.ndarray, query_p: np.ndarray, data: np.ndarray, data_p: np.ndarray, k: int, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(queries: np.ndarray, query_p: np.ndarray, data: np.ndarray, data_p: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, neighbour, cosine distance) of up to k neighbours within ``radius`` of each query."""
     found = []
     norms = (data_p**2).sum(1)
@@ -72,8 +72,6 @@ def search(queries: np.ndarray, query_p: np.ndarray, data: np.ndarray, data_p: n
         q, qp = queries[start : start + ROWS], query_p[start : start + ROWS]
         near = norms - 2 * (qp @ data_p.T)
         near += (qp**2).sum(1)[:, None]
-        if same:
-            near[np.arange(len(q)), np.arange(start, start + len(q))] = np.inf
         limit = np.full(len(q), CHI2 * 2 * radius, np.float32)
         passing = near <= limit[:, None]
         full = np.flatnonzero(passing.sum(1) > FIRST)
@@ -99,31 +97,81 @@ def search(queries: np.ndarray, query_p: np.ndarray, data: np.ndarray, data_p: n
     return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, int),) * 2 + (np.empty(0),)
 
 
-def _joined(k: int, radius: float, both: bool):
-    k += not both  # a query row may meet itself among the data
+def _kept(edges: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges that are among the k shortest of either end."""
+    i, j, dist = edges
+    source = np.concatenate([i, j])
+    order = np.lexsort((np.concatenate([j, i]), np.concatenate([dist, dist]), source))
+    source = source[order]
+    near = np.zeros(len(order), bool)
+    near[order] = np.arange(len(order)) - np.searchsorted(source, source) < k
+    near = near[: len(i)] | near[len(i) :]
+    return i[near], j[near], dist[near]
+
 
+def meet(left: np.ndarray, left_p: np.ndarray, right: np.ndarray, right_p: np.ndarray, k: int, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of all pairs of two blocks within ``radius`` that are among the k nearest of i or of j.
+
+    One product of a tile gives all its projected distances.  Pairs that pass are verified; a tile with very
+    many (equal vectors) keeps the k nearest of each of its rows and columns.  With ``same`` the blocks are one,
+    and i < j.
+    """
+    a = np.hstack([-2 * left_p, (left_p**2).sum(1, keepdims=True), np.ones((len(left_p), 1), np.float32)]).astype(np.float32)
+    b = np.hstack([right_p, np.ones((len(right_p), 1), np.float32), (right_p**2).sum(1, keepdims=True)]).astype(np.float32)
+    shift, limit, found, size = 0 if same else len(left), np.float32(CHI2 * 2 * radius + 1e-3), [], 0
+    for s in range(0, len(a), ROWS):
+        for t in range(s // COLUMNS * COLUMNS if same else 0, len(b), COLUMNS):
+            near = a[s : s + ROWS] @ b[t : t + COLUMNS].T
+            hit = np.flatnonzero(near <= limit)
+            i, j = hit // near.shape[1] + s, hit % near.shape[1] + t
+            if same:
+                i, j = i[i < j], j[i < j]
+            if len(i) > PAIRS:
+                d = 1 - left[s : s + ROWS] @ right[t : t + COLUMNS].T
+                if same:
+                    d[np.arange(s, s + len(d))[:, None] >= np.arange(t, t + d.shape[1])] = np.inf
+                n, m = min(k, d.shape[1]), min(k, d.shape[0])
+                best = np.zeros(d.shape, bool)
+                np.put_along_axis(best, np.argpartition(d, n - 1, axis=1)[:, :n], True, 1)
+                np.put_along_axis(best, np.argpartition(d, m - 1, axis=0)[:m], True, 0)
+                i, j = np.nonzero(best)
+                dist = d[i, j]
+                i, j = i + s, j + t
+            else:
+                dist = 1 - np.einsum("ij,ij->i", left[i], right[j])
+            ok = dist <= radius
+            if ok.any():
+                found.append((i[ok], j[ok] + shift, dist[ok]))
+                size += int(ok.sum())
+                if size > 20 * PAIRS:
+                    found = [_kept(tuple(map(np.concatenate, zip(*found))), k)]
+                    size = len(found[0][0])
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    i, j, dist = _kept(tuple(map(np.concatenate, zip(*found))), k)
+    return i, j - shift, dist
+
+
+def _joined(k: int, radius: float, both: bool):
     def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = t["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
         unit = _unit(np.frombuffer(b"".join(t["raw"].to_pylist()), np.float32).reshape(-1, WIDTH)) if len(ids) else np.empty((0, WIDTH))
-        return ids[order], unit[order], (unit[order].astype(np.float32) @ directions())
-
-    def meet(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        left, right = of(t.filter(pa.array(side == 0))), of(t.filter(pa.array(side == 1)))
-        one = t["same"][0].as_py()
-        if one:
-            right = left
-        a, b, d = search(left[1], left[2], right[1], right[2], k, radius, one and both)
-        out = [(left[0][a], right[0][b], d)]
-        if both and not one:
-            a, b, d = search(right[1], right[2], left[1], left[2], k, radius, False)
-            out.append((right[0][a], left[0][b], d))
-        id1, id2, dist = (np.concatenate(x) for x in zip(*out))
+        return ids, unit, unit.astype(np.float32) @ directions()
+
+    def join(t: pa.Table) -> pa.Table:
+        side, one = t["side"].to_numpy(), t["same"][0].as_py()
+        left = of(t.filter(pa.array(side == 0)))
+        right = left if one else of(t.filter(pa.array(side == 1)))
+        if both:
+            i, j, d = meet(*left[1:], *right[1:], k, radius, one)
+            id1, id2, dist = np.concatenate([left[0][i], right[0][j]]), np.concatenate([right[0][j], left[0][i]]), np.concatenate([d, d])
+        else:
+            i, j, dist = search(*left[1:], *right[1:], k + 1, radius)  # a query may meet itself among the data
+            id1, id2 = left[0][i], right[0][j]
         other = id1 != id2
         return pa.table({"id1": id1[other], "id2": id2[other], "dist": dist[other]})
 
-    return meet
+    return join
 
 
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, radius: float = 2.0, queries: str | None = None) -> DataFrame:
