@@ -115,7 +115,7 @@ QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
 
 _WITH = """with recursive sims as (select least(post1_md5, post2_md5) a, greatest(post1_md5, post2_md5) b, min(sim) sim from noun_similarity
     where sim is not null and not isnan(sim) and post1_md5 <> post2_md5 group by 1, 2),
-  bad as (select 40693175 w union select case when a = 40693175 then b else a end from sims where (a = 40693175 or b = 40693175) and sim < 0.6),
+  bad as (select 40693175::bigint w union select case when a = 40693175 then b else a end from sims where (a = 40693175 or b = 40693175) and sim < 0.6),
   ok as (select cluster_date, cluster::json j from clusters where cluster_date is not null and json_valid(cluster)),
   topic as (select row_number() over () r, cluster_date, t from (select cluster_date, unnest(json_extract(j, '$.clusters[*]')) t from ok)),
   member as (select distinct r, cluster_date, try_cast(json_extract_string(m, '$.id') as bigint) w from (select r, cluster_date, unnest(json_extract(t, '$.members[*]')) m from topic)),
