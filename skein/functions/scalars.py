@@ -19,7 +19,15 @@ def col(c: Column | str) -> Column:
 
 def digest(text: Column | str) -> Column:
     """32-bit key of a text: its MD5 folded by XOR of the four 32-bit words; null for null."""
-    h = F.md5(col(text))
+    return _fold(F.md5(col(text)))
+
+
+def digests(words: Column | str) -> Column:
+    """Keys of the words of an array; each MD5 is taken once."""
+    return F.transform(F.transform(col(words), F.md5), _fold)
+
+
+def _fold(h: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), (F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)))
 
 
@@ -145,9 +153,9 @@ def windowed_pairs(words: Column | str, bag: int = SETTINGS.bag_size, full: bool
     return F.flatten(F.filter(F.transform(steps, of), lambda x: x.isNotNull()))
 
 
-def adjacent_pairs(words: Column | str, sources: Column | str, full: bool = False) -> Column:
-    """Neighbouring (word, source) pairs: structs w1, w2 of structs word, source."""
-    return windowed_pairs(F.arrays_zip(col(words).alias("word"), col(sources).alias("source")), 2, full)
+def zipped(words: Column | str, sources: Column | str) -> Column:
+    """Structs word, source; their ``windowed_pairs`` with a bag of 2 are the bigrams."""
+    return F.arrays_zip(col(words).alias("word"), col(sources).alias("source"))
 
 
 # ---- weights

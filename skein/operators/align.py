@@ -17,6 +17,7 @@ from skein.operators.counters import QUERIES as COUNTERS
 from skein.operators.counters import recent_sum
 from skein.operators.topics import _trend, neighbours
 from skein.plans import frames as fr
+from skein.runtime import cut
 
 
 class Pair(NamedTuple):
@@ -134,6 +135,18 @@ def surface_forms(bigrams: DataFrame) -> DataFrame:
     return forms.groupBy("word").agg(F.min(F.struct((-F.col("cnt")).alias("c"), "source")).alias("m")).select("word", F.col("m.source").alias("source"))
 
 
+def describe_aligned(aligned: DataFrame, words: DataFrame, sources: DataFrame, trend: DataFrame, counts: DataFrame) -> DataFrame:
+    """(centroid, members, gen_title, members_md5): members in title order as structs of id, surface text, stem,
+    trend and count; texts not known are null, trends and counts 0."""
+    rows = aligned.select("centroid", "members", F.posexplode(F.arrays_zip("members", "sources")).alias("pos", "m")).select("centroid", "members", "pos", F.col("m.members").alias("word"), F.col("m.sources").alias("source"))
+    for df, key, name, new in ((words, "word", "noun", "stem_text"), (sources, "source", "noun", "text")):
+        rows = rows.join(df.select(F.col("noun_md5").alias(key), F.col(name).alias(new)), key, "left")
+    rows = rows.join(trend.select("word", "trend"), "word", "left").join(counts.select(F.col("word_md5").alias("word"), F.col("cnt").alias("post_cnt")), "word", "left")
+    member = F.struct("pos", F.struct(F.col("word").alias("id"), "text", "stem_text", F.coalesce("trend", F.lit(0.0)).alias("trend"), F.coalesce("post_cnt", F.lit(0)).alias("post_cnt")).alias("m"))
+    grouped = rows.groupBy("centroid").agg(F.first("members").alias("ids"), F.transform(F.array_sort(F.collect_list(member)), lambda x: x["m"]).alias("members"))
+    return grouped.select("centroid", "members", F.array_join(F.transform("members", lambda m: m["text"]), " ").alias("gen_title"), members_key("ids").alias("members_md5"))
+
+
 def best_clusters(topics: DataFrame, trend: DataFrame, n: int = SETTINGS.clusters_aligned, best: int = SETTINGS.best_members) -> DataFrame:
     """(centroid, members, best_trend, strength): the n topics whose ``best`` members' trends sum to most.
 
@@ -158,15 +171,16 @@ def _bigrams(s: SparkSession, d: str) -> DataFrame:
     return recent_sum(COUNTERS["a4_bigrams"](s, d), ["source1", "word1", "source2", "word2"], fr.bucket(3))
 
 
-def _topics(s: SparkSession, d: str) -> DataFrame:
-    """Words and those that most often follow them, as small topics."""
-    b = _bigrams(s, d).where("cnt >= 3 and word1 <> word2").groupBy("word1").agg(F.slice(F.array_sort(F.collect_set("word2")), 1, 4).alias("w"))
+def _topics(bigrams: DataFrame) -> DataFrame:
+    """Words and some that often follow them, as small topics."""
+    b = bigrams.where("cnt >= 3 and word1 <> word2").groupBy("word1").agg(F.slice(F.array_sort(F.collect_set("word2")), 1, 4).alias("w"))
     return b.select(F.col("word1").alias("centroid"), F.concat(F.array("word1"), "w").alias("members"))
 
 
 def _aligned(s: SparkSession, d: str) -> DataFrame:
     words = recent_sum(fr.word_time(s, d), ["word_md5"], fr.bucket(3))
-    a = align_topics(_topics(s, d), _bigrams(s, d), words)
+    b = cut(_bigrams(s, d))
+    a = align_topics(_topics(b), b, words)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return a.select("centroid", joined("members").alias("members"), joined("sources").alias("sources"), members_key("members").alias("members_md5"))
 

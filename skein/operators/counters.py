@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.config import SETTINGS
-from skein.functions.scalars import adjacent_pairs, col, digest, hour, tenminute, windowed_pairs
+from skein.functions.scalars import col, digests, hour, tenminute, windowed_pairs, zipped
 from skein.plans import frames as fr
 from skein.runtime import table
 
@@ -18,13 +18,15 @@ def count_words(words: DataFrame, word: str, bucket: Column) -> DataFrame:
 
 def count_mates(lists: DataFrame, words: str = "words", at: str = "created_at", bag: int = SETTINGS.bag_size, full: bool = False) -> DataFrame:
     """(word1, word2, tenminute, cnt): unordered pairs within the windows of a word list, smaller key first."""
-    pairs = lists.select(F.explode(windowed_pairs(F.transform(F.col(words), digest), bag, full)).alias("p"), tenminute(at).alias("tenminute"))
+    keys = lists.select(digests(words).alias("w"), tenminute(at).alias("tenminute"))
+    pairs = keys.select(F.explode(windowed_pairs("w", bag, full)).alias("p"), "tenminute")
     return pairs.groupBy(F.least("p.w1", "p.w2").alias("word1"), F.greatest("p.w1", "p.w2").alias("word2"), "tenminute").agg(F.count("*").alias("cnt"))
 
 
 def count_bigrams(lists: DataFrame, lemmas: str, sources: str, at: str = "created_at") -> DataFrame:
     """(word1, word2, source1, source2, tenminute, cnt): ordered neighbours with their surface forms."""
-    pairs = lists.select(F.explode(adjacent_pairs(F.transform(F.col(lemmas), digest), F.transform(F.col(sources), digest))).alias("p"), tenminute(at).alias("tenminute"))
+    both = lists.select(digests(lemmas).alias("word"), digests(sources).alias("source"), tenminute(at).alias("tenminute"))
+    pairs = both.select(zipped("word", "source").alias("w"), "tenminute").select(F.explode(windowed_pairs("w", 2)).alias("p"), "tenminute")
     keys = {"word1": "p.w1.word", "word2": "p.w2.word", "source1": "p.w1.source", "source2": "p.w2.source"}
     return pairs.groupBy(*[F.col(v).alias(k) for k, v in keys.items()], "tenminute").agg(F.count("*").alias("cnt"))
 

@@ -87,9 +87,10 @@ def log_vectors(v: DataFrame, cnt: str | None = None) -> DataFrame:
 
 
 def compare_vectors(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(key, dims, cosine, half_l1, missed) of the rows that two dumps of vectors have in common.
+    """(key, dims, cosine, half_l1, rank_like, missed) of the rows that either of two dumps of vectors has.
 
-    half_l1 is half the sum of absolute differences, missed the cells that only one dump has.
+    half_l1 is half the sum of absolute differences, rank_like the Spearman formula over the weights as they
+    are (null for one dimension), missed the cells that only one dump has.
     """
     both = a.select("key", "dim", F.col("weight").alias("x")).join(b.select("key", "dim", F.col("weight").alias("y")), ["key", "dim"], "full")
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
@@ -97,6 +98,7 @@ def compare_vectors(a: DataFrame, b: DataFrame) -> DataFrame:
         F.count("*").alias("dims"),
         F.coalesce(F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y))), F.lit(0.0)).alias("cosine"),
         (F.sum(F.abs(x - y)) / 2).alias("half_l1"),
+        (1 - F.try_divide(6 * F.sum((x - y) * (x - y)), F.count("*").cast("double") * (F.pow(F.count("*"), 2) - 1))).alias("rank_like"),
         F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missed"),
     )
 
@@ -178,7 +180,7 @@ def _compared(s: SparkSession, d: str) -> DataFrame:
     v = lambda df: df.select(F.col("post_md5").alias("key"), F.col("reply_md5").alias("dim"), F.col("reply_cnt").cast("double").alias("weight"))
     p = _profiles(s, d)
     a, b = v(p), v(p.where("reply_cnt >= 2")).withColumn("weight", F.col("weight") + 1)
-    return compare_vectors(a, b).select("key", "dims", F.round("cosine", 6).alias("cosine"), F.round("half_l1", 6).alias("half_l1"), "missed")
+    return compare_vectors(a, b).select("key", "dims", F.round("cosine", 6).alias("cosine"), F.round("half_l1", 6).alias("half_l1"), F.round("rank_like", 6).alias("rank_like"), "missed")
 
 
 def _vector_sum(s: SparkSession, d: str) -> DataFrame:
@@ -217,13 +219,13 @@ SQL = {
     "x9_weights": f"with {_kept(2000)} select post_md5, reply_md5, round({_W}, 6) weight from pk",
     "a14_total_row": f"""with {_P}, w as (select post_md5, reply_md5, {_W} weight from pr), t as (select reply_md5 p, row_number() over (order by posts desc, reply_md5) r from tr)
 select post_md5, reply_md5, round(weight, 6) weight from w where post_md5 not in (select p from t where r <= 2)
-union all select 40693175, reply_md5, round(sum(weight), 6) from w where post_md5 in (select p from t where r <= 10) group by reply_md5""",
+union all select 40693175::bigint, reply_md5, round(sum(weight), 6) from w where post_md5 in (select p from t where r <= 10) group by reply_md5""",
     "x11_classic_tf_idf": f"with {_kept(2000)} select post_md5, reply_md5, round(reply_cnt / sum(reply_cnt) over (partition by post_md5) * ln(4e6 / sum(reply_cnt) over (partition by reply_md5)), 6) weight from pk",
     "x12_entropy_weights": f"""with {_P}, n as (select count(distinct post_md5) n from pr), c as (select post_md5, reply_md5, log2(reply_cnt + 1) v, count(*) over (partition by reply_md5, reply_cnt) / n.n q from pr, n)
 select post_md5, reply_md5, round(v / nullif(sum(-q * ln(q)) over (partition by post_md5), 0), 6) weight from c""",
     "x20_vector_sums": f"with {_P} select post_md5 as \"key\", reply_md5 dim, round(log2(reply_cnt::double - case when reply_cnt > 1 then 0.5 * reply_cnt else 0 end + 1), 6) weight from pr",
     "j12_compared_profiles": f"""with {_P}, c as (select post_md5, reply_cnt::double x, case when reply_cnt >= 2 then reply_cnt + 1.0::double end y from pr)
-select post_md5 as \"key\", count(*) dims, round(coalesce(sum(x * coalesce(y, 0)) / nullif(sqrt(sum(x * x) * sum(coalesce(y * y, 0))), 0), 0), 6) cosine, round(sum(abs(x - coalesce(y, 0))) / 2, 6) half_l1, count(*) filter (y is null) missed from c group by 1""",
+select post_md5 as \"key\", count(*) dims, round(coalesce(sum(x * coalesce(y, 0)) / nullif(sqrt(sum(x * x) * sum(coalesce(y * y, 0))), 0), 0), 6) cosine, round(sum(abs(x - coalesce(y, 0))) / 2, 6) half_l1, round(1 - 6 * sum((x - coalesce(y, 0)) ** 2) / nullif(count(*) * (count(*)::double ** 2 - 1), 0), 6) rank_like, count(*) filter (y is null) missed from c group by 1""",
     "a11_distances": f"""with {_kept(300)}, w as (select post_md5 p, reply_md5 r, {_W} v from pk), n as (select p, sqrt(sum(v * v)) norm from w group by 1), dot as (select a.p p1, b.p p2, sum(a.v * b.v) s from w a join w b on a.r = b.r and a.p > b.p group by all)
 select a.p post1_md5, b.p post2_md5, round(case when a.norm = 0 or b.norm = 0 then 1 else 1 - coalesce(s, 0) / (a.norm * b.norm) end, 6) sim from n a join n b on a.p > b.p left join dot on p1 = a.p and p2 = b.p""",
     "f7_blocked_posts": f"with {_P} select post_md5, count(*) n from pr where post_md5 not in (40693175, 797835322) and reply_md5 not in (40693175, 797835322) group by 1",

@@ -107,6 +107,20 @@ def count_contexts(contexts: DataFrame, post_id: str) -> tuple[DataFrame, DataFr
     )
 
 
+def own_contexts(index: DataFrame) -> DataFrame:
+    """(id, p_md5, r_md5): every word of a tweet with every word of it, itself too."""
+    i = index.select("id", "noun_md5").distinct()
+    return i.withColumnRenamed("noun_md5", "p_md5").join(i.withColumnRenamed("noun_md5", "r_md5"), "id")
+
+
+def kept_contexts(counts: DataFrame, contexts: DataFrame, n: int, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Word counts and contexts of the ``n`` most frequent words (of int(1.1 n), for contexts), of those at least
+    ``least`` times counted; ties to the smaller key."""
+    top = counts.orderBy(F.desc("post_cnt"), "post_md5").limit(n).where(F.col("post_cnt") >= least)
+    words = top.orderBy(F.desc("post_cnt"), "post_md5").limit(int(1.1 * n)).select("post_md5")
+    return top, contexts.join(words, "post_md5", "left_semi")
+
+
 def answered(chains_: DataFrame, index: DataFrame, post_words: DataFrame, reply_words: DataFrame) -> DataFrame:
     """Chains whose post has one of ``post_words`` and whose reply has one of ``reply_words`` (both (word))."""
     ids = lambda words, name: index.join(words.select(F.col("word").alias("noun_md5")).distinct(), "noun_md5", "left_semi").select(F.col("id").alias(name)).distinct()
@@ -152,6 +166,10 @@ def _context_pairs(s: SparkSession, d: str) -> DataFrame:
     return count_contexts(reply_contexts(_chains(s, d), _index(s, d)), "p_id")[1]
 
 
+def _kept_contexts(s: SparkSession, d: str) -> DataFrame:
+    return kept_contexts(*count_contexts(own_contexts(_index(s, d)), "id"), 50)[1]
+
+
 QUERIES = {
     "f1_cyrillic": lambda s, d: table(s, d, "tweets").where(has_cyrillic("tw_text")).select("id").distinct(),
     "f2_clean_texts": lambda s, d: fr.tweets_once(s, d).select("id", clean_text("tw_text").alias("text")),
@@ -170,6 +188,7 @@ QUERIES = {
     "j7_reply_posts": lambda s, d: table(s, d, "tweets").select("id", "created_at").distinct().join(_chains(s, d).select(F.col("post_id").alias("id")), "id", "left_semi").groupBy(day("created_at").alias("day")).agg(F.count("*").alias("posts")),
     "j8_reply_contexts": _context_pairs,
     "j8_post_contexts": lambda s, d: count_contexts(post_contexts(_index(s, d)), "id")[1],
+    "g6_kept_contexts": _kept_contexts,
     "a31_context_counts": lambda s, d: count_contexts(reply_contexts(_chains(s, d), _index(s, d)), "p_id")[0],
     "j14_newest_wins": lambda s, d: newest_wins(*(fr.tweets_once(s, d).where(day("created_at") == x).select("id", "username") for x in (20140309, 20140308))),
     "d2_exact_copies": lambda s, d: without_copies(_found(s, d)).select("topic", "id"),
@@ -221,6 +240,7 @@ select word, word_md5, coalesce(lemma, noun_md5) lemma_md5 from a left join s on
     "j7_reply_posts": f"with {_CH} select created_at // 1000000 as day, count(*) posts from (select distinct id, created_at from tweets) where id in (select post_id from ch) group by 1",
     "j8_reply_contexts": f"with {_IX}, {_CH} select p.noun_md5 post_md5, r.noun_md5 reply_md5, count(*) reply_cnt from ch join ix p on p.id = post_id join ix r on r.id = reply_id group by 1, 2",
     "j8_post_contexts": f"with {_IX} select p.noun_md5 post_md5, r.noun_md5 reply_md5, count(*) reply_cnt from ix p join ix r on p.id = r.id and p.noun_md5 <> r.noun_md5 group by 1, 2",
+    "g6_kept_contexts": f"with {_IX}, c as (select noun_md5, count(*) n from ix group by 1), t as (select noun_md5 from (select * from c order by n desc, noun_md5 limit 50) where n >= 3) select p.noun_md5 post_md5, r.noun_md5 reply_md5, count(*) reply_cnt from ix p join ix r on p.id = r.id where p.noun_md5 in (select noun_md5 from t) group by 1, 2",
     "a31_context_counts": f"with {_IX}, {_CH} select p.noun_md5 post_md5, count(distinct p.id) post_cnt from ch join ix p on p.id = post_id join ix r on r.id = reply_id group by 1",
     "j14_newest_wins": f"with {fr.TW} select id, username from tw where created_at // 1000000 in (20140308, 20140309)",
     "d2_exact_copies": f"with {_found_sql(40)}, {_ONCE} select topic, id from oc",

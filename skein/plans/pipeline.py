@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.config import SETTINGS, Settings
-from skein.functions.scalars import digest
+from skein.functions.scalars import digests
 from skein.operators import align, counters, profiles, retrieve, topics, trend
 from skein.runtime import cut
 
@@ -45,7 +45,7 @@ def run(lists: DataFrame, tweets: DataFrame, index: DataFrame, now: datetime, pr
         out.seconds[name] = time.time() - began
         return out.tables[name]
 
-    hashed = lists.withColumn("words", F.transform("lemmas", digest))
+    hashed = lists.withColumn("words", digests("lemmas"))
     words = stage("word_time_cnt", lambda: counters.count_words(hashed.select("created_at", F.explode("words").alias("w")), "w", F.floor(F.col("created_at") / 1000).cast("bigint")).withColumnRenamed("bucket", "tenminute"))
     mates = stage("word_mates", lambda: counters.count_mates(lists, "lemmas", bag=settings.bag_size))
     bigrams = stage("bigram_day", lambda: counters.count_bigrams(lists, "lemmas", "sources"))

@@ -127,6 +127,15 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLUSTER).json(path, multiLine=True)
 
 
+BIGRAMS = "s1 struct<sourceMd5: bigint, text: string, word: struct<wordMd5: bigint, text: string, count: bigint>>, s2 struct<sourceMd5: bigint, text: string, word: struct<wordMd5: bigint, text: string, count: bigint>>, count bigint"
+
+
+def read_bigrams(spark: SparkSession, path: str) -> DataFrame:
+    """(source1, word1, source2, word2, word1_cnt, cnt) of a JSON file that holds one array of pairs."""
+    ends = {"source1": "s1.sourceMd5", "word1": "s1.word.wordMd5", "source2": "s2.sourceMd5", "word2": "s2.word.wordMd5", "word1_cnt": "s1.word.count", "cnt": "count"}
+    return spark.read.schema(BIGRAMS).json(path, multiLine=True).select(*[F.col(v).alias(k) for k, v in ends.items()])
+
+
 def parse_marks(df: DataFrame, column: str = "marks") -> DataFrame:
     return df.withColumn("mark", F.explode(F.from_json(column, MARKS)))
 

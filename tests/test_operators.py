@@ -39,6 +39,9 @@ def test_aligned_topics(spark):
     w = spark.createDataFrame([(1, 10), (2, 20)], "word_md5 bigint, cnt bigint")
     got = {r.centroid: (r.members, r.sources) for r in align.align_topics(t, b, w).collect()}
     assert got == {1: ([1, 2, 3], [10, 20, 30]), 7: ([7], [71])}
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (10, "A"), (20, "B"), (30, "C")], "noun_md5 bigint, noun string")
+    d = {r.centroid: r for r in align.describe_aligned(align.align_topics(t, b, w), texts, texts, spark.createDataFrame([(2, 1.5)], "word bigint, trend double"), w).collect()}
+    assert d[1].gen_title == "A B C" and [(m.id, m.stem_text, m.trend, m.post_cnt) for m in d[1].members] == [(1, "a", 0.0, 10), (2, "b", 1.5, 20), (3, None, 0.0, 0)]
 
 
 def test_greedy_topics_take_and_drop(spark):
@@ -157,6 +160,6 @@ def test_crawl_queue(spark):
 def test_vector_ops(spark):
     v = lambda *rows: spark.createDataFrame(rows, "key bigint, dim bigint, weight double")
     a, b = v((1, 1, 1.0), (2, 1, 3.0)), v((1, 1, 1.0), (2, 2, 1.0))
-    got = {r.key: (r.dims, r.cosine, r.half_l1, r.missed) for r in profiles.compare_vectors(a, b).collect()}
-    assert got == {1: (1, 1.0, 0.0, 0), 2: (2, 0.0, 2.0, 2)}
+    got = {r.key: (r.dims, r.cosine, r.half_l1, r.rank_like, r.missed) for r in profiles.compare_vectors(a, b).collect()}
+    assert got == {1: (1, 1.0, 0.0, None, 0), 2: (2, 0.0, 2.0, -9.0, 2)}
     assert {(r.key, r.dim): r.weight for r in profiles.add_vectors(a, b, -1).collect()} == {(1, 1): 0.0, (2, 1): 3.0, (2, 2): -1.0}

@@ -37,7 +37,7 @@ def test_windowed_pairs_by_length(spark):
 
 def test_adjacent_pairs(spark):
     w = spark.createDataFrame([(["a", "b", "c", "d"], ["A", "B", "C", "D"])], "w array<string>, s array<string>")
-    got = w.select(F.explode(sc.adjacent_pairs("w", "s")).alias("p")).collect()
+    got = w.select(F.explode(sc.windowed_pairs(sc.zipped("w", "s").alias("z"), 2)).alias("p")).collect()
     assert [(r.p.w1.word, r.p.w1.source, r.p.w2.word, r.p.w2.source) for r in got] == [("a", "A", "b", "B")]
 
 

@@ -79,6 +79,8 @@ def test_small_files(spark, tmp_path):
     assert [tuple(r) for r in readers.read_gold(spark, w("g.tab", "Word 1\tWord 2\tHuman (mean)\nlove\tsex\t6.77\n")).collect()] == [("love", "sex", 6.77)]
     assert sorted(map(tuple, readers.read_profiles(spark, w("p.json", '{"1": {"2": 0.5, "3": 1}}')).collect())) == [(1, 2, 0.5), (1, 3, 1.0)]
     assert readers.read_clusters(spark, w("c.json", '[{"members": [{"id": 1, "text": "a"}], "members_len": 1}]')).first().members[0].id == 1
+    pair = {"s1": {"sourceMd5": 10, "word": {"wordMd5": 1, "count": 9}}, "s2": {"sourceMd5": 20, "word": {"wordMd5": 2}}, "count": 5}
+    assert [tuple(r) for r in readers.read_bigrams(spark, w("b.json", json.dumps([pair]))).collect()] == [(10, 1, 20, 2, 9, 5)]
     assert read_or_empty(spark, str(tmp_path / "none"), "noun_trend").columns == ["noun_md5", "trend"]
 
 
