@@ -1,14 +1,15 @@
 """Frequency of every distinct value or term (problem 4): burst-trie counting.
 
-Rows are brought together by record and sorted, so that a term that a record repeats is seen at once.  Each
-task streams its rows into a burst trie: terms are routed by their leading bytes, and a leaf that grows beyond
-its capacity bursts into one leaf a next byte, so that prefixes are as long as the data need.  Leaves hold an
-occurrence and a record counter a term.  A trie that reaches its limit of terms is handed over and begun anew,
-so memory is bounded.  Matching subtrees of all tasks are merged by a final sum, where a term has at most one
-row a task and trie; no task holds a whole subtree.
+Repeated rows of a record and term are first merged into one with a count, partly before the shuffle; it is
+keyed by both, so neither a hot record nor a hot term makes a large partition.  Each task then streams its rows
+into a burst trie: terms are routed by their leading bytes, and a leaf that grows beyond its capacity bursts into
+one leaf a next byte, so that prefixes are as long as the data need.  Leaves hold an occurrence and a record
+counter a term.  A trie that reaches its limit of terms is handed over and begun anew, so memory is bounded.
+Matching subtrees of all tasks are merged by a final sum, where a term has at most one row a task and trie; no
+task holds a whole subtree.
 
 Nulls: null terms are not counted, but their records count for the total; rows without record count as
-occurrences only.  Empty input gives no rows.  Terms may be strings (by UTF-8 bytes, whole) or integers.
+occurrences only.  Empty input gives no terms.  Terms may be strings (by UTF-8 bytes, whole) or integers.
 """
 
 from __future__ import annotations
@@ -68,54 +69,40 @@ class BurstTrie:
 
 
 def _counter(capacity: int, limit: int, integers: bool):
-    def given(trie: BurstTrie, records: int) -> pa.RecordBatch:
+    def given(trie: BurstTrie) -> pa.RecordBatch:
         cells = list(trie.items())
-        keys = [None, *(int.from_bytes(k, "big") - (1 << 63) for k, _ in cells)] if integers else [None, *(k.decode() for k, _ in cells)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64() if integers else pa.string()), pa.array([0, *(c[0] for _, c in cells)], pa.int64()), pa.array([records, *(c[1] for _, c in cells)], pa.int64())], ["term", "occurrences", "records"]
-        )
+        keys = [int.from_bytes(k, "big") - (1 << 63) for k, _ in cells] if integers else [k.decode() for k, _ in cells]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64() if integers else pa.string()), pa.array([c[0] for _, c in cells], pa.int64()), pa.array([c[1] for _, c in cells], pa.int64())], ["term", "occurrences", "records"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, records, last = BurstTrie(capacity), 0, (None, None)
+        trie = BurstTrie(capacity)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            record = batch.column(0)
-            known = record.is_valid().to_numpy(zero_copy_only=False)
-            codes = np.where(known, record.fill_null(0).to_numpy(), 0)
-            terms = batch.column(1).dictionary_encode()
-            code = terms.indices.fill_null(-1).to_numpy()
-            table_ = terms.dictionary.to_pylist()
-            new_record = np.ones(len(codes), bool)
-            new_record[1:] = (codes[1:] != codes[:-1]) | (known[1:] != known[:-1])
-            new_pair = new_record.copy()
-            new_pair[1:] |= code[1:] != code[:-1]
-            first_term = table_[code[0]] if code[0] >= 0 else None
-            if known[0] and last[0] is not None and codes[0] == last[0]:
-                new_record[0] = False
-                new_pair[0] = first_term != last[1]
-            records += int((new_record & known).sum())
-            there = code >= 0
-            occ = np.bincount(code[there], minlength=len(table_))
-            rec = np.bincount(code[there & new_pair & known], minlength=len(table_))
-            for term, o, r in zip(table_, occ.tolist(), rec.tolist()):
+            terms = batch.column(0).dictionary_encode()
+            code, n, known = terms.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            words = terms.dictionary.to_pylist()
+            occ = np.bincount(code, n, len(words)).astype(np.int64)
+            rec = np.bincount(code, known, len(words)).astype(np.int64)
+            for term, o, r in zip(words, occ.tolist(), rec.tolist()):
                 trie.add((term + (1 << 63)).to_bytes(8, "big") if integers else term.encode(), o, r)
-            last = (int(codes[-1]) if known[-1] else None, table_[code[-1]] if code[-1] >= 0 else None)
             if trie.size >= limit:
-                yield given(trie, records)
-                trie, records = BurstTrie(capacity), 0
-        yield given(trie, records)
+                yield given(trie)
+                trie = BurstTrie(capacity)
+        if trie.size:
+            yield given(trie)
 
     return count
 
 
 def term_counts(rows: DataFrame, record: str, term: str, capacity: int = LEAF, limit: int = TRIE) -> DataFrame:
-    """(term, occurrences, records): rows and different records of every term; the null term's records are the
-    different records of all rows.  ``record`` is an integer column, ``term`` a string or an integer one."""
+    """(term, occurrences, records): rows and different records of every term; a row of the null term has the
+    different records of all rows.  ``term`` is a string or an integer column."""
     integers = dict(rows.dtypes)[term] != "string"
     kind = "bigint" if integers else "string"
-    there = rows.select(F.col(record).cast("bigint").alias("record"), F.col(term).cast(kind).alias("term")).repartition("record").sortWithinPartitions("record", "term")
-    return there.mapInArrow(_counter(capacity, limit, integers), f"term {kind}, occurrences bigint, records bigint").groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    there = rows.select(F.col(record).alias("record"), F.col(term).cast(kind).alias("term"))
+    pairs = there.where("term is not null").groupBy("record", "term").agg(F.count("*").alias("n")).select("term", "n", F.col("record").isNotNull().alias("known"))
+    tries = pairs.mapInArrow(_counter(capacity, limit, integers), f"term {kind}, occurrences bigint, records bigint")
+    total = there.agg(F.count_distinct("record").alias("records")).select(F.lit(None).cast(kind).alias("term"), F.lit(0).cast("bigint").alias("occurrences"), "records")
+    return tries.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).unionByName(total)
 
 
 def p4_found(spark: SparkSession, d: str, rare: int = 2, common: int = 20) -> DataFrame:
