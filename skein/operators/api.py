@@ -139,7 +139,7 @@ QUERIES = {
     "j17_topics_of_members": lambda s, d: with_relevant(_members(s, d).select(*_KEY, "members_md5"), _members(s, d).select("members_md5", "cluster_date", F.col("cluster_date").alias("relevant"))).select(*_KEY, "relevant"),
     "x25_trend_classes": _classes,
     "x26_labels": _labels,
-    "x26_linked_texts": lambda s, d: fr.tweets_once(s, d).where(F.col("tw_text").contains("http")).select("id", with_links("tw_text").alias("html")),
+    "x26_linked_texts": lambda s, d: fr.tweets_once(s, d, "tw_text").where(F.col("tw_text").contains("http")).select("id", with_links("tw_text").alias("html")),
 }
 
 from skein.operators.trend import _H, _TR  # noqa: E402

@@ -55,7 +55,7 @@ def partner_counts(tweets: DataFrame, users: DataFrame) -> DataFrame:
 
 def _users(s: SparkSession, d: str) -> DataFrame:
     """The authors as queue: last tweet as since_id and, for every other, its time as done time."""
-    t = fr.tweets_once(s, d).where("username is not null and user_id is not null")
+    t = fr.tweets_once(s, d, "username", "user_id", "created_at").where("username is not null and user_id is not null")
     last = t.groupBy("username").agg(F.max("id").alias("since_id"), F.count("*").alias("reply_cnt"), F.max("created_at").alias("at"))
     return last.select("username", "since_id", "reply_cnt", F.when(F.col("reply_cnt") > 50, 1).otherwise(0).alias("blocked_user"), F.when(F.col("since_id") % 2 == 0, F.col("at").cast("string")).otherwise("").alias("done_time"))
 
@@ -64,7 +64,7 @@ QUERIES = {
     "f14_due_users": lambda s, d: due(_users(s, d), "20140310000000", 86400).select("username", "reply_cnt"),
     "t9_next_user": lambda s, d: next_user(_users(s, d), "20140310000000", 86400).select("username", "reply_cnt", "since_id"),
     "g33_known_users": lambda s, d: known(_users(s, d)).select("username", "since_id"),
-    "g22_partner_counts": lambda s, d: partner_counts(fr.tweets_once(s, d), _users(s, d)),
+    "g22_partner_counts": lambda s, d: partner_counts(fr.tweets_once(s, d, "in_reply_to_username", "created_at"), _users(s, d)),
 }
 _U = f"{fr.TW}, us as (select username, max(id) since_id, count(*) reply_cnt, max(created_at) at_ from tw where username is not null and user_id is not null group by 1), u as (select username, since_id, reply_cnt, case when reply_cnt > 50 then 1 else 0 end blocked_user, case when since_id % 2 = 0 then at_ end done from us)"
 _DUE = "blocked_user = 0 and (done is null or epoch(timestamp '2014-03-10') - epoch(strptime(done::varchar, '%Y%m%d%H%M%S')) > 86400)"

@@ -190,7 +190,7 @@ QUERIES = {
     "a22_mark_totals": lambda s, d: mark_totals(_averages(s, d)).select("update_time", "total"),
     "g19_mark_table": lambda s, d: mark_table(_averages(s, d), ["topic_density", "topic_relevance", "spam", "true_positive"]).select("update_time", *[F.round(c, 6).alias(c) for c in ("topic_density", "topic_relevance", "spam", "true_positive")]),
     "a24_distance_spread": lambda s, d: fr.distances(s, d).agg(F.round(F.avg("sim"), 6).alias("mean"), F.round(F.stddev_pop("sim"), 6).alias("sd")),
-    "a27_frequent_users": lambda s, d: frequent(fr.tweets_once(s, d), "username"),
+    "a27_frequent_users": lambda s, d: frequent(fr.tweets_once(s, d, "username"), "username"),
     "j13_words_of_both_days": _intersection,
 }
 

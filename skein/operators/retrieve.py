@@ -140,7 +140,7 @@ def _topics(s: SparkSession, d: str, n: int = 40) -> DataFrame:
 
 
 def _found(s: SparkSession, d: str) -> DataFrame:
-    return matching(fr.tweets_once(s, d).where("tw_text is not null"), table(s, d, "tweets_nouns").where("noun_md5 is not null"), _topics(s, d))
+    return matching(fr.tweets_once(s, d, "tw_text", "username", "created_at").where("tw_text is not null"), table(s, d, "tweets_nouns").where("noun_md5 is not null"), _topics(s, d))
 
 
 def _joined(c: str) -> Column:
@@ -172,17 +172,17 @@ def _kept_contexts(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "f1_cyrillic": lambda s, d: table(s, d, "tweets").where(has_cyrillic("tw_text")).select("id").distinct(),
-    "f2_clean_texts": lambda s, d: fr.tweets_once(s, d).select("id", clean_text("tw_text").alias("text")),
-    "f3_date_range": lambda s, d: fr.tweets_once(s, d).where(day("created_at").between(20140303, 20140305)).select("id", "created_at"),
+    "f2_clean_texts": lambda s, d: fr.tweets_once(s, d, "tw_text").select("id", clean_text("tw_text").alias("text")),
+    "f3_date_range": lambda s, d: fr.tweets_once(s, d, "created_at").where(day("created_at").between(20140303, 20140305)).select("id", "created_at"),
     "f5_hour_range": lambda s, d: fr.word_time(s, d).where(F.col("tenminute").between(20140308090, 20140308119)).groupBy("word_md5").agg(F.sum("cnt").cast("bigint").alias("cnt")),
     "f6_words_in_list": lambda s, d: _index(s, d).join(fr.counts(s, d).where("post_cnt > 20").select(F.col("post_md5").alias("noun_md5")), "noun_md5", "left_semi").select("id", "noun_md5").distinct(),
     "f8_frequent_posts": lambda s, d: fr.counts(s, d).where("post_cnt > 5"),
     "f11_unseen_posts": lambda s, d: unseen(table(s, d, "tweets").where("in_reply_to_id is not null").select(F.col("in_reply_to_id").alias("id")).distinct(), table(s, d, "tweets")),
-    "f15_recent": lambda s, d: fr.tweets_once(s, d).where(to_time("created_at") >= F.lit("2014-03-09").cast("timestamp")).select("id", "username"),
-    "j1_chains": lambda s, d: chains(fr.tweets_once(s, d)),
-    "j1_chains_any_day": lambda s, d: chains(fr.tweets_once(s, d), same_day=False),
+    "f15_recent": lambda s, d: fr.tweets_once(s, d, "created_at", "username").where(to_time("created_at") >= F.lit("2014-03-09").cast("timestamp")).select("id", "username"),
+    "j1_chains": lambda s, d: chains(fr.tweets_once(s, d, "in_reply_to_id", "created_at")),
+    "j1_chains_any_day": lambda s, d: chains(fr.tweets_once(s, d, "in_reply_to_id", "created_at"), same_day=False),
     "j2_tweets_without_words": lambda s, d: unseen(table(s, d, "tweets").select("id").distinct(), table(s, d, "tweets_nouns")),
-    "j3_next_chunk": lambda s, d: next_chunk(_chains(s, d).select(F.col("reply_id").alias("id"), (F.col("reply_id") % 2).cast("int").alias("id_done")).distinct(), fr.tweets_once(s, d), 5000).select("id", "created_at"),
+    "j3_next_chunk": lambda s, d: next_chunk(_chains(s, d).select(F.col("reply_id").alias("id"), (F.col("reply_id") % 2).cast("int").alias("id_done")).distinct(), fr.tweets_once(s, d, "created_at"), 5000).select("id", "created_at"),
     "j5_matching_tweets": lambda s, d: _found(s, d).select("topic", "id", _joined("words")),
     "j6_looked_up_words": _look_up,
     "j7_reply_posts": lambda s, d: table(s, d, "tweets").select("id", "created_at").distinct().join(_chains(s, d).select(F.col("post_id").alias("id")), "id", "left_semi").groupBy(day("created_at").alias("day")).agg(F.count("*").alias("posts")),
@@ -190,16 +190,16 @@ QUERIES = {
     "j8_post_contexts": lambda s, d: count_contexts(post_contexts(_index(s, d)), "id")[1],
     "g6_kept_contexts": _kept_contexts,
     "a31_context_counts": lambda s, d: count_contexts(reply_contexts(_chains(s, d), _index(s, d)), "p_id")[0],
-    "j14_newest_wins": lambda s, d: newest_wins(*(fr.tweets_once(s, d).where(day("created_at") == x).select("id", "username") for x in (20140309, 20140308))),
+    "j14_newest_wins": lambda s, d: newest_wins(*(fr.tweets_once(s, d, "created_at", "username").where(day("created_at") == x).select("id", "username") for x in (20140309, 20140308))),
     "d2_exact_copies": lambda s, d: without_copies(_found(s, d)).select("topic", "id"),
     "d3_near_copies": lambda s, d: without_near_copies(_found(s, d), "words").select("topic", "id", _joined("words")),
     "t5_relevant_tweets": lambda s, d: relevant(_found(s, d), _index(s, d)),
     "a19_match_histogram": lambda s, d: match_histogram(_found(s, d)),
-    "t11_first_tweets_of_day": lambda s, d: matching(fr.tweets_once(s, d).where("tw_text is not null"), _index(s, d), _topics(s, d, 5), 20).select("topic", "id"),
+    "t11_first_tweets_of_day": lambda s, d: matching(fr.tweets_once(s, d, "tw_text", "username", "created_at").where("tw_text is not null"), _index(s, d), _topics(s, d, 5), 20).select("topic", "id"),
     "g2_answered_with": lambda s, d: answered(_chains(s, d), _index(s, d), *([_topics(s, d, 5).select("word")] * 2)),
     "g9_words_in_scope": lambda s, d: fr.matrix(s, d).join(fr.dictionary(s, d).select(digest("noun").alias("post_md5")).distinct(), "post_md5", "left_semi"),
     "x1_digests": lambda s, d: fr.dictionary(s, d).select("noun", digest("noun").alias("key")),
-    "x15_query_words": lambda s, d: fr.tweets_once(s, d).select("id", F.size(tokens("tw_text")).alias("n")),
+    "x15_query_words": lambda s, d: fr.tweets_once(s, d, "tw_text").select("id", F.size(tokens("tw_text")).alias("n")),
     "j9_words_as_text": lambda s, d: fr.matrix(s, d).join(fr.dictionary(s, d), F.col("post_md5") == F.col("noun_md5")).select("noun", "reply_md5", "reply_cnt"),
     "j10_words_with_default": lambda s, d: fr.dictionary(s, d).join(fr.counts(s, d), F.col("noun_md5") == F.col("post_md5"), "left").select("noun_md5", F.coalesce("post_cnt", F.lit(0)).alias("post_cnt")),
     "a30_words_of_tweets": lambda s, d: _index(s, d).groupBy("id").agg(F.array_sort(F.collect_set("noun_md5")).alias("words")).select("id", _joined("words")),

@@ -86,8 +86,9 @@ def cohesion(sims: DataFrame, labels: DataFrame) -> DataFrame:
     measured pairs and the numbers of pairs, so unmeasured pairs are never made.
     """
     s = symmetric(sims, "a", "b", "sim").join(labels.select(F.col("word").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("word").alias("b"), F.col("label").alias("lb")), "b")
+    near = lambda c: F.sum(F.when(c, 1 - F.col("sim")).cast("decimal(18,9)")).cast("double")
     sums = s.groupBy(F.col("la").alias("label")).agg(
-        F.sum(F.when(F.col("la") == F.col("lb"), 1 - F.col("sim"))).alias("si"), F.sum(F.when(F.col("la") != F.col("lb"), 1 - F.col("sim"))).alias("se")
+        near(F.col("la") == F.col("lb")).alias("si"), near(F.col("la") != F.col("lb")).alias("se")
     )
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     n = labels.agg(F.count("*").alias("n")).scalar()
@@ -203,7 +204,7 @@ QUERIES = {
     "u3_greedy_topics": lambda s, d: _topics(s, d).select("centroid", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members")),
     "g13_topics": _described,
     "f13_without_total": _without_total,
-    "a28_cohesion": lambda s, d: cohesion(fr.distances(s, d), _labels(s, d)).select("label", "size", F.round("intra", 6).alias("intra"), F.round("extra", 6).alias("extra")),
+    "a28_cohesion": lambda s, d: cohesion(fr.distances(s, d), _labels(s, d)).select("label", "size", *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("intra", "extra")]),
     "u4_medoids": lambda s, d: medoids(fr.distances(s, d).where("sim < 0.3").orderBy("a", "b").limit(3000), (20, 40)).select("k", "word", "medoid", F.round("ratio", 6).alias("ratio")),
     "g10_published_words": lambda s, d: _snapshot_members(s, d).groupBy("id").agg(F.count("*").alias("n")),
     "g11_words_of_pairs": lambda s, d: fr.distances(s, d).where("sim < 0.45").select(F.explode(F.array("a", "b")).alias("word")).distinct(),
@@ -220,8 +221,8 @@ SQL = {
 select word, array_to_string(n, ',') members, md5(array_to_string(n, ',')) members_md5 from l where not list_contains(n, 40693175)""",
     "a28_cohesion": f"""with {_SYM}, lb as (select a word, least(a, b) label from (select *, row_number() over (partition by a order by sim, b) r from sy where sim < 2) where r = 1),
   n as (select count(*) n from lb), sz as (select label, count(*) size from lb group by 1),
-  sm as (select x.label, sum(case when x.label = y.label then 1 - sim end) si, sum(case when x.label <> y.label then 1 - sim end) se from sy join lb x on x.word = a join lb y on y.word = b group by 1)
-select label, size, round(1 - coalesce(coalesce(si, 0) / nullif(size * (size - 1), 0), 0), 6) intra, round(1 - coalesce(coalesce(se, 0) / nullif(size * (n - size), 0), 0), 6) extra from sz cross join n left join sm using (label)""",
+  sm as (select x.label, sum(case when x.label = y.label then 1 - sim end::decimal(18,9))::double si, sum(case when x.label <> y.label then 1 - sim end::decimal(18,9))::double se from sy join lb x on x.word = a join lb y on y.word = b group by 1)
+select label, size, floor((1 - coalesce(coalesce(si, 0) / nullif(size * (size - 1), 0), 0)) * 1e6 + 0.5) / 1e6 intra, floor((1 - coalesce(coalesce(se, 0) / nullif(size * (n - size), 0), 0)) * 1e6 + 0.5) / 1e6 extra from sz cross join n left join sm using (label)""",
     "g10_published_words": f"with {_MEM} select id, count(*) n from mem where id is not null group by 1",
     "g11_words_of_pairs": f"with {fr.DIST} select a word from dist where sim < 0.45 union select b from dist where sim < 0.45",
 }

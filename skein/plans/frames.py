@@ -20,10 +20,11 @@ def bucket(days: float, digits: int = 11) -> int:
     return int((NOW - timedelta(days=days)).strftime("%Y%m%d%H%M%S")[:digits])
 
 
-def tweets_once(spark: SparkSession, d: str) -> DataFrame:
-    """One row a tweet: the first that arrived."""
-    t = table(spark, d, "tweets")
-    return keep_first(t, ["id"], F.col("fetched_at"), F.col("username"))
+def tweets_once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row a tweet, the first that arrived, with id and the given columns; no other column is moved."""
+    order = ("fetched_at", "username", "in_reply_to_username")
+    t = table(spark, d, "tweets").select("id", *dict.fromkeys((*order, *columns)))
+    return keep_first(t, ["id"], *map(F.col, order)).select("id", *columns)
 
 
 def words_of_tweets(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +40,7 @@ def word_time(spark: SparkSession, d: str) -> DataFrame:
 
 def word_lists(spark: SparkSession, d: str) -> DataFrame:
     """(id, created_at, words): the lower-cased tokens of each cleaned tweet, in order."""
-    return tweets_once(spark, d).where("tw_text is not null").select("id", "created_at", tokens(F.lower(clean_text("tw_text"))).alias("words"))
+    return tweets_once(spark, d, "tw_text", "created_at").where("tw_text is not null").select("id", "created_at", tokens(F.lower(clean_text("tw_text"))).alias("words"))
 
 
 def distances(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def sql_digest(x: str) -> str:
     return f"xor(xor({part(0)}, {part(1)}), xor({part(2)}, {part(3)}))::bigint"
 
 
-TW = "tw as (select * from tweets qualify row_number() over (partition by id order by fetched_at nulls first, username nulls first) = 1)"
+TW = "tw as (select * from tweets qualify row_number() over (partition by id order by fetched_at nulls first, username nulls first, in_reply_to_username nulls first) = 1)"
 TN = "tn as (select n.id, noun_md5, created_at from (select distinct id, noun_md5 from tweets_nouns where noun_md5 is not null) n join (select id, min(created_at) created_at from tweets group by id) t using (id))"
 WT = f"{TN}, wt as (select noun_md5 word_md5, created_at // 1000 tenminute, count(*)::bigint cnt from tn where created_at is not null group by all)"
 CLEAN = r"regexp_replace(replace(replace(tw_text, chr(10), ' '), '''', '\'''), '(^@|\s@)[^\s]+', '', 'g')"
