@@ -17,7 +17,7 @@ from skein.operators.counters import QUERIES as COUNTERS
 from skein.operators.counters import recent_sum
 from skein.operators.topics import _trend, neighbours
 from skein.plans import frames as fr
-from skein.runtime import cut
+from skein.runtime import cut, ship
 
 
 class Pair(NamedTuple):
@@ -110,6 +110,7 @@ def align_topics(topics: DataFrame, bigrams: DataFrame, words: DataFrame) -> Dat
     topics in Spark by both ends; a topic's few pairs are searched in one group.  Topics of a single word keep
     it with its most frequent surface form; topics without a path are dropped.
     """
+    ship(topics.sparkSession)
     one = topics.select("centroid", F.size("members").alias("size"), F.explode("members").alias("word"))
     first, second = one.select("centroid", "size", F.col("word").alias("word1")), one.select("centroid", F.col("word").alias("word2"))
     inside = bigrams.where("word1 <> word2").join(first, "word1").join(second, ["centroid", "word2"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skein.config import SETTINGS
 from skein.functions.scalars import tf_idf
 from skein.plans import frames as fr
+from skein.runtime import ship
 
 #: Rows of a block in the distance computation.
 BLOCK = 256
@@ -127,6 +128,7 @@ def cosine_distances(p: DataFrame, block: int = BLOCK) -> DataFrame:
     pipeline keeps 2000).  Rows are put into blocks of about ``block``; a task multiplies two blocks, whose
     cells it holds, and never more.
     """
+    ship(p.sparkSession)
     n = p.select("post_md5").distinct().count()
     k = max(1, -(-n // block))
     b = F.pmod(F.xxhash64("post_md5"), F.lit(k)).cast("int")
@@ -144,6 +146,8 @@ def latent_cosines(p: DataFrame, k: int = 50) -> DataFrame:
     The matrix has at most the kept profiles as rows; it is reduced in one task of numpy.
     """
 
+    ship(p.sparkSession)
+
     def reduce(t: pa.Table) -> pa.Table:
         keys, row = np.unique(t["post_md5"].to_numpy(), return_inverse=True)
         dims, col = np.unique(t["reply_md5"].to_numpy(), return_inverse=True)

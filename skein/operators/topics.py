@@ -14,7 +14,7 @@ from skein.functions.scalars import digest_large, members_key, title
 from skein.operators.counters import symmetric
 from skein.operators.trend import word_trends
 from skein.plans import frames as fr
-from skein.runtime import table
+from skein.runtime import ship, table
 
 
 def neighbours(sims: DataFrame, k: int = SETTINGS.topic_neighbours, within: float = SETTINGS.topic_distance) -> DataFrame:
@@ -38,6 +38,7 @@ def greedy_topics(sims: DataFrame, trend: DataFrame, seeds: int = SETTINGS.trend
     the order, so it is one task, over at most ``seeds`` words with at most k neighbours each; neighbours and
     trash are cut in Spark.  Without a total row nothing is trash.  Ties of trend go to the smaller key.
     """
+    ship(sims.sparkSession)
     near = neighbours(sims, k, within)
     to_total = symmetric(sims, "a", "b", "sim").where((F.col("a") == total) & (F.col("sim") < trash)).select(F.col("b").alias("word"))
     words = trend.join(symmetric(sims, "a", "b", "sim").select(F.col("a").alias("word")).distinct(), "word", "left_semi").where("trend is not null")
@@ -104,6 +105,7 @@ def medoids(sims: DataFrame, grid: Sequence[int], rounds: int = SETTINGS.medoid_
     Words join the nearest medoid; a cluster's medoid becomes the member of least total distance that is no
     trash word.  A distance matrix of all words is held by each task, so the caller has cut the words down.
     """
+    ship(sims.sparkSession)
     both = symmetric(sims, "a", "b", "sim")
     spread = both.withColumn("k", F.explode(F.array(*(F.lit(k) for k in grid))))
 
@@ -145,6 +147,8 @@ def fuzzy_means(vectors: DataFrame, k: int, power: float = 2.0, rounds: int = 50
     profiles.
     """
 
+    ship(vectors.sparkSession)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, i = np.unique(rows["key"].to_numpy(), return_inverse=True)
         dims, j = np.unique(rows["dim"].to_numpy(), return_inverse=True)

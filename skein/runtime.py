@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +36,45 @@ def cut(df: DataFrame) -> DataFrame:
     (tests on one machine) a temporary one is made.  The result survives lost executors.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+    ship(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+_own_folder: list[str] = []
+_shipped: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="skein-"))
+    return _own_folder[0]
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once an application, by way of the shared folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    packed, root = io.BytesIO(), Path(__file__).parent
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{root.name}/{p.relative_to(root).as_posix()}"), p.read_bytes())
+    data = packed.getvalue()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{root.name}-{sc.applicationId}-{hashlib.sha1(data).hexdigest()[:12]}.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(data)
+    out.close()
+    sc.addPyFile(path.toString())
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.functions.scalars import to_time
+from skein.runtime import shared_folder, ship
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
@@ -50,14 +50,14 @@ def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 QUEUE = "username string, reply_cnt bigint, since_id bigint, done_time bigint"
 
 
-def crawl_queue(events: DataFrame, done_seconds: Column | None = None) -> DataFrame:
+def crawl_queue(events: DataFrame) -> DataFrame:
     """State of the crawl queue by user, from events (username, kind, at, since_id).
 
     ``mention`` adds one to the user's reply counter if the user was never done, or if it is newer than the
     user's done time; ``done`` sets done time and last seen id and starts the counter anew; ``block`` sets the
     counter to -1 for good.  Events of one batch are taken in order of time.
     """
-    del done_seconds
+    ship(events.sparkSession)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, since, done = state.get if state.exists else (0, 0, 0)
@@ -82,8 +82,7 @@ def word_hours_of_files(spark: SparkSession, folder: str) -> DataFrame:
     Repeated tweets are dropped within the watermark, which spans the table here since the files are in no
     order.  The result is read from the stream's own output.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/tweets.parquet").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/tweets.parque[t]")  # a pattern, as the table may be one file
     rows = deduplicated(source.where("created_at is not null").select("id", to_time("created_at").alias("ts")), "id", "ts", "60 days")
