@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.runtime import table
+from skein.runtime import ship, table
 
 #: Splitting pattern of the vocabulary, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -111,6 +111,7 @@ def _encoded(path: str):
 
 def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
     """(doc_id, ids): one row a document, no shuffle."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encoded(path or vocabulary_path()), f"doc_id {kind}, ids array<int>")
 

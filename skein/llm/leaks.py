@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.runtime import table
+from skein.runtime import ship, table
 
 #: Words of a passage; characters of the items in one index.
 SPAN, ITEM_CHARS = 12, 32_000_000
@@ -95,6 +95,7 @@ def _matches(index):
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, span: int = SPAN, item_chars: int = ITEM_CHARS) -> DataFrame:
     """(doc_id, item_id): every document that holds ``span`` consecutive words, or all words, of an item."""
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     asked = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     parts = 1 + (asked.agg(F.sum(F.length("text"))).first()[0] or 0) // item_chars

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.runtime import table
+from skein.runtime import ship, table
 
 #: Iterations of expectation-maximisation; the log-likelihood changes by less than 1e-6 a record long before.
 ROUNDS = 60
@@ -75,6 +75,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def two_poisson(rows: DataFrame, hist: DataFrame) -> DataFrame:
     """(record, term, cnt, d, total, elite): every occurrence with the posterior of its elite component."""
+    ship(rows.sparkSession)
     kind = dict(hist.dtypes)["term"]
     fitted = hist.select("term", "hist", F.col("total")).mapInArrow(_fit, f"term {kind}, share double, low double, high double")
     known = hist.select("term", "d", "total").join(fitted, "term")

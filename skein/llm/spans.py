@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.runtime import cut, table
+from skein.runtime import cut, ship, table
 
 #: Characters of a paragraph and of a shingle; places of a signature that are compared two by two.
 SPAN, GRAM, FEW = 200, 100, 16
@@ -150,6 +150,7 @@ class Shared:
     the verified paragraphs of more frequent signatures."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, span: int = SPAN, gram: int = GRAM, few: int = FEW) -> None:
+        ship(docs.sparkSession)
         self.span, self.gram = span, gram
         texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span).select(F.unhex(F.md5("text")).alias("cls"), "doc_id", "text")
         self.members = texts.select("cls", "doc_id", F.length("text").alias("n_chars"))

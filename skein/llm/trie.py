@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.runtime import cut, table
+from skein.runtime import cut, ship, table
 
 #: Terms of a leaf before it bursts, and of a trie before it is handed over.
 LEAF, TRIE = 512, 500_000
@@ -96,6 +96,7 @@ def _counter(capacity: int, limit: int, integers: bool):
 def term_counts(rows: DataFrame, record: str, term: str, capacity: int = LEAF, limit: int = TRIE) -> DataFrame:
     """(term, occurrences, records): rows and different records of every term; a row of the null term has the
     different records of all rows.  ``term`` is a string or an integer column."""
+    ship(rows.sparkSession)
     integers = dict(rows.dtypes)[term] != "string"
     kind = "bigint" if integers else "string"
     there = rows.select(F.col(record).alias("record"), F.col(term).cast(kind).alias("term"))

@@ -18,6 +18,11 @@ def test_bare_texts(spark):
     assert got == [True, True, True, True, True, True, False, False, False, True, False, False, True]
 
 
+def test_bare_long_texts(spark):
+    texts = [" " * 300_000, "@a " * 100_000, "@" + "a" * 300_000, "@a " * 100_000 + "x"]
+    assert [r.b for r in spark.createDataFrame([(t,) for t in texts], "t string").select(bare(F.col("t")).alias("b")).collect()] == [True, True, True, False]
+
+
 def test_conversations(spark):
     rows = [
         # whole, with a repeated row and a zero link
