@@ -157,6 +157,8 @@ SQL = {
     "a16_topic_trends": f"with {_T} select cluster_date, topic, members_len, round(max_trend, 6) max_trend, round(avg_trend, 6) avg_trend from tp",
     "t4_published_topics": f"with {_T} select cluster_date, topic, r as \"rank\" from (select *, row_number() over (partition by cluster_date order by max_trend desc, topic)::int r from tp) where r <= 15",
     "t12_topic_page": f"with {_T} select cluster_date, topic, members_len, round(max_trend, 6) max_trend, round(avg_trend, 6) avg_trend from tp order by round(avg_trend, 6) desc, 1, 2 limit 20 offset 10",
+    "d9_unique_members": f"""with {_T} select cluster_date, topic, (len(list_distinct(txt)) + (len(list_filter(txt, lambda x: x is null)) > 0)::int)::int n,
+  array_to_string(list_filter(txt, lambda x, i: list_position(txt, x) = i), ' ') title from tp""",
     "j17_topics_of_members": f"with {_T}, f as (select members_md5, min(cluster_date) relevant from tp group by 1) select cluster_date, topic, relevant from tp join f using (members_md5)",
     "x25_trend_classes": f"""with {_TR}, r as (select word_md5, round(trend, 3) t from tr) select word_md5, case when abs(t) >= 15 then 'strong' when abs(t) >= 3 then 'mild' else 'flat' end old_class,
   case when abs(t) >= 0.5 then 'strong' when abs(t) >= 0.1 then 'mild' else 'flat' end new_class, t > 0 grows from r""",

@@ -214,10 +214,19 @@ QUERIES = {
     "g11_words_of_pairs": lambda s, d: fr.distances(s, d).where("sim < 0.45").select(F.explode(F.array("a", "b")).alias("word")).distinct(),
 }
 
+from skein.operators.trend import _TR  # noqa: E402
+
 _SYM = f"{fr.DIST}, sy as (select a, b, sim from dist union all select b, a, sim from dist)"
 _NN = f"{_SYM}, nn as (select a word, b neighbour, sim dist, row_number() over (partition by a order by sim, b)::int \"rank\" from sy where sim < 0.45 qualify row_number() over (partition by a order by sim, b) <= 8)"
 _MEM = "mem as (select cluster_date, topic, try_cast(json_extract_string(m, '$.id') as bigint) id from (select cluster_date, topic, unnest(json_extract(t, '$.members[*]')) m from (select cluster_date, generate_subscripts(ts, 1) topic, unnest(ts) t from (select cluster_date, json_extract(cluster::json, '$.clusters[*]') ts from clusters where cluster_date is not null and json_valid(cluster)))))"
+_GREEDY = f"""{_TR}, {_NN}, bad as (select 40693175::bigint w union select b from sy where a = 40693175 and sim < 0.6),
+  ln as (select word, list(neighbour order by dist, neighbour) n from nn group by 1),
+  sd as (select word_md5 word, trend from (select word_md5, round(trend, 6) trend from tr) where word_md5 in (select a from sy) and word_md5 not in (select w from bad) and trend is not null order by trend desc, word_md5 limit 2000),
+  rk as (select row_number() over (order by trend desc, word)::bigint i, word, n from sd join ln using (word)),
+  walk as (select 0::bigint i, []::bigint[] taken, false picked union all
+    select rk.i, case when list_contains(taken, rk.word) then taken else list_concat(taken, rk.n) end, not list_contains(taken, rk.word) from walk join rk on rk.i = walk.i + 1)"""
 SQL = {
+    "u3_greedy_topics": f"with recursive {_GREEDY} select word centroid, array_to_string(list_prepend(word, n), ',') members from walk join rk using (i) where picked and not list_contains(n, 40693175)",
     "w3_nearest_words": f"with {_NN} select * from nn",
     "g1_symmetric_distances": f"with {_SYM} select * from sy union all select distinct a, a, 0.0::double from sy",
     "d1_measured_words": f"with {fr.DIST} select a word from dist union select b from dist",

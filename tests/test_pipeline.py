@@ -10,6 +10,7 @@ from skein.config import Settings
 from skein.functions.scalars import digest
 from skein.plans import catalog
 from skein.plans.pipeline import run
+from tests.oracle import both, connect
 
 
 def test_pipeline_finds_the_planted_topic(spark):
@@ -35,9 +36,18 @@ def test_pipeline_finds_the_planted_topic(spark):
     assert set(got.seconds) == set(got.tables)
 
 
+@pytest.fixture(scope="module")
+def con(sf):
+    return connect(sf)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_query_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).count() >= 0
+def test_query_equals_its_sql(spark, sf, con, name):
+    if name in catalog.SQL:
+        got, want = both(con, spark, sf, catalog.QUERIES[name], catalog.SQL[name])
+        assert got == want
+    else:
+        assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):
