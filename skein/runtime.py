@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import io
 import tempfile
+import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -29,17 +31,33 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
+def cut(df: DataFrame, *instead_of: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and continue from its files.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary one is made.  The result survives lost executors.
+    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests on one
+    machine) a temporary one is made.  The result survives lost executors.  Tables of ``instead_of`` that were
+    made by this function are deleted when the new one is whole: the caller reads them no more.
     """
     spark = df.sparkSession
     ship(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    for old in instead_of:
+        drop(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_tables: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame made by ``cut``; others stay."""
+    ref, path = _tables.pop(id(df), (None, ""))
+    if ref is not None and ref() is df:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _own_folder: list[str] = []
