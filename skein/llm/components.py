@@ -4,7 +4,7 @@ Large-star links every larger neighbour of a vertex to the least vertex of its n
 links the vertex and its smaller neighbours to the least of these.  Repeated in turn, the links become stars
 round the least vertex of each component.  Both are a grouped minimum joined back to the links, so that a
 vertex with a third of all links is reduced before the shuffle and split by adaptive execution after it.
-Every round is cut by a reliable checkpoint; its size is that of the links.
+Every round is written to the shared folder and replaces the one before; its size is that of the links.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = arcs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = cut(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        edges = cut(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), edges)
         # unchanged links are stars: compare count and an order-free digest of them
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:

@@ -51,7 +51,9 @@ def conversations(tweets: DataFrame) -> DataFrame:
     rows = cut(
         messages.join(found, messages["id"] == found["vertex"])
         .join(links.where("early").select(F.col("id").alias("early_id")).distinct(), F.col("id") == F.col("early_id"), "left")
-        .select("component", "id", "parent", "created_at", "user", (F.col("bare") | F.col("early_id").isNotNull()).alias("bad"))
+        .select("component", "id", "parent", "created_at", "user", (F.col("bare") | F.col("early_id").isNotNull()).alias("bad")),
+        messages,
+        links,
     )
     whole = (
         rows.groupBy("component")

@@ -37,21 +37,24 @@ def density_groups(links: DataFrame, a: str, b: str, dist: str) -> DataFrame:
         seen = arcs.join(density, "u").join(density.select(F.col("u").alias("v"), F.col("density").alias("density_v")), "v")
         denser = seen.where((F.col("density_v") > F.col("density")) | ((F.col("density_v") == F.col("density")) & (F.col("v") < F.col("u"))))
         up = denser.groupBy("u").agg(F.min(F.struct("dist", "v")).alias("m")).select("u", F.col("m.v").alias("p"))
-        pointers = cut(density.select("u").join(up, "u", "left").select("u", F.coalesce("p", "u").alias("p")))
+        stored = pointers = cut(density.select("u").join(up, "u", "left").select("u", F.coalesce("p", "u").alias("p")))
         while True:  # each jump halves the way that is left
             far = pointers.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = cut(pointers.join(far, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            jumped = cut(pointers.join(far, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), stored)
+            stored = jumped
             pointers = jumped.select("u", "p")
             if jumped.where("moved").isEmpty():
                 break
-        labels = cut(labels.join(pointers, labels["peak"] == pointers["u"], "left").select("record", F.coalesce("p", "peak").alias("peak")))
+        labels = cut(labels.join(pointers, labels["peak"] == pointers["u"], "left").select("record", F.coalesce("p", "peak").alias("peak")), labels)
         at = lambda end: pointers.select(F.col("u").alias(end), F.col("p").alias(f"{end}_peak"))
         edges = cut(
             edges.join(at("u"), "u")
             .join(at("v"), "v")
             .where("u_peak <> v_peak")
             .groupBy(F.least("u_peak", "v_peak").alias("u"), F.greatest("u_peak", "v_peak").alias("v"))
-            .agg(F.min("dist").alias("dist"))
+            .agg(F.min("dist").alias("dist")),
+            edges,
+            stored,
         )
     names = labels.groupBy("peak").agg(F.min("record").alias("group"))
     return labels.join(names, "peak").select("record", "group")

@@ -196,7 +196,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, radius: float
                 p = _unit(raw).astype(np.float32) @ directions()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(leaf_of(p, splits)), pa.array(list(p), pa.list_(pa.float32()))], ["id", "raw", "leaf", "p"])
 
-    placed = cut(rows.mapInArrow(place, "id bigint, raw binary, leaf bigint, p array<float>"))
+    placed = cut(rows.mapInArrow(place, "id bigint, raw binary, leaf bigint, p array<float>"), rows)
     ends = [f(F.get("p", F.lit(i))).alias(f"{w}{i}") for i in range(DIMS) for f, w in ((F.min, "lo"), (F.max, "hi"))]
     boxes = placed.groupBy("leaf").agg(F.count("*").alias("n"), *ends).orderBy("leaf").collect()
     blocks = [(int(r.leaf), salt, -(-r.n // BLOCK), [r[f"lo{i}"] for i in range(DIMS)], [r[f"hi{i}"] for i in range(DIMS)]) for r in boxes for salt in range(-(-r.n // BLOCK))]

@@ -161,7 +161,7 @@ class Shared:
         one = self.members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
         asked = wanted.join(one, "cls").select("cls", "doc_id", "few", "many")
         kinds = "cls binary, start int, h1 bigint, h2 bigint, before bigint, left string, right string"
-        rows = cut(texts.drop("cls").join(asked, "doc_id").select("cls", "text", "few", "many").mapInArrow(_verified(span, gram), kinds))
+        rows = cut(texts.drop("cls").join(asked, "doc_id").select("cls", "text", "few", "many").mapInArrow(_verified(span, gram), kinds), signed)
         self.few = self._compared(rows.where("right is not null"))
         self.many = rows.where("right is null").select("cls", "start", "h1", "h2", "before")
 
