@@ -28,8 +28,8 @@ from skein.runtime import ship, table
 
 #: Splitting pattern of the vocabulary, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of the rolling window, mean characters of a chunk, characters of remembered chunks.
-WINDOW, CHUNK, MEMORY = 12, 256, 16_000_000
+#: Characters of the rolling window, mean characters of a chunk, characters of remembered chunks, texts hashed at once.
+WINDOW, CHUNK, MEMORY, TEXTS = 12, 256, 16_000_000, 256
 
 _encoders: dict[str, Encoder] = {}
 
@@ -48,22 +48,34 @@ _LETTERS = np.zeros(0x530, bool)
 _LETTERS[[c for c in range(0x530) if chr(c).isalpha()]] = True
 
 
-def pieces(text: str, chunk: int = CHUNK) -> list[str]:
-    """The chunks and repaired joins of a text; joined they are the text, encoded apart they give its ids."""
-    n = len(text)
-    if n <= max(WINDOW, chunk // 2):
-        return [text] if n else []
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+def pieces(texts: list[str], chunk: int = CHUNK) -> tuple[list[str], np.ndarray]:
+    """The chunks and repaired joins of texts, and the number of the text each belongs to.
+
+    A text's pieces joined are the text, and encoded apart they give its ids.  All texts are hashed at once; a
+    window that reaches over the end of a text cuts nothing.
+    """
+    whole, starts = "".join(texts), np.cumsum([0, *map(len, texts)])
+    if not whole:
+        return [], np.empty(0, np.int64)
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     sure = np.flatnonzero((codes[1:] == 32) & _LETTERS[np.minimum(codes[:-1], 0x52F)] & (codes[:-1] < 0x530)) + 1
-    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    sums = np.zeros(n - WINDOW + 1, np.uint64)
-    for i in range(WINDOW):
-        sums = sums * np.uint64(0x100000001B3) + mixed[i : n - WINDOW + 1 + i]
-    cuts = np.flatnonzero((sums >> np.uint64(40)) % np.uint64(chunk) == 0) + WINDOW // 2
-    at = np.searchsorted(sure, cuts)
-    ends = np.concatenate([sure[at[at < len(sure)]], sure[np.maximum(at, 1) - 1][at > 0] if len(sure) else sure, [0, n]])
-    ends = np.unique(ends).tolist()
-    return [text[a:b] for a, b in zip(ends, ends[1:])]
+    ends = [starts]
+    if len(codes) >= WINDOW and len(sure):
+        mixed, last = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), len(codes) - WINDOW + 1
+        sums = np.zeros(last, np.uint64)
+        for i in range(WINDOW):
+            sums = sums * np.uint64(0x100000001B3) + mixed[i : last + i]
+        hits = np.flatnonzero((sums >> np.uint64(40)) % np.uint64(chunk) == 0)
+        of = lambda at: np.searchsorted(starts, at, side="right")
+        hits = hits[of(hits) == of(hits + WINDOW - 1)]
+        cuts = hits + WINDOW // 2
+        for near in (np.searchsorted(sure, cuts), np.searchsorted(sure, cuts) - 1):
+            there = (near >= 0) & (near < len(sure))
+            border, cut = sure[near[there]], cuts[there]
+            ends.append(border[of(border) == of(cut)])
+    bounds = np.unique(np.concatenate(ends))
+    parts = bounds.tolist()
+    return [whole[x:y] for x, y in zip(parts, parts[1:])], np.searchsorted(starts, bounds[:-1], side="right") - 1
 
 
 class Encoder:
@@ -77,19 +89,16 @@ class Encoder:
         self.known: dict[str, np.ndarray] = {}
         self.chars = 0
 
-    def ids(self, text: str | None) -> list[np.ndarray]:
-        out = []
-        for piece in pieces(text or ""):
-            ids = self.known.get(piece)
-            if ids is None:
-                ids = np.array(self.encode(piece), np.int32)
-                if self.chars > MEMORY:
-                    self.known.clear()
-                    self.chars = 0
-                self.known[piece] = ids
-                self.chars += len(piece)
-            out.append(ids)
-        return out
+    def ids(self, piece: str) -> np.ndarray:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = np.array(self.encode(piece), np.int32)
+            if self.chars > MEMORY:
+                self.known.clear()
+                self.chars = 0
+            self.known[piece] = ids
+            self.chars += len(piece)
+        return ids
 
 
 def _encoded(path: str):
@@ -98,11 +107,12 @@ def _encoded(path: str):
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                lists = [encoder.ids(t) for t in part.column(1).to_pylist()]
-                sizes = [sum(map(len, x)) for x in lists]
-                flat = np.concatenate([a for x in lists for a in x]) if any(sizes) else np.empty(0, np.int32)
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                parts, of = pieces([t or "" for t in part.column(1).to_pylist()])
+                lists = [encoder.ids(p) for p in parts]
+                sizes = np.bincount(of, np.fromiter(map(len, lists), np.int64, len(lists)), part.num_rows)
+                flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
 

@@ -47,8 +47,14 @@ _ENCODER = Encoder(vocabulary_path())
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["слово", "word", "ё", "  ", " ", "\n", "'s", "123", "!?", "👩‍👧", "a" * 40, "<|endoftext|>", "\xa0", "ы ы ы"]), max_size=200).map(" ".join) | st.text(max_size=900))
 def test_pieces_encode_as_the_whole(text):
-    assert "".join(pieces(text, 16)) == text
-    assert [i for p in pieces(text, 16) for i in _ENCODER.encode(p)] == _ENCODER.encode(text)
+    texts = ["", text, "", text[::-1], "слово ещё", ""]
+    parts, of = pieces(texts, 16)
+    for i, t in enumerate(texts):
+        mine = [p for p, j in zip(parts, of) if j == i]
+        assert "".join(mine) == t
+        assert [x for p in mine for x in _ENCODER.encode(p)] == _ENCODER.encode(t)
+    # the pieces of a text do not depend on its neighbours
+    assert [p for p, j in zip(parts, of) if j == 1] == pieces([text], 16)[0]
 
 
 def test_encoding_of_documents(spark, sf):
@@ -63,7 +69,7 @@ def test_chunks_are_shared_by_shared_passages():
     rnd = random.Random(1)
     words = ["".join(rnd.choices("абвгдежз", k=rnd.randrange(2, 9))) for _ in range(3000)]
     passage = " ".join(words[:1500])
-    a, b = pieces("начало " + passage), pieces(" ".join(words[1500:]) + " " + passage)
+    a, b = pieces(["начало " + passage])[0], pieces([" ".join(words[1500:]) + " " + passage])[0]
     assert len(set(a) & set(b)) > 0.8 * len(a)
 
 
