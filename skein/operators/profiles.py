@@ -202,8 +202,8 @@ QUERIES = {
     "x12_entropy_weights": lambda s, d: _rounded(entropy_weights(_profiles(s, d)), "weight"),
     "x20_vector_sums": _vector_sum,
     "j12_compared_profiles": _compared,
-    "a11_distances": lambda s, d: _rounded(cosine_distances(weighted(_profiles(s, d, 300))), "sim"),
-    "u7_latent_cosines": lambda s, d: _rounded(latent_cosines(weighted(_profiles(s, d, 300))), "sim"),
+    "a11_distances": lambda s, d: _rounded(cosine_distances(weighted(_profiles(s, d, SETTINGS.profiles_kept))), "sim"),
+    "u7_latent_cosines": lambda s, d: _rounded(latent_cosines(weighted(_profiles(s, d, SETTINGS.profiles_kept))), "sim"),
     "f7_blocked_posts": lambda s, d: profiles(fr.matrix(s, d), fr.counts(s, d), top_replies(fr.matrix(s, d)), blocked=(SETTINGS.total_key, 797835322)).groupBy("post_md5").agg(F.count("*").alias("n")),
     "a29_profile_sizes": lambda s, d: _profiles(s, d).groupBy("post_md5").agg(F.count("*").cast("double").alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev("n"), 6).alias("sd"), F.round(F.skewness("n"), 4).alias("skew"), F.median("n").alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total")),
 }

@@ -83,6 +83,17 @@ def test_cosine_distances_against_numpy(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_distances_keep_the_profiles_of_the_settings(spark, tmp_path):
+    n = 310
+    counts = [(i, 6 + i) for i in range(n)]
+    cells = [(i, 1000 + (i + j) % 40, 1 + (i * j) % 3) for i in range(n) for j in range(4)]
+    spark.createDataFrame(counts, "post_md5 bigint, post_cnt bigint").write.parquet(str(tmp_path / "post_cnt.parquet"))
+    spark.createDataFrame(cells, "post_md5 bigint, reply_md5 bigint, reply_cnt bigint").write.parquet(str(tmp_path / "post_reply_cnt.parquet"))
+    for name in ("a11_distances", "u7_latent_cosines"):
+        got = {frozenset((r.post1_md5, r.post2_md5)) for r in profiles.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert len(got) == n * (n - 1) // 2, name
+
+
 def test_idf_cancels_in_distances(spark):
     p = spark.createDataFrame([(1, 1, 3, 10), (1, 2, 1, 10), (2, 1, 2, 5000), (2, 3, 4, 5000)], "post_md5 bigint, reply_md5 bigint, reply_cnt bigint, post_cnt bigint")
     plain = p.select("post_md5", "reply_md5", (1 + F.log("reply_cnt")).alias("weight"))
