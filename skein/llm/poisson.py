@@ -1,8 +1,8 @@
 """How distinctive a term is for a record (problem 5): two-Poisson mixture per term.
 
 For every term the histogram of its counts over the records (zeros included) is fitted by
-expectation-maximisation as a mixture of two Poisson distributions: records about the term (elite) and the
-rest.  The posterior probability of the elite component, given the count, scores an occurrence.  Histograms
+expectation-maximisation, until no parameter moves, as a mixture of two Poisson distributions: records about the
+term (elite) and the rest.  The posterior probability of the elite component, given the count, scores an occurrence.  Histograms
 are built and fitted a term a row; a histogram has as many entries as there are different counts.
 
 Nulls: rows with a null in any column or a count below 1 are left out.  Repeated rows count once; a pair with
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from skein.runtime import ship, table
 
-#: Iterations of expectation-maximisation; the log-likelihood changes by less than 1e-6 a record long before.
-ROUNDS = 60
+#: A term is fitted when a round moves none of its parameters by more than this part of it.
+STILL = 1e-9
 
 
 def occurrences(rows: DataFrame, record: str, term: str, count: str) -> DataFrame:
@@ -38,20 +38,31 @@ def histograms(rows: DataFrame) -> DataFrame:
     return hist.join(d, "term").withColumn("total", total)
 
 
-def fit_mixture(values: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(share of elite, mean of the rest, mean of elite) for each row of the padded histograms."""
+def fit_mixture(values: np.ndarray, counts: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of elite, mean of the rest, mean of elite) for each row of the padded histograms.
+
+    Rows leave when their parameters stand still; ``rounds`` ends all of them earlier.  A share below one record
+    is held against one record.
+    """
     n = counts.sum(1)
     mean = (values * counts).sum(1) / n
     top = np.where(counts > 0, values, 0).max(1)
     low, high, share = np.maximum(mean * 0.5, 1e-9), np.maximum((mean + top) / 2, mean * 1.5 + 1e-9), np.full(len(n), 0.1)
-    for _ in range(rounds):
-        log_odds = np.log(share / (1 - share))[:, None] + values * np.log(high / low)[:, None] - (high - low)[:, None]
-        elite = counts / (1 + np.exp(-np.clip(log_odds, -700, 700)))
-        rest = counts - elite
+    at, v, c, m, done = np.arange(len(n)), values, counts, n, 0
+    while len(at) and done != rounds:
+        s, lo, hi = share[at], low[at], high[at]
+        log_odds = np.log(s / (1 - s))[:, None] + v * np.log(hi / lo)[:, None] - (hi - lo)[:, None]
+        elite = c / (1 + np.exp(-np.clip(log_odds, -700, 700)))
+        rest = c - elite
         e, r = elite.sum(1), rest.sum(1)
-        high = np.maximum((elite * values).sum(1) / np.maximum(e, 1e-12), 1e-9)
-        low = np.maximum((rest * values).sum(1) / np.maximum(r, 1e-12), 1e-9)
-        share = np.clip(e / n, 1e-9, 1 - 1e-9)
+        high[at] = np.maximum((elite * v).sum(1) / np.maximum(e, 1e-12), 1e-9)
+        low[at] = np.maximum((rest * v).sum(1) / np.maximum(r, 1e-12), 1e-9)
+        share[at] = np.clip(e / m, 1e-9, 1 - 1e-9)
+        moved = np.maximum(abs(high[at] - hi) / hi, abs(low[at] - lo) / lo)
+        moved = np.maximum(moved, abs(share[at] - s) / np.maximum(np.minimum(s, 1 - s), 1 / m)) > STILL
+        if not moved.all():
+            at, v, c, m = at[moved], v[moved], c[moved], m[moved]
+        done += 1
     turn = high < low
     return np.where(turn, 1 - share, share), np.where(turn, high, low), np.where(turn, low, high)
 
@@ -69,7 +80,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.zeros((2, len(sizes), int(sizes.max(initial=0)) + 1))
         values[at, slot], counts[at, slot] = cnt, n
         counts[:, 0] = np.maximum(batch.column(2).to_numpy() - counts.sum(1), 0)
-        share, low, high = fit_mixture(values, counts)
+        once, of = np.unique(np.hstack([values, counts]), axis=0, return_inverse=True)  # many terms have equal histograms
+        share, low, high = (x[of] for x in fit_mixture(*np.hsplit(once, 2)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share), pa.array(low), pa.array(high)], ["term", "share", "low", "high"])
 
 

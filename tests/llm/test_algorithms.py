@@ -134,6 +134,20 @@ def test_mixture_recovers_its_parameters():
     assert abs(s[0] - share) < 0.01 and abs(a[0] - low) < 0.03 and abs(b[0] - high) < 0.1
 
 
+def test_mixture_is_fitted_to_the_end():
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((8, 2000)) < 0.3, rng.poisson(1.6, (8, 2000)), rng.poisson(0.7, (8, 2000)))
+    values = np.tile(np.arange(16.0), (8, 1))
+    counts = np.array([np.bincount(r, minlength=16) for r in x], float)
+    share, low, high = (p[:, None] for p in fit_mixture(values, counts))
+    elite = 1 / (1 + (1 - share) / share * np.exp(high - low) * (low / high) ** values)
+    e = (elite * counts).sum(1)
+    again = e / counts.sum(1), ((1 - elite) * counts * values).sum(1) / (counts.sum(1) - e), (elite * counts * values).sum(1) / e
+    assert all(np.allclose(a, p[:, 0], rtol=1e-7) for a, p in zip(again, (share, low, high)))
+    alone = [fit_mixture(values[i : i + 1], counts[i : i + 1]) for i in range(8)]
+    assert all(np.allclose(p[:, 0], [a[k][0] for a in alone], rtol=1e-6) for k, p in enumerate((share, low, high)))
+
+
 def test_two_poisson_scores_by_count(spark):
     rows = [(p, 1, 1) for p in range(40)] + [(p, 1, 30) for p in range(40, 50)] + [(p, 2, 2) for p in range(60)] + [(1, 1, 1), (1, None, 3), (None, 1, 3), (2, 3, None), (2, 3, 0)]
     df = occurrences(spark.createDataFrame(rows, "p bigint, t bigint, c bigint"), "p", "t", "c")
