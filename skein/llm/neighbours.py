@@ -7,16 +7,20 @@ projected distance exceeds the chi-square quantile times the distance sought is
 a bounded sample of ``SAMPLE`` rows, cuts all rows into blocks (blocks beyond ``BLOCK`` rows are split by a
 hash of the id), and pairs of blocks whose boxes fail the same test are never met.  Within a pair of blocks
 each query takes its nearest projected neighbours first; the k-th verified distance tightens the test, and the
-search goes on until no unverified neighbour can pass it.  A block pair gives at most k rows a query, so hot
-groups of equal vectors stay bounded; a final rank over the blocks keeps the k nearest.
+search goes on until no unverified neighbour can pass it.  A block pair gives at most k different ids for an
+id, its own left out, so hot groups of equal vectors stay bounded and the vectors of one id take one place; a
+final rank over the blocks keeps the k nearest.
 
 A vector is usable if it has ``WIDTH`` finite values, not all 0; others take no part.  Null ids are left out,
 repeated rows count once, a word with several vectors has each of them and its least distance counts.  Ties
-are resolved by the smaller id.  Empty input gives no rows.
+are resolved by the smaller id in every step; a distance is the same number wherever the two vectors meet.
+Empty input gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,61 +68,93 @@ def leaf_of(points: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
     return node - len(splits)
 
 
-def search(queries: np.ndarray, query_p: np.ndarray, data: np.ndarray, data_p: np.ndarray, k: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, cosine distance) of up to k neighbours within ``radius`` of each query."""
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _nothing() -> Edges:
+    return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+
+def _kept(edges: list[Edges], k: int) -> Edges:
+    """Of edges (id, other id, distance), each pair once with its least, the k first of each id by distance and other id."""
+    if not edges:
+        return _nothing()
+    i, j, dist = map(np.concatenate, zip(*edges))
+    order = np.lexsort((dist, j, i))
+    i, j, dist = i[order], j[order], dist[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    i, j, dist = i[first], j[first], dist[first]
+    order = np.lexsort((j, dist, i))
+    i, j, dist = i[order], j[order], dist[order]
+    near = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[near], j[near], dist[near]
+
+
+def _kth(dist: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The k-th least distance of each row over different ids other than its own; infinite if it has fewer."""
+    order = np.lexsort((dist, ids), axis=1)
+    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+    again = ids == own[:, None]
+    again[:, 1:] |= ids[:, 1:] == ids[:, :-1]
+    dist = np.sort(np.where(again, np.inf, dist), axis=1)
+    return dist[:, k - 1] if k <= dist.shape[1] else np.full(len(dist), np.inf)
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, query_p: np.ndarray, ids: np.ndarray, data: np.ndarray, data_p: np.ndarray, k: int, radius: float) -> Edges:
+    """(query id, id, cosine distance) of the k nearest other ids within ``radius`` of each query id."""
     found = []
     norms = (data_p**2).sum(1)
     for start in range(0, len(queries), ROWS):
-        q, qp = queries[start : start + ROWS], query_p[start : start + ROWS]
+        own, q, qp = query_ids[start : start + ROWS], queries[start : start + ROWS], query_p[start : start + ROWS]
         near = norms - 2 * (qp @ data_p.T)
         near += (qp**2).sum(1)[:, None]
-        limit = np.full(len(q), CHI2 * 2 * radius, np.float32)
-        passing = near <= limit[:, None]
+        passing = near <= np.float32(CHI2 * 2 * radius + 1e-3)
         full = np.flatnonzero(passing.sum(1) > FIRST)
         if len(full):  # verify the nearest first, then only what can still be among the k
             first = np.argpartition(near[full], FIRST, axis=1)[:, :FIRST]
-            kth = np.sort(np.clip(1 - np.einsum("ijk,ik->ij", data[first], q[full]), 0, None), axis=1)[:, min(k, FIRST) - 1]
-            kth = np.where(kth < 1e-9, -1, np.minimum(kth, radius))  # nothing is nearer than 0
-            passing[full] = near[full] <= (CHI2 * 2 * kth).astype(np.float32)[:, None]
+            kth = _kth(np.clip(1 - np.einsum("ijk,ik->ij", data[first], q[full]), 0, None), ids[first], own[full], k)
+            passing[full] = near[full] <= (CHI2 * 2 * np.minimum(kth, radius) + 1e-3).astype(np.float32)[:, None]
             rows = np.repeat(full, FIRST)
             passing[rows, first.ravel()] = True
         at, to = np.nonzero(passing)
+        other = own[at] != ids[to]
+        at, to = at[other], to[other]
         dist = np.empty(len(at))
         for i in range(0, len(at), PAIRS):
             s = slice(i, i + PAIRS)
             dist[s] = 1 - np.einsum("ij,ij->i", q[at[s]], data[to[s]])
         ok = dist <= radius
-        at, to, dist = at[ok], to[ok], dist[ok]
-        order = np.lexsort((dist, at))
-        at, to, dist = at[order], to[order], dist[order]
-        rank = np.arange(len(at)) - np.searchsorted(at, at)
-        keep = rank < k
-        found.append((at[keep] + start, to[keep], dist[keep]))
-    return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, int),) * 2 + (np.empty(0),)
-
-
-def _kept(edges: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The edges that are among the k shortest of either end."""
-    i, j, dist = edges
-    source = np.concatenate([i, j])
-    order = np.lexsort((np.concatenate([j, i]), np.concatenate([dist, dist]), source))
-    source = source[order]
-    near = np.zeros(len(order), bool)
-    near[order] = np.arange(len(order)) - np.searchsorted(source, source) < k
-    near = near[: len(i)] | near[len(i) :]
-    return i[near], j[near], dist[near]
+        found.append(_kept([(own[at[ok]], ids[to[ok]], dist[ok])], k))
+    return _kept(found, k)
+
+
+def _tile(i: np.ndarray, j: np.ndarray, dist: np.ndarray, k: int) -> list[Edges]:
+    """Edges of a tile whose rows have the ids ``i`` and columns ``j``, both sorted: the k nearest ids of each id, both ways."""
+    i, row = np.unique(i, return_index=True)
+    j, column = np.unique(j, return_index=True)
+    d = np.minimum.reduceat(np.minimum.reduceat(dist, column, axis=1), row, axis=0)
+    d[i[:, None] == j[None]] = np.inf
+    out = []
+    for a, b, m in ((i, j, d), (j, i, np.ascontiguousarray(d.T))):
+        m, at = m.copy(), np.arange(len(a))
+        for _ in range(min(k, len(b))):
+            to = m.argmin(1)  # of equal distances the first, so the smaller id
+            out.append((a, b[to], m[at, to]))
+            m[at, to] = np.inf
+    return out
 
 
-def meet(left: np.ndarray, left_p: np.ndarray, right: np.ndarray, right_p: np.ndarray, k: int, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, distance) of all pairs of two blocks within ``radius`` that are among the k nearest of i or of j.
+def meet(left_ids: np.ndarray, left: np.ndarray, left_p: np.ndarray, right_ids: np.ndarray, right: np.ndarray, right_p: np.ndarray, k: int, radius: float, same: bool) -> Edges:
+    """(id, other id, distance), both ways, of all pairs of two blocks within ``radius`` that are among the k nearest of the first.
 
     One product of a tile gives all its projected distances.  Pairs that pass are verified; a tile with very
-    many (equal vectors) keeps the k nearest of each of its rows and columns.  With ``same`` the blocks are one,
-    and i < j.
+    many (equal vectors) keeps the k nearest ids of each of its ids.  With ``same`` the blocks are one, and a pair
+    of rows is met once.  The rows of a block are sorted by id.
     """
     a = np.hstack([-2 * left_p, (left_p**2).sum(1, keepdims=True), np.ones((len(left_p), 1), np.float32)]).astype(np.float32)
     b = np.hstack([right_p, np.ones((len(right_p), 1), np.float32), (right_p**2).sum(1, keepdims=True)]).astype(np.float32)
-    shift, limit, found, size = 0 if same else len(left), np.float32(CHI2 * 2 * radius + 1e-3), [], 0
+    limit, found, size = np.float32(CHI2 * 2 * radius + 1e-3), [], 0
     for s in range(0, len(a), ROWS):
         for t in range(s // COLUMNS * COLUMNS if same else 0, len(b), COLUMNS):
             near = a[s : s + ROWS] @ b[t : t + COLUMNS].T
@@ -127,49 +163,43 @@ def meet(left: np.ndarray, left_p: np.ndarray, right: np.ndarray, right_p: np.nd
             if same:
                 i, j = i[i < j], j[i < j]
             if len(i) > PAIRS:
-                d = 1 - left[s : s + ROWS] @ right[t : t + COLUMNS].T
+                d = 1 - np.einsum("ik,jk->ij", left[s : s + ROWS], right[t : t + COLUMNS])
                 if same:
                     d[np.arange(s, s + len(d))[:, None] >= np.arange(t, t + d.shape[1])] = np.inf
-                n, m = min(k, d.shape[1]), min(k, d.shape[0])
-                best = np.zeros(d.shape, bool)
-                np.put_along_axis(best, np.argpartition(d, n - 1, axis=1)[:, :n], True, 1)
-                np.put_along_axis(best, np.argpartition(d, m - 1, axis=0)[:m], True, 0)
-                i, j = np.nonzero(best)
-                dist = d[i, j]
-                i, j = i + s, j + t
+                edges = _tile(left_ids[s : s + ROWS], right_ids[t : t + COLUMNS], d, k)
             else:
                 dist = 1 - np.einsum("ij,ij->i", left[i], right[j])
-            ok = dist <= radius
-            if ok.any():
-                found.append((i[ok], j[ok] + shift, dist[ok]))
-                size += int(ok.sum())
-                if size > 20 * PAIRS:
-                    found = [_kept(tuple(map(np.concatenate, zip(*found))), k)]
-                    size = len(found[0][0])
-    if not found:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
-    i, j, dist = _kept(tuple(map(np.concatenate, zip(*found))), k)
-    return i, j - shift, dist
+                edges = [(left_ids[i], right_ids[j], dist), (right_ids[j], left_ids[i], dist)]
+            for x, y, dist in edges:
+                ok = (dist <= radius) & (x != y)
+                if ok.any():
+                    found.append((x[ok], y[ok], dist[ok]))
+                    size += int(ok.sum())
+            if size > 20 * PAIRS:
+                found = [_kept(found, k)]
+                size = len(found[0][0])
+    return _kept(found, k)
 
 
 def _joined(k: int, radius: float, both: bool):
-    def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = t["id"].to_numpy()
-        unit = _unit(np.frombuffer(b"".join(t["raw"].to_pylist()), np.float32).reshape(-1, WIDTH)) if len(ids) else np.empty((0, WIDTH))
+    def of(t: pa.Table, targets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = t.sort_by("id")
+        ids, raw = t["id"].to_numpy(), t["raw"].to_pylist()
+        if targets:  # of equal vectors k ids and the query's own are enough
+            seen, fits = Counter(), np.empty(len(ids), bool)
+            for i, x in enumerate(raw):
+                seen[x] += 1
+                fits[i] = seen[x] <= k + 1
+            ids, raw = ids[fits], [x for x, f in zip(raw, fits) if f]
+        unit = _unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, WIDTH)) if len(ids) else np.empty((0, WIDTH))
         return ids, unit, unit.astype(np.float32) @ directions()
 
     def join(t: pa.Table) -> pa.Table:
         side, one = t["side"].to_numpy(), t["same"][0].as_py()
-        left = of(t.filter(pa.array(side == 0)))
-        right = left if one else of(t.filter(pa.array(side == 1)))
-        if both:
-            i, j, d = meet(*left[1:], *right[1:], k, radius, one)
-            id1, id2, dist = np.concatenate([left[0][i], right[0][j]]), np.concatenate([right[0][j], left[0][i]]), np.concatenate([d, d])
-        else:
-            i, j, dist = search(*left[1:], *right[1:], k + 1, radius)  # a query may meet itself among the data
-            id1, id2 = left[0][i], right[0][j]
-        other = id1 != id2
-        return pa.table({"id1": id1[other], "id2": id2[other], "dist": dist[other]})
+        left = of(t.filter(pa.array(side == 0)), False)
+        right = left if one else of(t.filter(pa.array(side == 1)), not both)
+        id1, id2, dist = meet(*left, *right, k, radius, one) if both else search(*left, *right, k, radius)
+        return pa.table({"id1": id1, "id2": id2, "dist": dist})
 
     return join
 

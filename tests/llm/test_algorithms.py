@@ -92,6 +92,42 @@ def test_neighbours_against_brute_force(spark):
     assert nearest(df.limit(0), "id", "vec", 5, 0.15).collect() == []
 
 
+def _of_words(ids, v, k, radius):
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    dist, near = 1 - np.einsum("ik,jk->ij", unit, unit), {}
+    for a in set(ids.tolist()):
+        least = {}
+        for i in np.flatnonzero(ids == a):
+            for j in np.flatnonzero((ids != a) & (dist[i] <= radius)):
+                least[int(ids[j])] = min(dist[i, j], least.get(int(ids[j]), 9))
+        near[a] = [b for _, b in sorted((d, b) for b, d in least.items())][:k]
+    return near
+
+
+def test_neighbours_of_words_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal(64) + rng.standard_normal((400, 64)) * 0.2
+    ids = np.concatenate([np.full(200, 50), rng.integers(0, 80, 200)])  # word 50 has half of the rows
+    v[390:] = v[380]  # equal vectors of different words
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id bigint, vec array<float>")
+    for k, radius, queries in ((5, 0.15, None), (10, 2.0, "id % 10 = 0")):
+        want = {(a, b): r for a, near in _of_words(ids, v, k, radius).items() if queries is None or a % 10 == 0 for r, b in enumerate(near, 1)}
+        got = {(r.id1, r.id2): r.rank for r in nearest(df, "id", "vec", k, radius, queries).collect()}
+        assert len(got) == len(want) and len(got.items() & want.items()) >= 0.97 * len(want)
+
+
+def test_equal_distances_go_to_the_smaller_id(spark):
+    rows = [(1000 - i, [1.0] * 64) for i in range(700)] + [(5000, [1.0] * 63 + [1.5])]
+    df = spark.createDataFrame(rows, "id bigint, vec array<float>")
+    least = list(range(301, 307))
+    for queries in (None, "id % 50 = 0"):
+        got = {}
+        for r in nearest(df, "id", "vec", 5, 0.15, queries).orderBy("id1", "rank").collect():
+            got.setdefault(r.id1, []).append(r.id2)
+        assert len(got) == (701 if queries is None else 15) and all(near == [x for x in least if x != a][:5] for a, near in got.items())
+
+
 def test_neighbours_of_many_equal_vectors_stay_bounded(spark):
     df = spark.createDataFrame([(i, [1.0 + (i > 600)] * 32 + [1.0] * 32) for i in range(700)], "id bigint, vec array<float>")
     per = Counter(r.id1 for r in nearest(df, "id", "vec", 5, 0.15).collect())
