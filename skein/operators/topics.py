@@ -14,7 +14,7 @@ from skein.functions.scalars import digest_large, members_key, title
 from skein.operators.counters import symmetric
 from skein.operators.trend import word_trends
 from skein.plans import frames as fr
-from skein.runtime import ship, table
+from skein.runtime import cut, ship, table
 
 
 def neighbours(sims: DataFrame, k: int = SETTINGS.topic_neighbours, within: float = SETTINGS.topic_distance) -> DataFrame:
@@ -99,45 +99,60 @@ def cohesion(sims: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def medoids(sims: DataFrame, grid: Sequence[int], rounds: int = SETTINGS.medoid_rounds, trash: Sequence[int] = (), forced: int | None = SETTINGS.total_key, seed: int = 0) -> DataFrame:
-    """(k, word, medoid, ratio): k-medoids for each k of ``grid``, in parallel; ratio is mean distance within
+    """(k, word, medoid, ratio): k-medoids for each k of ``grid``; ratio is mean distance within
     clusters over that between them, the smaller the better.
 
     Words join the nearest medoid; a cluster's medoid becomes the member of least total distance that is no
-    trash word.  A distance matrix of all words is held by each task, so the caller has cut the words down.
+    trash word.  Pairs never measured count as 1 and are never made: a word without a medoid nearer than that
+    joins the first it was not measured with, and totals come from sums over measured pairs.  All k take a round
+    together, as joins; the driver holds the medoids.  The first are those of smallest hash; ties to the smaller key.
     """
-    ship(sims.sparkSession)
-    both = symmetric(sims, "a", "b", "sim")
-    spread = both.withColumn("k", F.explode(F.array(*(F.lit(k) for k in grid))))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.unique(rows["a"].to_numpy())
-        n, k = len(words), min(key[0], len(words))
-        d = np.ones((n, n))
-        d[np.searchsorted(words, rows["a"]), np.searchsorted(words, rows["b"])] = rows["sim"]
-        np.fill_diagonal(d, 0)
-        ok = ~np.isin(words, trash)
-        fixed = np.flatnonzero(words == forced)[:1]
-        free = np.flatnonzero(ok & (words != forced))
-        centres = np.concatenate([fixed, np.random.default_rng(seed).permutation(free)[: max(0, k - len(fixed))]])
-        for _ in range(rounds):
-            label = np.argmin(d[:, centres], axis=1)
-            new = centres.copy()
-            for i in range(len(fixed), len(centres)):
-                members = np.flatnonzero(label == i)
-                able = members[ok[members]]
-                if len(able):
-                    new[i] = able[np.argmin(d[np.ix_(able, members)].sum(1))]
-            if (new == centres).all():
-                break
-            centres = new
-        label = np.argmin(d[:, centres], axis=1)
-        same = label[:, None] == label[None]
-        off = ~np.eye(n, dtype=bool)
-        intra, extra = d[same & off], d[~same]
-        ratio = (intra.mean() if intra.size else 1.0) / (extra.mean() if extra.size else 1.0)
-        return pd.DataFrame({"k": key[0], "word": words, "medoid": words[centres[label]], "ratio": ratio})
-
-    return spread.groupBy("k").applyInPandas(run, "k int, word bigint, medoid bigint, ratio double")
+    both = cut(symmetric(sims, "a", "b", "sim"))
+    words = cut(both.select(F.col("a").alias("word")).distinct())
+    spark, able = sims.sparkSession, ~F.col("word").isin(*trash) if trash else F.lit(True)
+    fixed = [r.word for r in words.where(F.col("word") == F.lit(forced)).collect()]
+    free = words.where(able & ~F.col("word").isin(*fixed)) if fixed else words.where(able)
+    first = fixed + [r.word for r in free.orderBy(F.xxhash64(F.lit(seed), "word"), "word").limit(max(grid)).collect()]
+    centres = {k: first[: max(k, len(fixed))] for k in grid}
+
+    def assigned(ks: Sequence[int], *instead_of: DataFrame) -> DataFrame:
+        """(k, word, pos): the place of the word's medoid among those of k."""
+        c = F.broadcast(spark.createDataFrame([(k, i, w) for k in ks for i, w in enumerate(centres[k])], "k int, pos int, word bigint"))
+        near = both.join(c.withColumnRenamed("word", "b"), "b").select("k", F.col("a").alias("word"), F.col("sim").cast("double").alias("dist"), "pos")
+        near = near.unionByName(c.select("k", "word", F.lit(0.0).alias("dist"), "pos"))
+        best = near.groupBy("k", "word").agg(F.min(F.struct("dist", "pos")).alias("m"), F.collect_set("pos").alias("known"))
+        every = words.select("word", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(len(centres[k])).alias("n")) for k in ks))).alias("g")).select("word", "g.*")
+        unknown = F.when(F.col("known").isNull(), 0).otherwise(F.array_min(F.array_except(F.sequence(F.lit(0), F.size("known")), "known")))
+        far = F.when(unknown < F.col("n"), F.struct(F.lit(1.0).alias("dist"), unknown.alias("pos")))
+        return cut(every.join(best, ["k", "word"], "left").select("k", "word", F.least("m", far)["pos"].alias("pos")), *instead_of)
+
+    def within(labels: DataFrame) -> DataFrame:
+        """(k, pos, word, gain): what the measured pairs of a cluster lack to 1, by word."""
+        pairs = both.join(labels.withColumnRenamed("word", "a"), "a").join(labels.withColumnRenamed("word", "b"), ["b", "k", "pos"])
+        return pairs.groupBy("k", "pos", F.col("a").alias("word")).agg(F.sum((1 - F.col("sim")).cast("decimal(18,9)")).alias("gain"))
+
+    moving, labels = list(centres), ()
+    for _ in range(rounds):
+        labels = (assigned(moving, *labels),)
+        members = labels[0].where(F.col("pos") >= len(fixed))
+        gains = members.where(able).join(within(members), ["k", "pos", "word"], "left").withColumn("loss", -F.coalesce("gain", F.lit(0).cast("decimal(18,9)")))
+        new = {k: list(centres[k]) for k in moving}
+        for r in gains.groupBy("k", "pos").agg(F.min(F.struct("loss", "word")).alias("m")).collect():
+            new[r.k][r.pos] = r.m.word
+        moving = [k for k in moving if new[k] != centres[k]]
+        centres |= new
+        if not moving:
+            break
+    done = assigned(list(centres), *labels)
+    near, every = F.col("gain").cast("double"), both.agg(F.sum((1 - F.col("sim")).cast("decimal(18,9)")).cast("double").alias("all"))
+    sizes = done.groupBy("k", "pos").agg(F.count("*").alias("size")).groupBy("k").agg(F.sum("size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("square"))
+    sums = within(done).groupBy("k").agg(F.sum("gain").alias("gain"))
+    mean = lambda c, pairs: 1 - F.coalesce(F.try_divide(c, pairs), F.lit(0.0))
+    intra = mean(F.coalesce(near, F.lit(0.0)), F.col("square") - F.col("n"))
+    extra = mean(F.col("all") - F.coalesce(near, F.lit(0.0)), F.col("n") * F.col("n") - F.col("square"))
+    ratios = sizes.join(sums, "k", "left").crossJoin(every).select("k", (intra / extra).alias("ratio"))
+    names = F.broadcast(spark.createDataFrame([(k, i, w) for k in centres for i, w in enumerate(centres[k])], "k int, pos int, medoid bigint"))
+    return done.join(names, ["k", "pos"]).join(F.broadcast(ratios), "k").select("k", "word", "medoid", "ratio")
 
 
 def fuzzy_means(vectors: DataFrame, k: int, power: float = 2.0, rounds: int = 50, seed: int = 0) -> DataFrame:
@@ -209,7 +224,7 @@ QUERIES = {
     "g13_topics": _described,
     "f13_without_total": _without_total,
     "a28_cohesion": lambda s, d: cohesion(fr.distances(s, d), _labels(s, d)).select("label", "size", *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("intra", "extra")]),
-    "u4_medoids": lambda s, d: medoids(fr.distances(s, d).where("sim < 0.3").orderBy("a", "b").limit(3000), (20, 40)).select("k", "word", "medoid", F.round("ratio", 6).alias("ratio")),
+    "u4_medoids": lambda s, d: medoids(fr.distances(s, d), SETTINGS.medoid_grid).select("k", "word", "medoid", F.round("ratio", 6).alias("ratio")),
     "g10_published_words": lambda s, d: _snapshot_members(s, d).groupBy("id").agg(F.count("*").alias("n")),
     "g11_words_of_pairs": lambda s, d: fr.distances(s, d).where("sim < 0.45").select(F.explode(F.array("a", "b")).alias("word")).distinct(),
 }

@@ -70,6 +70,47 @@ def test_medoids_and_fuzzy_means_find_two_groups(spark):
     assert len({label[i] for i in range(6)}) == 1 and label[0] != label[6]
 
 
+def test_medoids_against_a_dense_matrix(spark):
+    rnd, n, forced = random.Random(5), 60, 40693175
+    names = [*range(n - 1), forced]
+    sims = {(a, b): round(rnd.random() * 1.04, 6) for i, a in enumerate(names) for b in names[i + 1 :] if rnd.random() < 0.2}
+    df = spark.createDataFrame([(a, b, x) for (a, b), x in sims.items()], "a bigint, b bigint, sim double")
+    words = sorted({w for p in sims for w in p})
+    d = np.ones((len(words), len(words)))
+    for (a, b), x in sims.items():
+        i, j = words.index(a), words.index(b)
+        d[i, j] = d[j, i] = x
+    np.fill_diagonal(d, 0)
+    first = [r.word for r in spark.createDataFrame([(w,) for w in words if w != forced], "word bigint").orderBy(F.xxhash64(F.lit(0), "word")).collect()]
+    trash, off = [3, 4], ~np.eye(len(words), dtype=bool)
+    got = {}
+    for r in topics.medoids(df, (4, 9, 500), trash=trash).collect():
+        got.setdefault(r.k, {})[r.word] = (r.medoid, r.ratio)
+    for k in (4, 9, 500):
+        centres = [words.index(w) for w in [forced, *(w for w in first if w not in trash)][:k]]
+        while True:
+            label, new = d[:, centres].argmin(1), list(centres)
+            for i in range(1, len(centres)):
+                members = np.flatnonzero(label == i)
+                able = [m for m in members if words[m] not in trash]
+                if able:
+                    new[i] = able[int(np.round(d[np.ix_(able, members)].sum(1), 9).argmin())]
+            if new == centres:
+                break
+            centres = new
+        same = label[:, None] == label[None]
+        ratio = (d[same & off].mean() if (same & off).any() else 1) / d[~same].mean()
+        assert {w: m for w, (m, _) in got[k].items()} == {w: words[centres[i]] for w, i in zip(words, label)}
+        assert all(math.isclose(x, ratio, rel_tol=1e-6) for _, x in got[k].values())
+
+
+def test_medoids_see_every_pair_and_the_grid_of_the_settings(spark, tmp_path):
+    rows = [(a, b, 0.2 if a % 2 == b % 2 else 0.7) for a in range(90) for b in range(a + 1, 90)]  # 4005 pairs
+    spark.createDataFrame([*rows, (900, 901, 0.5)], "post1_md5 bigint, post2_md5 bigint, sim double").write.parquet(str(tmp_path / "noun_similarity.parquet"))
+    got = {(r.k, r.word) for r in topics.QUERIES["u4_medoids"](spark, str(tmp_path)).collect()}
+    assert got == {(k, w) for k in (800, 900, 1000, 1100) for w in [*range(90), 900, 901]}
+
+
 def test_cosine_distances_against_numpy(spark):
     rng = np.random.default_rng(2)
     m = rng.random((40, 15)) * (rng.random((40, 15)) < 0.3)
