@@ -1,42 +1,54 @@
-"""Most similar vectors for every vector (problem 3): stable projections, kd-tree blocks, chi-square test.
-
-Vectors are normalised and projected to ``DIMS`` dimensions by Gaussian (2-stable) directions.  The squared
-projected distance of two vectors is their squared distance times a chi-square variable, so a pair whose
-projected distance exceeds the chi-square quantile times the distance sought is left out with at most
-``MISS`` probability of loss; all others are verified exactly.  A kd-tree over the projected space, fitted on
-a bounded sample of ``SAMPLE`` rows, cuts all rows into blocks (blocks beyond ``BLOCK`` rows are split by a
-hash of the id), and pairs of blocks whose boxes fail the same test are never met.  Within a pair of blocks
-each query takes its nearest projected neighbours first; the k-th verified distance tightens the test, and the
-search goes on until no unverified neighbour can pass it.  A block pair gives at most k different ids for an
-id, its own left out, so hot groups of equal vectors stay bounded and the vectors of one id take one place; a
-final rank over the blocks keeps the k nearest.
+"""Most similar vectors for every vector (problem 3): stable projections, kd-trees, chi-square stopping test.
+
+Equal vectors are one class, which stands for them with its ``k + 1`` smallest ids; no more of them can be among
+the k nearest of any.  Classes are normalised and projected to ``DIMS`` dimensions by Gaussian (2-stable)
+directions.  The squared projected distance of two vectors is their squared distance times a chi-square variable.
+
+Index: kd-trees, each over projections of its own, fitted on at most ``SAMPLE`` sampled rows; every class is
+put into one leaf of each tree, so the rows moved grow with the number of trees only.  Trees are added until of the
+sampled vectors and neighbours made for them at the distance ``radius`` at most ``MISS`` share no leaf in any.  A
+node whose points all lie within the radius is not split, so that dense groups stay together.  If more trees than
+leaves were needed, as for a wide radius, there is one leaf for all.  Leaves beyond ``block`` rows are met in parts.
+
+Search: in its leaf a class takes its ``FIRST`` nearest projected neighbours and verifies them; the distance of the
+(k+1)-th different id tightens the chi-square test, and it goes on with the next ones until the test rules all the
+rest out.  Distances are rounded to 12 decimals, so that a pair has the same one wherever it meets; the nearest are
+ranked by distance, then id.  At last the lists of a class are given to all its ids, without their own.
 
 A vector is usable if it has ``WIDTH`` finite values, not all 0; others take no part.  Null ids are left out,
-repeated rows count once, a word with several vectors has each of them and its least distance counts.  Ties
-are resolved by the smaller id in every step; a distance is the same number wherever the two vectors meet.
-Empty input gives no rows.
+repeated rows count once, a word with several vectors has each of them and its least distance counts.  Empty input
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.runtime import cut, table
-
-WIDTH, DIMS, BLOCK, SAMPLE, SEED = 64, 24, 32768, 20_000, 20140301
-#: Quantile of the chi-square distribution of 24 degrees of freedom at 0.995: a fixed value; MISS is the rest.
-CHI2, MISS = 45.559, 0.005
-#: Projected neighbours verified first; rows and columns of a tile, which fits into a core's cache; pairs verified at a time.
-FIRST, ROWS, COLUMNS, PAIRS = 64, 256, 2048, 50_000
+from skein.runtime import cut, ship, table
+
+WIDTH, DIMS, SEED = 64, 24, 20140301
+#: Sampled rows that trees are fitted on; pairs made to measure them; rows of a leaf aimed at and of a part of a larger one.
+SAMPLE, PROBES, LEAF, BLOCK = 20_000, 4_000, 8192, 32768
+#: Quantile of the chi-square distribution of 24 degrees of freedom at 0.995: a fixed value.
+CHI2 = 45.559
+#: Pairs at the radius that may share no leaf.
+MISS = 0.001
+#: Projected neighbours verified first; queries of a tile; pairs gathered at a time.
+FIRST, ROWS, PAIRS = 64, 256, 50_000
+#: Leaves beyond ``block`` that may be broadcast.
+LARGE = 100_000
+
+Splits = list[tuple[int, float]]
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def directions() -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((WIDTH, DIMS)).astype(np.float32)
+def directions(tree: int) -> np.ndarray:
+    return np.random.default_rng(SEED + tree).standard_normal((WIDTH, DIMS)).astype(np.float32)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -45,21 +57,25 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def fit_tree(points: np.ndarray, leaves: int) -> list[tuple[int, float]]:
-    """Splits (dimension, threshold) of a complete kd-tree in heap order: widest dimension, at its median."""
+def fit_tree(points: np.ndarray, leaves: int, apart: float = 0.0) -> Splits:
+    """Splits (dimension, threshold) of a complete kd-tree in heap order: widest dimension, at its median.
+
+    A node whose widest deviation is not above ``apart`` gets the threshold infinity: all of it stays left.
+    """
     splits, groups = [], [points]
     while len(groups) < leaves:
         halves = []
         for g in groups:
-            dim = int(np.argmax(g.var(0))) if len(g) else 0
-            at = float(np.median(g[:, dim])) if len(g) else 0.0
+            spread = g.var(0) if len(g) else np.zeros(points.shape[1])
+            dim = int(np.argmax(spread))
+            at = float(np.median(g[:, dim])) if spread[dim] > apart**2 else np.inf
             splits.append((dim, at))
             halves += [g[g[:, dim] <= at], g[g[:, dim] > at]]
         groups = halves
     return splits
 
 
-def leaf_of(points: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
+def leaf_of(points: np.ndarray, splits: Splits) -> np.ndarray:
     node = np.zeros(len(points), np.int64)
     if splits:
         dims, at = np.array([s[0] for s in splits]), np.array([s[1] for s in splits])
@@ -68,192 +84,173 @@ def leaf_of(points: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray:
     return node - len(splits)
 
 
-Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _nothing() -> Edges:
-    return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-
-
-def _kept(edges: list[Edges], k: int) -> Edges:
-    """Of edges (id, other id, distance), each pair once with its least, the k first of each id by distance and other id."""
-    if not edges:
-        return _nothing()
-    i, j, dist = map(np.concatenate, zip(*edges))
-    order = np.lexsort((dist, j, i))
-    i, j, dist = i[order], j[order], dist[order]
-    first = np.ones(len(i), bool)
-    first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    i, j, dist = i[first], j[first], dist[first]
-    order = np.lexsort((j, dist, i))
-    i, j, dist = i[order], j[order], dist[order]
-    near = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return i[near], j[near], dist[near]
-
-
-def _kth(dist: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """The k-th least distance of each row over different ids other than its own; infinite if it has fewer."""
-    order = np.lexsort((dist, ids), axis=1)
-    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-    again = ids == own[:, None]
-    again[:, 1:] |= ids[:, 1:] == ids[:, :-1]
-    dist = np.sort(np.where(again, np.inf, dist), axis=1)
-    return dist[:, k - 1] if k <= dist.shape[1] else np.full(len(dist), np.inf)
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, query_p: np.ndarray, ids: np.ndarray, data: np.ndarray, data_p: np.ndarray, k: int, radius: float) -> Edges:
-    """(query id, id, cosine distance) of the k nearest other ids within ``radius`` of each query id."""
-    found = []
-    norms = (data_p**2).sum(1)
-    for start in range(0, len(queries), ROWS):
-        own, q, qp = query_ids[start : start + ROWS], queries[start : start + ROWS], query_p[start : start + ROWS]
+def fit_forest(sample: np.ndarray, leaves: int, radius: float) -> list[Splits]:
+    """Trees for unit vectors: as many as let at most ``MISS`` of the pairs made at ``radius`` share no leaf."""
+    if leaves < 2 or radius >= 1 or not len(sample):
+        return [[]]
+    rng = np.random.default_rng(SEED)
+    u = sample[rng.integers(0, len(sample), PROBES)]
+    w = rng.standard_normal(u.shape)
+    w -= (w * u).sum(1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    v = (1 - radius) * u + np.sqrt(1 - (1 - radius) ** 2) * w
+    trees, apart = [], np.ones(PROBES, bool)
+    while apart.mean() > MISS:
+        if len(trees) == leaves:
+            return [[]]
+        d = directions(len(trees))
+        trees.append(fit_tree(sample @ d, leaves, np.sqrt(radius)))
+        apart &= leaf_of(u @ d, trees[-1]) != leaf_of(v @ d, trees[-1])
+    return trees
+
+
+def _kept(row: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> Edges:
+    """Of edges (row, id, distance), each pair once with its least, the k first of each row by distance and id."""
+    order = np.lexsort((dist, ids, row))
+    row, ids, dist = row[order], ids[order], dist[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+    row, ids, dist = row[first], ids[first], dist[first]
+    order = np.lexsort((ids, dist, row))
+    row, ids, dist = row[order], ids[order], dist[order]
+    near = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[near], ids[near], dist[near]
+
+
+def search(queries: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int, radius: float, seen: np.ndarray | None = None) -> Edges:
+    """(row of queries, id, cosine distance) of the k nearest different ids within ``radius``.
+
+    Both are unit vectors; ``ids`` holds those of each row of ``data``; ``seen`` are the directions to project to.
+    """
+    d = directions(0) if seen is None else seen
+    flat, starts = (np.concatenate(ids), np.cumsum([0, *map(len, ids)])) if len(ids) else (np.empty(0, np.int64), np.zeros(1, np.int64))
+    data_p, query_p = data.astype(np.float32) @ d, queries.astype(np.float32) @ d
+    norms, found = (data_p**2).sum(1), []
+    for start in range(0, len(queries), ROWS) if len(data) else ():
+        q, qp = queries[start : start + ROWS], query_p[start : start + ROWS]
         near = norms - 2 * (qp @ data_p.T)
         near += (qp**2).sum(1)[:, None]
-        passing = near <= np.float32(CHI2 * 2 * radius + 1e-3)
-        full = np.flatnonzero(passing.sum(1) > FIRST)
-        if len(full):  # verify the nearest first, then only what can still be among the k
-            first = np.argpartition(near[full], FIRST, axis=1)[:, :FIRST]
-            kth = _kth(np.clip(1 - np.einsum("ijk,ik->ij", data[first], q[full]), 0, None), ids[first], own[full], k)
-            passing[full] = near[full] <= (CHI2 * 2 * np.minimum(kth, radius) + 1e-3).astype(np.float32)[:, None]
-            rows = np.repeat(full, FIRST)
-            passing[rows, first.ravel()] = True
-        at, to = np.nonzero(passing)
-        other = own[at] != ids[to]
-        at, to = at[other], to[other]
-        dist = np.empty(len(at))
-        for i in range(0, len(at), PAIRS):
-            s = slice(i, i + PAIRS)
-            dist[s] = 1 - np.einsum("ij,ij->i", q[at[s]], data[to[s]])
-        ok = dist <= radius
-        found.append(_kept([(own[at[ok]], ids[to[ok]], dist[ok])], k))
-    return _kept(found, k)
-
-
-def _tile(i: np.ndarray, j: np.ndarray, dist: np.ndarray, k: int) -> list[Edges]:
-    """Edges of a tile whose rows have the ids ``i`` and columns ``j``, both sorted: the k nearest ids of each id, both ways."""
-    i, row = np.unique(i, return_index=True)
-    j, column = np.unique(j, return_index=True)
-    d = np.minimum.reduceat(np.minimum.reduceat(dist, column, axis=1), row, axis=0)
-    d[i[:, None] == j[None]] = np.inf
-    out = []
-    for a, b, m in ((i, j, d), (j, i, np.ascontiguousarray(d.T))):
-        m, at = m.copy(), np.arange(len(a))
-        for _ in range(min(k, len(b))):
-            to = m.argmin(1)  # of equal distances the first, so the smaller id
-            out.append((a, b[to], m[at, to]))
-            m[at, to] = np.inf
-    return out
-
-
-def meet(left_ids: np.ndarray, left: np.ndarray, left_p: np.ndarray, right_ids: np.ndarray, right: np.ndarray, right_p: np.ndarray, k: int, radius: float, same: bool) -> Edges:
-    """(id, other id, distance), both ways, of all pairs of two blocks within ``radius`` that are among the k nearest of the first.
-
-    One product of a tile gives all its projected distances.  Pairs that pass are verified; a tile with very
-    many (equal vectors) keeps the k nearest ids of each of its ids.  With ``same`` the blocks are one, and a pair
-    of rows is met once.  The rows of a block are sorted by id.
-    """
-    a = np.hstack([-2 * left_p, (left_p**2).sum(1, keepdims=True), np.ones((len(left_p), 1), np.float32)]).astype(np.float32)
-    b = np.hstack([right_p, np.ones((len(right_p), 1), np.float32), (right_p**2).sum(1, keepdims=True)]).astype(np.float32)
-    limit, found, size = np.float32(CHI2 * 2 * radius + 1e-3), [], 0
-    for s in range(0, len(a), ROWS):
-        for t in range(s // COLUMNS * COLUMNS if same else 0, len(b), COLUMNS):
-            near = a[s : s + ROWS] @ b[t : t + COLUMNS].T
-            hit = np.flatnonzero(near <= limit)
-            i, j = hit // near.shape[1] + s, hit % near.shape[1] + t
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i) > PAIRS:
-                d = 1 - np.einsum("ik,jk->ij", left[s : s + ROWS], right[t : t + COLUMNS])
-                if same:
-                    d[np.arange(s, s + len(d))[:, None] >= np.arange(t, t + d.shape[1])] = np.inf
-                edges = _tile(left_ids[s : s + ROWS], right_ids[t : t + COLUMNS], d, k)
-            else:
-                dist = 1 - np.einsum("ij,ij->i", left[i], right[j])
-                edges = [(left_ids[i], right_ids[j], dist), (right_ids[j], left_ids[i], dist)]
-            for x, y, dist in edges:
-                ok = (dist <= radius) & (x != y)
-                if ok.any():
-                    found.append((x[ok], y[ok], dist[ok]))
-                    size += int(ok.sum())
-            if size > 20 * PAIRS:
-                found = [_kept(found, k)]
-                size = len(found[0][0])
-    return _kept(found, k)
-
-
-def _joined(k: int, radius: float, both: bool):
-    def of(t: pa.Table, targets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = t.sort_by("id")
-        ids, raw = t["id"].to_numpy(), t["raw"].to_pylist()
-        if targets:  # of equal vectors k ids and the query's own are enough
-            seen, fits = Counter(), np.empty(len(ids), bool)
-            for i, x in enumerate(raw):
-                seen[x] += 1
-                fits[i] = seen[x] <= k + 1
-            ids, raw = ids[fits], [x for x, f in zip(raw, fits) if f]
-        unit = _unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, WIDTH)) if len(ids) else np.empty((0, WIDTH))
-        return ids, unit, unit.astype(np.float32) @ directions()
-
-    def join(t: pa.Table) -> pa.Table:
-        side, one = t["side"].to_numpy(), t["same"][0].as_py()
-        left = of(t.filter(pa.array(side == 0)), False)
-        right = left if one else of(t.filter(pa.array(side == 1)), not both)
-        id1, id2, dist = meet(*left, *right, k, radius, one) if both else search(*left, *right, k, radius)
-        return pa.table({"id1": id1, "id2": id2, "dist": dist})
-
-    return join
-
-
-def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, radius: float = 2.0, queries: str | None = None) -> DataFrame:
+
+        def verified(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+            if len(at) * 8 > near.size:  # one product is less work than gathering so many pairs
+                return np.round(1 - (q @ data.T)[at, to], 12)
+            dist = np.empty(len(at))
+            for i in range(0, len(at), PAIRS):
+                s = slice(i, i + PAIRS)
+                dist[s] = 1 - np.einsum("ij,ij->i", q[at[s]], data[to[s]])
+            return np.round(dist, 12)
+
+        def edges(at: np.ndarray, to: np.ndarray, most: np.ndarray) -> Edges:
+            dist = verified(at, to)
+            ok = dist <= most[at]
+            at, to, dist = at[ok], to[ok], dist[ok]
+            size = starts[to + 1] - starts[to]
+            slot = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            return np.repeat(at, size), flat[np.repeat(starts[to], size) + slot], np.repeat(dist, size)
+
+        most, first = np.full(len(q), radius), None
+        pending = near <= np.float32(CHI2 * 2 * radius + 1e-3)
+        many = np.flatnonzero(pending.sum(1) > FIRST)
+        if len(many):
+            to = np.argpartition(near[many], FIRST - 1, axis=1)[:, :FIRST]
+            at = np.repeat(many, FIRST)
+            pending[at, to.ravel()] = False
+            first = _kept(*edges(at, to.ravel(), most), k)
+            last = np.append(first[0][1:] != first[0][:-1], True)[: len(first[0])]
+            whole = last & (np.arange(len(first[0])) - np.searchsorted(first[0], first[0]) == k - 1)
+            most[first[0][whole]] = first[2][whole]
+            pending[many] &= near[many] <= (CHI2 * 2 * most[many] + 1e-3).astype(np.float32)[:, None]
+        rest = edges(*np.nonzero(pending), most)
+        row, i, dist = _kept(*(map(np.concatenate, zip(first, rest)) if first else rest), k)
+        found.append((row + start, i, dist))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _vectors(raw: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, WIDTH)
+
+
+def _classed(batches):
+    """(id, cls, raw): cls is the MD5 of the vector's bytes."""
+    for b in batches:
+        if b.num_rows:
+            raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, WIDTH) + np.float32(0)
+            parts = [r.tobytes() for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(p).digest() for p in parts], pa.binary()), pa.array(parts, pa.binary())], ["id", "cls", "raw"])
+
+
+def _routed(forest: list[Splits]):
+    def route(batches):
+        for b in batches:
+            if b.num_rows:
+                unit = _unit(_vectors(b.column(2)))
+                leaf = np.stack([leaf_of(unit @ directions(t), s) if s else np.zeros(len(unit), np.int64) for t, s in enumerate(forest)], 1).astype(np.int32)
+                offsets = np.arange(len(unit) + 1, dtype=np.int32) * len(forest)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf.ravel()))], ["cls", "ids", "raw", "asked", "leaf"])
+
+    return route
+
+
+def _met(k: int, radius: float):
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        role = t["role"].to_numpy()
+        unit = _unit(_vectors(t["raw"]))
+        asked, there = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
+        lists, tree = t["ids"].to_pylist(), t["tree"][0].as_py()
+        row, ids, dist = search(unit[asked], unit[there], [np.array(lists[i], np.int64) for i in there], k, radius, directions(tree))
+        return pa.table({"cls": t["cls"].take(pa.array(asked[row])), "id2": ids, "dist": dist})
+
+    return meet
+
+
+def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, radius: float = 2.0, queries: str | None = None, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(id1, id2, dist, rank): the k nearest id2 of every id1 within a cosine distance of ``radius``.
 
     ``queries`` is a condition over ``id`` that selects the query rows; all rows are searched.
     """
-    v = F.col(vec_col)
+    spark, v = vectors.sparkSession, F.col(vec_col)
+    ship(spark)
     usable = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<float>").alias("vec")).where(
         F.col("id").isNotNull() & (F.size("vec") == WIDTH) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     )
-    rows = cut(usable.distinct())
+    rows = cut(usable.mapInArrow(_classed, "id bigint, cls binary, raw binary").dropDuplicates(["id", "cls"]))
+    asking = rows.where(queries) if queries else rows
     n = rows.count()
-    leaves = max(4, 1 << max(0, (n - 1) // BLOCK).bit_length()) if n else 1
-    sample = np.array([r.vec for r in rows.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()], np.float32).reshape(-1, WIDTH)
-    splits = fit_tree(_unit(sample) @ directions() if len(sample) else np.empty((0, DIMS)), leaves)
-
-    def place(batches):
-        for b in batches:
-            if b.num_rows:
-                raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, WIDTH)
-                p = _unit(raw).astype(np.float32) @ directions()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(leaf_of(p, splits)), pa.array(list(p), pa.list_(pa.float32()))], ["id", "raw", "leaf", "p"])
-
-    placed = cut(rows.mapInArrow(place, "id bigint, raw binary, leaf bigint, p array<float>"), rows)
-    ends = [f(F.get("p", F.lit(i))).alias(f"{w}{i}") for i in range(DIMS) for f, w in ((F.min, "lo"), (F.max, "hi"))]
-    boxes = placed.groupBy("leaf").agg(F.count("*").alias("n"), *ends).orderBy("leaf").collect()
-    blocks = [(int(r.leaf), salt, -(-r.n // BLOCK), [r[f"lo{i}"] for i in range(DIMS)], [r[f"hi{i}"] for i in range(DIMS)]) for r in boxes for salt in range(-(-r.n // BLOCK))]
-    meets, lo, hi = [], np.array([b[3] for b in blocks]).reshape(-1, DIMS), np.array([b[4] for b in blocks]).reshape(-1, DIMS)
-    for i in range(len(blocks)):
-        gap = np.maximum(0, np.maximum(lo - hi[i], lo[i] - hi))
-        for j in np.flatnonzero((gap**2).sum(1) <= CHI2 * 2 * radius).tolist():
-            if queries is None and j < i:
-                continue
-            pair = i * len(blocks) + j
-            meets.append((*blocks[i][:2], pair, 0, i == j and queries is None))
-            if i != j or queries is not None:
-                meets.append((*blocks[j][:2], pair, 1, False))
-    spark = vectors.sparkSession
-    plan = spark.createDataFrame(meets, "leaf bigint, salt bigint, pair bigint, side int, same boolean")
-    salts = {b[0]: b[2] for b in blocks if b[2] > 1}
-    salt = F.lit(0).cast("bigint")
-    if salts:
-        many = spark.createDataFrame(list(salts.items()), "leaf bigint, parts bigint")
-        placed = placed.join(many, "leaf", "left")
-        salt = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1).cast("bigint")))
-    spread = placed.select("leaf", salt.alias("salt"), "id", "raw").join(plan, ["leaf", "salt"])
-    if queries is not None:
-        spread = spread.where(f"side = 1 or ({queries})")
-    met = spread.groupBy("pair").applyInArrow(_joined(k, radius, queries is None), "id1 bigint, id2 bigint, dist double")
-    best = met.groupBy("id1", "id2").agg(F.min("dist").alias("dist"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("id1").orderBy("dist", "id2"))).where(F.col("rank") <= k)
+    sample = np.unique(np.array([np.frombuffer(r.raw, np.float32) for r in rows.orderBy(F.xxhash64("id", "cls")).limit(SAMPLE).collect()], np.float32).reshape(-1, WIDTH), axis=0)
+    leaves = 1 << max(0, -(-n // leaf) - 1).bit_length()
+    forest = fit_forest(_unit(sample) if len(sample) else sample, leaves, radius)
+    by_id = Window.partitionBy("cls").orderBy("id")
+    few = rows.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
+    classes = few.groupBy("cls").agg(F.collect_list("id").alias("ids"), F.any_value("raw").alias("raw"))
+    if queries:
+        classes = classes.join(asking.select("cls", F.lit(True).alias("asked")).distinct(), "cls", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    else:
+        classes = classes.withColumn("asked", F.lit(True))
+    routed = cut(classes.mapInArrow(_routed(forest), "cls binary, ids array<bigint>, raw binary, asked boolean, leaf array<int>"))
+    spread = routed.select("cls", "ids", "raw", "asked", F.posexplode("leaf").alias("tree", "leaf"))
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
+    large = cut(
+        routed.select("asked", F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.count_if("asked").alias("nq")).where(F.col("n") > block).select("tree", "leaf", parts(F.col("n")).alias("ts"), parts(F.col("nq")).alias("qs"))
+    )
+    size = large.count()
+    if size:
+        spread = spread.join(F.broadcast(large) if size <= LARGE else large, ["tree", "leaf"], "left")
+        own, other = (F.pmod(F.xxhash64("cls", F.lit(s)), F.col(c)).cast("int") for s, c in ((0, "ts"), (1, "qs")))
+        cell = lambda q, t, role: F.struct(q.cast("int").alias("q"), t.cast("int").alias("t"), F.lit(role).alias("role"))
+        target = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: cell(q, own, 1))
+        query = F.transform(F.sequence(F.lit(0), F.col("ts") - 1), lambda t: cell(other, t, 2))
+        zero = F.lit(0)
+        cells = F.when(F.col("ts").isNotNull(), F.concat(target, F.when(F.col("asked"), query).otherwise(F.slice(query, 1, 0)))).otherwise(F.array(F.when(F.col("asked"), cell(zero, zero, 3)).otherwise(cell(zero, zero, 1))))
+        spread = spread.select("cls", "ids", "raw", "tree", "leaf", F.inline(cells))
+    else:
+        spread = spread.select("cls", "ids", "raw", "tree", "leaf", F.lit(0).alias("q"), F.lit(0).alias("t"), F.when(F.col("asked"), 3).otherwise(1).alias("role"))
+    met = spread.groupBy("tree", "leaf", "q", "t").applyInArrow(_met(k + 1, radius), "cls binary, id2 bigint, dist double")
+    of = lambda key: Window.partitionBy(key).orderBy("dist", "id2")
+    lists = met.groupBy("cls", "id2").agg(F.min("dist").alias("dist")).withColumn("n", F.row_number().over(of("cls"))).where(F.col("n") <= k + 1).drop("n")
+    found = asking.select(F.col("id").alias("id1"), "cls").join(lists, "cls").where("id1 <> id2")
+    best = found.groupBy("id1", "id2").agg(F.min("dist").alias("dist"))
+    return best.withColumn("rank", F.row_number().over(of("id1"))).where(F.col("rank") <= k)
 
 
 def p3_found(spark: SparkSession, d: str, k: int = 5, radius: float = 0.15) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.llm.components import components
 from skein.llm.density import density_groups, topic_pairs
 from skein.llm.gram import gram, gram_by, with_expected
-from skein.llm.neighbours import fit_tree, leaf_of, nearest
+from skein.llm.neighbours import directions, fit_forest, fit_tree, leaf_of, nearest
 from skein.llm.poisson import fit_mixture, histograms, occurrences, two_poisson
 from skein.llm.trie import BurstTrie, term_counts
 
@@ -134,6 +134,30 @@ def test_neighbours_of_many_equal_vectors_stay_bounded(spark):
     assert len(per) == 700 and set(per.values()) == {5}
 
 
+def test_neighbours_do_not_depend_on_the_order_of_rows(spark):
+    v = _vectors(1200, 4)
+    v[:200] = v[0]  # a sixth are equal
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    runs = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "id bigint, vec array<float>").repartition(3 + seed)
+        runs.append([{tuple(r) for r in nearest(df, "id", "vec", 5, 0.15, leaf=leaf, block=block).collect()} for leaf, block in ((4096, 4096), (100, 50))])
+    assert runs[0] == runs[1]
+    whole, cut_up = runs[0]
+    assert len(cut_up & whole) >= 0.99 * len(whole) and {(a, b) for a, b, *_ in whole if a < 200} == {(a, b) for a in range(200) for b in [x for x in range(6) if x != a][:5]}
+
+
+def test_trees_are_added_until_neighbours_share_a_leaf():
+    u = np.random.default_rng(5).standard_normal((4000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    few, more = fit_forest(u, 16, 0.15), fit_forest(u, 64, 0.15)
+    assert 1 < len(few) < 16 and len(few) < len(more) < 64  # the rows moved grow with the trees, not with the leaves
+    assert fit_forest(u, 16, 2.0) == [[]] and fit_forest(u, 1, 0.15) == [[]] and fit_forest(u[:0], 8, 0.15) == [[]]
+    close = u[:1] + 1e-3 * u  # all within the radius of one another: never split
+    assert set(leaf_of(close @ directions(0), fit_tree(close @ directions(0), 8, 0.15**0.5)).tolist()) == {0}
+
+
 def test_tree_halves_its_sample():
     p = np.random.default_rng(1).standard_normal((1024, 16))
     assert Counter(leaf_of(p, fit_tree(p, 8)).tolist()) == {i: 128 for i in range(8)}
