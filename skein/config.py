@@ -18,6 +18,7 @@ class Settings:
     profiles_kept: int = 2_000
     trending_kept: int = 2_000
     trash_distance: float = 0.6
+    trash_kept: int = 2_000
     topic_distance: float = 0.45
     topic_neighbours: int = 8
     bigram_noise: float = 0.001
@@ -26,6 +27,7 @@ class Settings:
     clusters_published: int = 15
     tweets_per_cluster: int = 10
     tweets_per_day: int = 10_000
+    contexts_kept: int = 2_000
     trend_days: int = 3
     count_days: int = 1
     mates_days: int = 2

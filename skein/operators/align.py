@@ -15,6 +15,7 @@ from skein.config import SETTINGS
 from skein.functions.scalars import members_key, pair_distance
 from skein.operators.counters import QUERIES as COUNTERS
 from skein.operators.counters import recent_sum
+from skein.operators.topics import _topics as greedy
 from skein.operators.topics import _trend, neighbours
 from skein.plans import frames as fr
 from skein.runtime import cut, ship
@@ -107,13 +108,14 @@ def align_topics(topics: DataFrame, bigrams: DataFrame, words: DataFrame) -> Dat
     """(centroid, members, sources): each topic's words in the order of its best path, with surface forms.
 
     ``bigrams`` are (source1, word1, source2, word2, cnt), ``words`` (word_md5, cnt).  Bigrams are joined to the
-    topics in Spark by both ends; a topic's few pairs are searched in one group.  Topics of a single word keep
+    topics in Spark by both ends at once; a topic's few pairs are searched in one group.  Topics of a single word keep
     it with its most frequent surface form; topics without a path are dropped.
     """
     ship(topics.sparkSession)
     one = topics.select("centroid", F.size("members").alias("size"), F.explode("members").alias("word"))
-    first, second = one.select("centroid", "size", F.col("word").alias("word1")), one.select("centroid", F.col("word").alias("word2"))
-    inside = bigrams.where("word1 <> word2").join(first, "word1").join(second, ["centroid", "word2"])
+    ordered = F.flatten(F.transform("members", lambda a: F.transform("members", lambda b: F.struct(a.alias("word1"), b.alias("word2")))))
+    wanted = topics.select("centroid", F.size("members").alias("size"), F.explode(F.array_distinct(ordered)).alias("p")).select("centroid", "size", "p.*").where("word1 <> word2")
+    inside = bigrams.join(wanted, ["word1", "word2"])
     total = words.select(F.col("word_md5").alias("word1"), F.col("cnt").alias("word_cnt"))
     inside = inside.join(total, "word1", "left").withColumn("distance", pair_distance("cnt", F.coalesce("word_cnt", F.lit(0))))
 
@@ -172,16 +174,10 @@ def _bigrams(s: SparkSession, d: str) -> DataFrame:
     return recent_sum(COUNTERS["a4_bigrams"](s, d), ["source1", "word1", "source2", "word2"], fr.bucket(3))
 
 
-def _topics(bigrams: DataFrame) -> DataFrame:
-    """Words and some that often follow them, as small topics."""
-    b = bigrams.where("cnt >= 3 and word1 <> word2").groupBy("word1").agg(F.slice(F.array_sort(F.collect_set("word2")), 1, 4).alias("w"))
-    return b.select(F.col("word1").alias("centroid"), F.concat(F.array("word1"), "w").alias("members"))
-
-
 def _aligned(s: SparkSession, d: str) -> DataFrame:
     words = recent_sum(fr.word_time(s, d), ["word_md5"], fr.bucket(3))
     b = cut(_bigrams(s, d))
-    a = align_topics(_topics(b), b, words)
+    a = align_topics(greedy(s, d), b, words)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return a.select("centroid", joined("members").alias("members"), joined("sources").alias("sources"), members_key("members").alias("members_md5"))
 

@@ -134,6 +134,7 @@ QUERIES = {
     "u11_word_trend": _word_trend,
     "a16_topic_trends": lambda s, d: _rounded(_members(s, d)),
     "t4_published_topics": lambda s, d: published(_members(s, d)).select(*_KEY, "rank"),
+    "t4_first_two_topics": lambda s, d: published(_members(s, d), 2).select(*_KEY, "rank"),
     "t12_topic_page": lambda s, d: _rounded(page(_members(s, d).withColumn("avg_trend", F.round("avg_trend", 6)), Page(20, 10))),
     "d9_unique_members": lambda s, d: _members(s, d).select(*_KEY, F.size(unique_members(F.col("members"))).alias("n"), title(F.transform(unique_members(F.col("members")), lambda m: m["text"])).alias("title")),
     "j17_topics_of_members": lambda s, d: with_relevant(_members(s, d).select(*_KEY, "members_md5"), _members(s, d).select("members_md5", "cluster_date", F.col("cluster_date").alias("relevant"))).select(*_KEY, "relevant"),
@@ -149,13 +150,15 @@ _T = """j as (select distinct cluster_date, k, cluster from clusters where clust
   m as (select cluster_date, topic, t->>'$.members_md5' members_md5, json_extract(t, '$.members[*]') ms from t), tt as (select *, list_transform(ms, lambda x: coalesce(try_cast(x->>'$.trend' as double), 0)) tr, list_transform(ms, lambda x: x->>'$.text') txt from m where len(ms) > 0),
   tp as (select cluster_date, topic, members_md5, txt, len(ms)::int members_len, greatest(0, list_max(tr)) max_trend, list_sum(tr) / len(ms) avg_trend from tt)"""
 _ONE = "one as (select cluster_date, max(cluster) cluster from clusters where cluster_date is not null group by 1)"
+_PUBLISHED = f"with {_T} select cluster_date, topic, r as \"rank\" from (select *, row_number() over (partition by cluster_date order by max_trend desc, topic)::int r from tp) where r <= "
 SQL = {
     "t7_latest_snapshot": f"with {_ONE} select cluster_date, md5(cluster) text_md5 from one order by 1 desc limit 1 offset 1",
     "t8_snapshot_at": f"with {_ONE} select cluster_date from one where cluster_date <= '20140305120000' order by 1 desc limit 1",
     "t8_snapshot_before": f"with {_ONE} select cluster_date from one where cluster_date < '20140304000000' order by 1 desc limit 1",
     "u11_word_trend": f"with {fr.WT} select tenminute // 10 as hour, sum(cnt)::bigint cnt from wt where tenminute >= 20140307100 and tenminute < 20140309000 group by 1",
     "a16_topic_trends": f"with {_T} select cluster_date, topic, members_len, round(max_trend, 6) max_trend, round(avg_trend, 6) avg_trend from tp",
-    "t4_published_topics": f"with {_T} select cluster_date, topic, r as \"rank\" from (select *, row_number() over (partition by cluster_date order by max_trend desc, topic)::int r from tp) where r <= 15",
+    "t4_published_topics": _PUBLISHED + "15",
+    "t4_first_two_topics": _PUBLISHED + "2",
     "t12_topic_page": f"with {_T} select cluster_date, topic, members_len, round(max_trend, 6) max_trend, round(avg_trend, 6) avg_trend from tp order by round(avg_trend, 6) desc, 1, 2 limit 20 offset 10",
     "d9_unique_members": f"""with {_T} select cluster_date, topic, (len(list_distinct(txt)) + (len(list_filter(txt, lambda x: x is null)) > 0)::int)::int n,
   array_to_string(list_filter(txt, lambda x, i: list_position(txt, x) = i), ' ') title from tp""",

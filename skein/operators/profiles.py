@@ -14,8 +14,8 @@ from skein.functions.scalars import tf_idf
 from skein.plans import frames as fr
 from skein.runtime import ship
 
-#: Rows of a block in the distance computation.
-BLOCK = 256
+#: Rows of a block in the distance computation; rows of a matrix that one task may hold.
+BLOCK, MOST = 256, 10_000
 
 
 def top_replies(m: DataFrame, n: int = SETTINGS.reply_dimensions) -> DataFrame:
@@ -143,18 +143,21 @@ def cosine_distances(p: DataFrame, block: int = BLOCK) -> DataFrame:
 def latent_cosines(p: DataFrame, k: int = 50) -> DataFrame:
     """(post1_md5, post2_md5, sim): cosine similarity of rows in the space of the k greatest singular values.
 
-    The matrix has at most the kept profiles as rows; it is reduced in one task of numpy.
+    One task takes the eigenvectors of the rows' products.  It holds the matrix, so more than ``MOST`` rows are an
+    error (the pipeline keeps 2000).
     """
-
     ship(p.sparkSession)
+    n = p.select("post_md5").distinct().count()
+    if n > MOST:
+        raise ValueError(f"{n} rows are more than the {MOST} that one task holds")
 
     def reduce(t: pa.Table) -> pa.Table:
         keys, row = np.unique(t["post_md5"].to_numpy(), return_inverse=True)
         dims, col = np.unique(t["reply_md5"].to_numpy(), return_inverse=True)
         m = np.zeros((len(keys), len(dims)))
         m[row, col] = t["weight"].to_numpy()
-        u, s, _ = np.linalg.svd(m, full_matrices=False)
-        x = u[:, :k] * s[:k]
+        square, u = np.linalg.eigh(m @ m.T)  # rising, so the greatest are the last
+        x = u[:, -k:] * np.sqrt(np.maximum(square[-k:], 0))
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
         i, j = np.triu_indices(len(keys), 1)
@@ -194,6 +197,8 @@ def _vector_sum(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "a12_top_replies": lambda s, d: top_replies(fr.matrix(s, d)),
+    "a12_first_fifty": lambda s, d: top_replies(fr.matrix(s, d), 50),
+    "x9_first_fifty": lambda s, d: _rounded(weighted(_profiles(s, d, 50)), "weight"),
     "j4_profiles": _profiles,
     "a13_row_totals": lambda s, d: row_totals(_profiles(s, d)),
     "x9_weights": lambda s, d: _rounded(weighted(_profiles(s, d, SETTINGS.profiles_kept)), "weight"),
@@ -218,6 +223,8 @@ def _kept(n: int) -> str:
 _W = "(1 + ln(reply_cnt)) * case when post_cnt <= 4e6 then ln(4e6 / post_cnt) else 0 end"
 SQL = {
     "a12_top_replies": f"with {_P} select * from tr",
+    "a12_first_fifty": f"with {_P} select * from tr order by posts desc, reply_md5 limit 50",
+    "x9_first_fifty": f"with {_kept(50)} select post_md5, reply_md5, round({_W}, 6) weight from pk",
     "j4_profiles": f"with {_P} select * from pr",
     "a13_row_totals": f"with {_P} select post_md5, sum(reply_cnt)::bigint total, max(post_cnt) post_cnt from pr group by 1",
     "x9_weights": f"with {_kept(2000)} select post_md5, reply_md5, round({_W}, 6) weight from pk",
@@ -230,7 +237,7 @@ select post_md5, reply_md5, round(v / nullif(sum(-q * ln(q)) over (partition by
     "x20_vector_sums": f"with {_P} select post_md5 as \"key\", reply_md5 dim, round(log2(reply_cnt::double - case when reply_cnt > 1 then 0.5 * reply_cnt else 0 end + 1), 6) weight from pr",
     "j12_compared_profiles": f"""with {_P}, c as (select post_md5, reply_cnt::double x, case when reply_cnt >= 2 then reply_cnt + 1.0::double end y from pr)
 select post_md5 as \"key\", count(*) dims, round(coalesce(sum(x * coalesce(y, 0)) / nullif(sqrt(sum(x * x) * sum(coalesce(y * y, 0))), 0), 0), 6) cosine, round(sum(abs(x - coalesce(y, 0))) / 2, 6) half_l1, round(1 - 6 * sum((x - coalesce(y, 0)) ** 2) / nullif(count(*) * (count(*)::double ** 2 - 1), 0), 6) rank_like, count(*) filter (y is null) missed from c group by 1""",
-    "a11_distances": f"""with {_kept(300)}, w as (select post_md5 p, reply_md5 r, {_W} v from pk), n as (select p, sqrt(sum(v * v)) norm from w group by 1), dot as (select a.p p1, b.p p2, sum(a.v * b.v) s from w a join w b on a.r = b.r and a.p > b.p group by all)
+    "a11_distances": f"""with {_kept(2000)}, w as (select post_md5 p, reply_md5 r, {_W} v from pk), n as (select p, sqrt(sum(v * v)) norm from w group by 1), dot as (select a.p p1, b.p p2, sum(a.v * b.v) s from w a join w b on a.r = b.r and a.p > b.p group by all)
 select a.p post1_md5, b.p post2_md5, round(case when a.norm = 0 or b.norm = 0 then 1 else 1 - coalesce(s, 0) / (a.norm * b.norm) end, 6) sim from n a join n b on a.p > b.p left join dot on p1 = a.p and p2 = b.p""",
     "f7_blocked_posts": f"with {_P} select post_md5, count(*) n from pr where post_md5 not in (40693175, 797835322) and reply_md5 not in (40693175, 797835322) group by 1",
     "a29_profile_sizes": f"with {_P}, s as (select count(*)::double n from pr group by post_md5), m as (select avg(n) a from s) select round(avg(n), 6) mean, round(stddev_samp(n), 6) sd, round(avg((n - a) ** 3) / pow(avg((n - a) ** 2), 1.5), 4) skew, median(n) median, min(n) least, max(n) most, sum(n) total from s, m",

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from skein.config import SETTINGS
 from skein.functions.scalars import clean_text, day, digest, has_cyrillic, to_time, tokens
+from skein.operators.api import topics_of
 from skein.plans import frames as fr
 from skein.runtime import table
 
 
 def matching(tweets: DataFrame, index: DataFrame, topics: DataFrame, limit: int | None = None) -> DataFrame:
-    """(topic, id, tw_text, username, created_at, words): tweets with a word of the topic, and which.
+    """(topic, id, words) with the other columns of ``tweets``: tweets with a word of the topic, and which.
 
     ``topics`` are (topic, word).  With ``limit``, a topic's matches are the first so many of each day by id.
     """
     hits = index.select("id", F.col("noun_md5").alias("word")).distinct().join(topics.select("topic", "word").distinct(), "word").groupBy("topic", "id").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    found = hits.join(tweets.select("id", "tw_text", "username", "created_at"), "id")
+    found = hits.join(tweets, "id")
     if limit is not None:
         w = Window.partitionBy("topic", day("created_at")).orderBy("id")
         found = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
-    return found.select("topic", "id", "tw_text", "username", "created_at", "words")
+    return found
 
 
 def newest_wins(today: DataFrame, before: DataFrame, key: str = "id") -> DataFrame:
@@ -29,10 +30,15 @@ def newest_wins(today: DataFrame, before: DataFrame, key: str = "id") -> DataFra
     return today.unionByName(before.join(today.select(key).distinct(), key, "left_anti"))
 
 
+def with_text_key(tweets: DataFrame, *columns: str) -> DataFrame:
+    """(id, text_md5, columns) of the tweets that have a text; the texts themselves need not be moved."""
+    return tweets.where("tw_text is not null").select("id", F.md5("tw_text").alias("text_md5"), *columns)
+
+
 def without_copies(found: DataFrame) -> DataFrame:
-    """One tweet of each topic and exact text: the greatest id."""
-    k = found.groupBy("topic", F.md5("tw_text").alias("__h")).agg(F.max(F.struct("id", F.struct(*found.columns).alias("r"))).alias("m"))
-    return k.select("m.r.*")
+    """One tweet of each topic and exact text (``text_md5``): the greatest id."""
+    last = found.groupBy("topic", "text_md5").agg(F.max("id").alias("id")).select("topic", "id")
+    return found.join(last, ["topic", "id"], "left_semi")
 
 
 def without_near_copies(found: DataFrame, words: str) -> DataFrame:
@@ -130,17 +136,14 @@ def answered(chains_: DataFrame, index: DataFrame, post_words: DataFrame, reply_
 # ---- queries
 
 
-def _topics(s: SparkSession, d: str, n: int = 40) -> DataFrame:
-    """(topic, word): the n words of most documents, each with the words measured near to it."""
-    from skein.operators.counters import documents_of_words
-
-    top = documents_of_words(table(s, d, "tweets_nouns").where("noun_md5 is not null"), "id", "noun_md5").orderBy(F.desc("docs"), "word_md5").limit(n).select(F.col("word_md5").alias("topic"))
-    near = fr.distances(s, d).where("sim < 0.9").select(F.explode(F.array(F.struct(F.col("a").alias("topic"), F.col("b").alias("word")), F.struct(F.col("b").alias("topic"), F.col("a").alias("word")))).alias("p")).select("p.*")
-    return top.select("topic", F.col("topic").alias("word")).unionByName(near.join(top, "topic", "left_semi"))
+def _topics(s: SparkSession, d: str) -> DataFrame:
+    """(topic, word): the members of all published topics; a topic is named by its snapshot and place."""
+    t = topics_of(table(s, d, "clusters").distinct())
+    return t.select(F.concat_ws(":", "cluster_date", "topic").alias("topic"), F.explode("members.id").alias("word")).where("word is not null").distinct()
 
 
-def _found(s: SparkSession, d: str) -> DataFrame:
-    return matching(fr.tweets_once(s, d, "tw_text", "username", "created_at").where("tw_text is not null"), table(s, d, "tweets_nouns").where("noun_md5 is not null"), _topics(s, d))
+def _found(s: SparkSession, d: str, limit: int | None = None) -> DataFrame:
+    return matching(with_text_key(fr.tweets_once(s, d, "tw_text", "created_at"), "created_at"), _index(s, d), _topics(s, d), limit)
 
 
 def _joined(c: str) -> Column:
@@ -167,7 +170,14 @@ def _context_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _kept_contexts(s: SparkSession, d: str) -> DataFrame:
-    return kept_contexts(*count_contexts(own_contexts(_index(s, d)), "id"), 50)[1]
+    return kept_contexts(*count_contexts(own_contexts(_index(s, d)), "id"), SETTINGS.contexts_kept)[1]
+
+
+def _next_chunk(s: SparkSession, d: str, n: int) -> DataFrame:
+    """The replies of all chains are queued; what arrived before a time is done."""
+    arrived = table(s, d, "tweets").groupBy("id").agg(F.min("fetched_at").alias("at"))
+    queue = _chains(s, d).select(F.col("reply_id").alias("id")).distinct().join(arrived, "id").select("id", (F.col("at") < F.lit("2014-03-04").cast("timestamp")).cast("int").alias("id_done"))
+    return next_chunk(queue, fr.tweets_once(s, d, "created_at"), n).select("id", "created_at")
 
 
 QUERIES = {
@@ -182,7 +192,8 @@ QUERIES = {
     "j1_chains": lambda s, d: chains(fr.tweets_once(s, d, "in_reply_to_id", "created_at")),
     "j1_chains_any_day": lambda s, d: chains(fr.tweets_once(s, d, "in_reply_to_id", "created_at"), same_day=False),
     "j2_tweets_without_words": lambda s, d: unseen(table(s, d, "tweets").select("id").distinct(), table(s, d, "tweets_nouns")),
-    "j3_next_chunk": lambda s, d: next_chunk(_chains(s, d).select(F.col("reply_id").alias("id"), (F.col("reply_id") % 2).cast("int").alias("id_done")).distinct(), fr.tweets_once(s, d, "created_at"), 5000).select("id", "created_at"),
+    "j3_next_chunk": lambda s, d: _next_chunk(s, d, SETTINGS.chunk_rows),
+    "j3_chunk_of_hundred": lambda s, d: _next_chunk(s, d, 100),
     "j5_matching_tweets": lambda s, d: _found(s, d).select("topic", "id", _joined("words")),
     "j6_looked_up_words": _look_up,
     "j7_reply_posts": lambda s, d: table(s, d, "tweets").select("id", "created_at").distinct().join(_chains(s, d).select(F.col("post_id").alias("id")), "id", "left_semi").groupBy(day("created_at").alias("day")).agg(F.count("*").alias("posts")),
@@ -195,8 +206,9 @@ QUERIES = {
     "d3_near_copies": lambda s, d: without_near_copies(_found(s, d), "words").select("topic", "id", _joined("words")),
     "t5_relevant_tweets": lambda s, d: relevant(_found(s, d), _index(s, d)),
     "a19_match_histogram": lambda s, d: match_histogram(_found(s, d)),
-    "t11_first_tweets_of_day": lambda s, d: matching(fr.tweets_once(s, d, "tw_text", "username", "created_at").where("tw_text is not null"), _index(s, d), _topics(s, d, 5), 20).select("topic", "id"),
-    "g2_answered_with": lambda s, d: answered(_chains(s, d), _index(s, d), *([_topics(s, d, 5).select("word")] * 2)),
+    "t11_first_tweets_of_day": lambda s, d: _found(s, d, SETTINGS.tweets_per_day).select("topic", "id"),
+    "t11_first_two_of_day": lambda s, d: _found(s, d, 2).select("topic", "id"),
+    "g2_answered_with": lambda s, d: answered(_chains(s, d), _index(s, d), *([_topics(s, d).select("word")] * 2)),
     "g9_words_in_scope": lambda s, d: fr.matrix(s, d).join(fr.dictionary(s, d).select(digest("noun").alias("post_md5")).distinct(), "post_md5", "left_semi"),
     "x1_digests": lambda s, d: fr.dictionary(s, d).select("noun", digest("noun").alias("key")),
     "x15_query_words": lambda s, d: fr.tweets_once(s, d, "tw_text").select("id", F.size(tokens("tw_text")).alias("n")),
@@ -210,16 +222,12 @@ _IX = "ix as (select distinct id, noun_md5 from tweets_nouns where noun_md5 is n
 _CH = "ch as (select distinct post_id, reply_id from tweet_chains where post_id is not null and reply_id is not null)"
 
 
-def _topics_sql(n: int) -> str:
-    return f"""{fr.TW}, {_IX}, {fr.DIST}, top as (select noun_md5 topic from ix group by 1 order by count(*) desc, 1 limit {n}),
-  tp as (select topic, topic word from top union select a, b from dist where sim < 0.9 and a in (select topic from top) union select b, a from dist where sim < 0.9 and b in (select topic from top))"""
-
-
-def _found_sql(n: int) -> str:
-    return f"{_topics_sql(n)}, fd as (select topic, ix.id, any_value(tw_text) tw_text, any_value(created_at) created_at, list(noun_md5 order by noun_md5) words from tp join ix on word = noun_md5 join tw on tw.id = ix.id where tw_text is not null group by topic, ix.id)"
-
-
+_TOPICS = f"""{fr.TW}, {_IX}, jc as (select distinct cluster_date, k, cluster from clusters where cluster_date is not null and json_valid(cluster)),
+  tc as (select cluster_date, unnest(json_extract(cluster::json, '$.clusters[*]')) t, generate_subscripts(json_extract(cluster::json, '$.clusters[*]'), 1) - 1 i from jc),
+  tp as (select distinct topic, word from (select cluster_date || ':' || i topic, try_cast(unnest(json_extract(t, '$.members[*]'))->>'$.id' as bigint) word from tc) where word is not null)"""
+_FOUND = f"""{_TOPICS}, fd as (select topic, ix.id, any_value(tw_text) tw_text, any_value(created_at) created_at, list(noun_md5 order by noun_md5) words from tp join ix on word = noun_md5 join tw on tw.id = ix.id where tw_text is not null group by topic, ix.id)"""
 _ONCE = "oc as (select * from fd qualify row_number() over (partition by topic, tw_text order by id desc) = 1)"
+_QUEUE = f"with {fr.TW}, {_CH}, ar as (select id from tweets group by id having not coalesce(min(fetched_at) < timestamptz '2014-03-04 00:00:00+00', false)) select id, created_at from tw where id in (select reply_id from ch) and id in (select id from ar) order by id limit "
 SQL = {
     "f1_cyrillic": r"select distinct id from tweets where regexp_matches(tw_text, '^[^\n]*[а-яА-Я]')",
     "f2_clean_texts": f"with {fr.TW} select id, {fr.CLEAN} as \"text\" from tw",
@@ -232,25 +240,27 @@ SQL = {
     "j1_chains": f"with {fr.TW} select distinct p.id post_id, r.id reply_id from tw r join tw p on r.in_reply_to_id = p.id and r.created_at // 1000000 = p.created_at // 1000000",
     "j1_chains_any_day": f"with {fr.TW} select distinct p.id post_id, r.id reply_id from tw r join tw p on r.in_reply_to_id = p.id",
     "j2_tweets_without_words": "select distinct id from tweets where id not in (select id from tweets_nouns)",
-    "j3_next_chunk": f"with {fr.TW}, {_CH} select id, created_at from tw where id in (select reply_id from ch where reply_id % 2 = 0) order by id limit 5000",
-    "j5_matching_tweets": f"with {_found_sql(40)} select topic, id, array_to_string(words, ',') words from fd",
+    "j3_next_chunk": _QUEUE + "50000",
+    "j3_chunk_of_hundred": _QUEUE + "100",
+    "j5_matching_tweets": f"with {_FOUND} select topic, id, array_to_string(words, ',') words from fd",
     "j6_looked_up_words": f"""with {fr.DICT}, w as (select noun word from dict union select '__total__' union select 'нетслова'), a as (select word, {fr.sql_digest('word')} word_md5 from w),
   s as (select word2, min(word1) lemma from word_mates where word1 is not null and word2 in (select noun_md5 from dict) group by 1)
 select word, word_md5, coalesce(lemma, noun_md5) lemma_md5 from a left join s on word2 = word_md5 left join dict on noun_md5 = word_md5""",
     "j7_reply_posts": f"with {_CH} select created_at // 1000000 as day, count(*) posts from (select distinct id, created_at from tweets) where id in (select post_id from ch) group by 1",
     "j8_reply_contexts": f"with {_IX}, {_CH} select p.noun_md5 post_md5, r.noun_md5 reply_md5, count(*) reply_cnt from ch join ix p on p.id = post_id join ix r on r.id = reply_id group by 1, 2",
     "j8_post_contexts": f"with {_IX} select p.noun_md5 post_md5, r.noun_md5 reply_md5, count(*) reply_cnt from ix p join ix r on p.id = r.id and p.noun_md5 <> r.noun_md5 group by 1, 2",
-    "g6_kept_contexts": f"with {_IX}, c as (select noun_md5, count(*) n from ix group by 1), t as (select noun_md5 from (select * from c order by n desc, noun_md5 limit 50) where n >= 3) select p.noun_md5 post_md5, r.noun_md5 reply_md5, count(*) reply_cnt from ix p join ix r on p.id = r.id where p.noun_md5 in (select noun_md5 from t) group by 1, 2",
+    "g6_kept_contexts": f"with {_IX}, c as (select noun_md5, count(*) n from ix group by 1), t as (select noun_md5 from (select * from c order by n desc, noun_md5 limit 2000) where n >= 3) select p.noun_md5 post_md5, r.noun_md5 reply_md5, count(*) reply_cnt from ix p join ix r on p.id = r.id where p.noun_md5 in (select noun_md5 from t) group by 1, 2",
     "a31_context_counts": f"with {_IX}, {_CH} select p.noun_md5 post_md5, count(distinct p.id) post_cnt from ch join ix p on p.id = post_id join ix r on r.id = reply_id group by 1",
     "j14_newest_wins": f"with {fr.TW} select id, username from tw where created_at // 1000000 in (20140308, 20140309)",
-    "d2_exact_copies": f"with {_found_sql(40)}, {_ONCE} select topic, id from oc",
-    "d3_near_copies": f"with {_found_sql(40)} select topic, id, array_to_string(words, ',') words from fd qualify row_number() over (partition by topic, words order by coalesce(created_at, 0) desc, id) = 1",
-    "t5_relevant_tweets": f"""with {_found_sql(40)}, {_ONCE}, aw as (select id, list(noun_md5 order by noun_md5) aw from ix group by 1), fl as (select oc.*, aw from oc join aw using (id) qualify row_number() over (partition by topic, aw order by coalesce(created_at, 0) desc, oc.id) = 1),
+    "d2_exact_copies": f"with {_FOUND}, {_ONCE} select topic, id from oc",
+    "d3_near_copies": f"with {_FOUND} select topic, id, array_to_string(words, ',') words from fd qualify row_number() over (partition by topic, words order by coalesce(created_at, 0) desc, id) = 1",
+    "t5_relevant_tweets": f"""with {_FOUND}, {_ONCE}, aw as (select id, list(noun_md5 order by noun_md5) aw from ix group by 1), fl as (select oc.*, aw from oc join aw using (id) qualify row_number() over (partition by topic, aw order by coalesce(created_at, 0) desc, oc.id) = 1),
   dn as (select topic, count(distinct words) density from oc group by 1), rk as (select *, row_number() over (partition by topic order by len(words) desc, created_at desc nulls last, id)::int r from fl)
 select topic, r as \"rank\", id, len(words)::int matched, created_at, density from rk join dn using (topic) where r <= 10""",
-    "a19_match_histogram": f"with {_found_sql(40)}, {_ONCE} select topic, len(words)::int matched, count(*) tweets from oc group by all",
-    "t11_first_tweets_of_day": f"with {_found_sql(5)} select topic, id from fd qualify row_number() over (partition by topic, created_at // 1000000 order by id) <= 20",
-    "g2_answered_with": f"with {_topics_sql(5)}, {_CH}, hit as (select id from ix where noun_md5 in (select word from tp)) select * from ch where post_id in (select id from hit) and reply_id in (select id from hit)",
+    "a19_match_histogram": f"with {_FOUND}, {_ONCE} select topic, len(words)::int matched, count(*) tweets from oc group by all",
+    "t11_first_tweets_of_day": f"with {_FOUND} select topic, id from fd qualify row_number() over (partition by topic, created_at // 1000000 order by id) <= 10000",
+    "t11_first_two_of_day": f"with {_FOUND} select topic, id from fd qualify row_number() over (partition by topic, created_at // 1000000 order by id) <= 2",
+    "g2_answered_with": f"with {_TOPICS}, {_CH}, hit as (select id from ix where noun_md5 in (select word from tp)) select * from ch where post_id in (select id from hit) and reply_id in (select id from hit)",
     "g9_words_in_scope": f"with {fr.MX}, {fr.DICT} select * from mx where post_md5 in (select {fr.sql_digest('noun')} from dict)",
     "x1_digests": f"with {fr.DICT} select noun, {fr.sql_digest('noun')} as \"key\" from dict",
     "x15_query_words": rf"with {fr.TW} select id, len(list_filter(string_split_regex(tw_text, '\s+'), lambda x: x <> ''))::int n from tw",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skein.config import SETTINGS
 from skein.functions.scalars import digest_large, members_key, title
 from skein.operators.counters import symmetric
+from skein.operators.profiles import MOST
 from skein.operators.trend import word_trends
 from skein.plans import frames as fr
 from skein.runtime import cut, ship, table
@@ -30,17 +31,17 @@ def with_diagonal(sims: DataFrame) -> DataFrame:
     return both.unionByName(both.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0.0).alias("sim")))
 
 
-def greedy_topics(sims: DataFrame, trend: DataFrame, seeds: int = SETTINGS.trending_kept, k: int = SETTINGS.topic_neighbours, within: float = SETTINGS.topic_distance, trash: float = SETTINGS.trash_distance, total: int = SETTINGS.total_key) -> DataFrame:
+def greedy_topics(sims: DataFrame, trend: DataFrame, seeds: int = SETTINGS.trending_kept, k: int = SETTINGS.topic_neighbours, within: float = SETTINGS.topic_distance, trash: float = SETTINGS.trash_distance, total: int = SETTINGS.total_key, trash_kept: int = SETTINGS.trash_kept) -> DataFrame:
     """(centroid, members): words by falling trend take their neighbours as a topic.
 
-    A word that was taken as a neighbour opens no topic; neither do the total row and its neighbours within
-    ``trash``.  A topic that has the total row is dropped, but its members stay taken.  The choice depends on
+    A word that was taken as a neighbour opens no topic; neither do the total row and its ``trash_kept`` nearest
+    neighbours within ``trash``.  A topic that has the total row is dropped, but its members stay taken.  The choice depends on
     the order, so it is one task, over at most ``seeds`` words with at most k neighbours each; neighbours and
     trash are cut in Spark.  Without a total row nothing is trash.  Ties of trend go to the smaller key.
     """
     ship(sims.sparkSession)
     near = neighbours(sims, k, within)
-    to_total = symmetric(sims, "a", "b", "sim").where((F.col("a") == total) & (F.col("sim") < trash)).select(F.col("b").alias("word"))
+    to_total = symmetric(sims, "a", "b", "sim").where((F.col("a") == total) & (F.col("sim") < trash)).orderBy("sim", "b").limit(trash_kept).select(F.col("b").alias("word"))
     words = trend.join(symmetric(sims, "a", "b", "sim").select(F.col("a").alias("word")).distinct(), "word", "left_semi").where("trend is not null")
     ranked = words.join(to_total, "word", "left_anti").where(F.col("word") != total).orderBy(F.desc("trend"), "word").limit(seeds)
     lists = near.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("n"))
@@ -158,11 +159,13 @@ def medoids(sims: DataFrame, grid: Sequence[int], rounds: int = SETTINGS.medoid_
 def fuzzy_means(vectors: DataFrame, k: int, power: float = 2.0, rounds: int = 50, seed: int = 0) -> DataFrame:
     """(key, cluster, weight): fuzzy c-means over sparse vectors (key, dim, weight) by cosine distance.
 
-    Centres are the members' means weighted by membership; the matrix is held by one task, for the kept
-    profiles.
+    Centres are the members' means weighted by membership.  One task holds the matrix, so more than ``MOST`` rows
+    are an error (the pipeline keeps 2000).
     """
-
     ship(vectors.sparkSession)
+    n = vectors.select("key").distinct().count()
+    if n > MOST:
+        raise ValueError(f"{n} rows are more than the {MOST} that one task holds")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, i = np.unique(rows["key"].to_numpy(), return_inverse=True)
@@ -234,7 +237,7 @@ from skein.operators.trend import _TR  # noqa: E402
 _SYM = f"{fr.DIST}, sy as (select a, b, sim from dist union all select b, a, sim from dist)"
 _NN = f"{_SYM}, nn as (select a word, b neighbour, sim dist, row_number() over (partition by a order by sim, b)::int \"rank\" from sy where sim < 0.45 qualify row_number() over (partition by a order by sim, b) <= 8)"
 _MEM = "mem as (select cluster_date, topic, try_cast(json_extract_string(m, '$.id') as bigint) id from (select cluster_date, topic, unnest(json_extract(t, '$.members[*]')) m from (select cluster_date, generate_subscripts(ts, 1) topic, unnest(ts) t from (select cluster_date, json_extract(cluster::json, '$.clusters[*]') ts from clusters where cluster_date is not null and json_valid(cluster)))))"
-_GREEDY = f"""{_TR}, {_NN}, bad as (select 40693175::bigint w union select b from sy where a = 40693175 and sim < 0.6),
+_GREEDY = f"""{_TR}, {_NN}, bad as (select 40693175::bigint w union select b from (select b from sy where a = 40693175 and sim < 0.6 order by sim, b limit 2000)),
   ln as (select word, list(neighbour order by dist, neighbour) n from nn group by 1),
   sd as (select word_md5 word, trend from (select word_md5, round(trend, 6) trend from tr) where word_md5 in (select a from sy) and word_md5 not in (select w from bad) and trend is not null order by trend desc, word_md5 limit 2000),
   rk as (select row_number() over (order by trend desc, word)::bigint i, word, n from sd join ln using (word)),

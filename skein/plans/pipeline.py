@@ -64,6 +64,7 @@ def run(lists: DataFrame, tweets: DataFrame, index: DataFrame, now: datetime, pr
     titles = stage("titles", lambda: align.align_topics(chosen_topics.select("centroid", "members"), quiet, post_cnt))
     published = chosen_topics.join(titles.select("centroid"), "centroid").orderBy(F.desc("best_trend"), "centroid").limit(settings.clusters_published)
     asked = published.select(F.col("centroid").alias("topic"), F.explode("members").alias("word"))
-    found = retrieve.matching(tweets.where(F.col("created_at") >= int((now - timedelta(days=2)).strftime("%Y%m%d%H%M%S"))), index, asked, settings.tweets_per_day)
+    recent_tweets = tweets.where(F.col("created_at") >= int((now - timedelta(days=2)).strftime("%Y%m%d%H%M%S")))
+    found = retrieve.matching(retrieve.with_text_key(recent_tweets, "created_at"), index, asked, settings.tweets_per_day)
     stage("relevant", lambda: retrieve.relevant(found, index, settings.tweets_per_cluster))
     return out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -36,7 +38,8 @@ def cut(df: DataFrame, *instead_of: DataFrame) -> DataFrame:
 
     The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests on one
     machine) a temporary one is made.  The result survives lost executors.  Tables of ``instead_of`` that were
-    made by this function are deleted when the new one is whole: the caller reads them no more.
+    made by this function are deleted when the new one is whole: the caller reads them no more.  What is left is
+    deleted by ``clear`` and when the program ends.
     """
     spark = df.sparkSession
     ship(spark)
@@ -60,15 +63,40 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut`` made for this application; results that read them are of no use any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _tables.clear()
+
+
+@atexit.register
+def _end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _tables:
+        try:
+            clear(spark)
+        except Exception:  # noqa: BLE001, S110 - the session may be gone by now
+            pass
+    for folder in _own_folder:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
 _own_folder: list[str] = []
 _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary one on this machine, if all tasks run on it; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="skein-"))
     return _own_folder[0]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -87,26 +88,35 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "document").option("columnNameOfCorruptRecord", "_corrupt").schema(FACT_ROW).load(path)
 
 
+#: What markup writes for five characters, fixed values; the ampersand is the last to be read.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def nouns_of_facts(facts: DataFrame) -> DataFrame:
     """(di, fact) with the surface text of noun and preposition from the lead that each fact names.
 
-    A lead marks its parts: ``<N n3 lemma>surface</N>``, ``<P n4>surface</P>``.  The part whose marker is the
-    fact's is cut out by a pattern made of the marker, which a regular expression function can take a row at
-    a time; quotes go, lemmas are lower-cased, and a hash tag gets its sign.
+    A lead marks its parts: ``<N n3="" lemma="...">surface</N>``, ``<P n4="" lemma="...">surface</P>``.  The part
+    that has the fact's marker among its attributes (the last, if several have it) is cut out by a pattern made of
+    the marker, which a regular expression function can take a row at a time.  Quotes go, lemmas are lower-cased,
+    and the surface of a hash tag gets its sign.  Without such a part the surface is null.
     """
     leads = facts.select(F.col("_di").alias("di"), F.explode("Leads.Lead").alias("lead")).select("di", F.col("lead._id").alias("lead_id"), F.col("lead._text").alias("lead_text"))
     rows = facts.select(F.col("_di").alias("di"), F.posexplode("facts.SimpleFact").alias("pos", "f"))
     marks = F.split(F.regexp_replace("f._FieldsInfo", ";+$", ""), ";")
     rows = rows.select("di", "pos", "f", F.col("f._LeadID").alias("lead_id"), F.get(marks, F.lit(0)).alias("noun_id"), F.get(marks, F.lit(1)).alias("prep_id")).join(leads, ["di", "lead_id"], "left")
-    part = lambda t, mark: F.expr(f"""regexp_replace(regexp_replace(regexp_extract(lead_text, concat('<{t} ', {mark}, '(?: [^>]*)?>(.*?)</{t}>'), 1), '<[^>]*>', ''), '["\\']', '')""")
+    plain = lambda c: reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), _ENTITIES, c)
     tag = F.coalesce(F.col("f.IsHashTag._val") == 1, F.lit(False))
-    hashed = lambda c: F.when(tag & ~c.startswith("#"), F.concat(F.lit("#"), c)).otherwise(c)
+
+    def part(t: str, mark: str) -> Column:
+        pattern = F.concat(F.lit(rf"(?s)^.*<{t}(?=\s)[^>]*\s"), F.col(mark), F.lit(rf"\s*=[^>]*>([^<]*).*?</{t}>"))
+        return F.replace(plain(F.when(F.col("lead_text").rlike(pattern), F.regexp_extract("lead_text", pattern, 1))), F.lit('"'), F.lit(""))
+
     return rows.select(
         "di",
         "pos",
         F.struct(
-            hashed(part("N", "noun_id")).alias("noun"),
-            hashed(F.lower("f.Noun._val")).alias("noun_lemma"),
+            F.concat(F.when(tag, "#").otherwise(""), part("N", "noun_id")).alias("noun"),
+            F.lower("f.Noun._val").alias("noun_lemma"),
             F.when(F.col("f.Prep._val").isNotNull(), part("P", "prep_id")).alias("prep"),
             F.lower("f.Prep._val").alias("prep_lemma"),
             "noun_id",

@@ -1,6 +1,7 @@
 """Sinks and changes of stored tables, on parquet folders partitioned by day where a table has days.
 
-Every change is a new write followed by a swap of folders, so a failed job leaves the old table whole.
+Every change is a new write followed by a swap of folders; a failed job leaves the old table whole, and a swap
+that was broken off is finished or undone by the next one or by ``recover``.
 Deltas are merged by aggregation: counters are associative, so increments may be appended and summed.
 """
 
@@ -48,9 +49,26 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: Sequence[str], *order: Co
     return old.join(last.select(*keys), list(keys), "left_anti").select(*old.columns).unionByName(last.select(*old.columns))
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finishes a swap that was broken off between its renames: the new table if it is whole, else the old one."""
+    fs, p = _files(spark, path)
+    if not fs.exists(p):
+        for other, whole in ((f"{path}.new", f"{path}.new/_SUCCESS"), (f"{path}.old", f"{path}.old")):
+            if fs.exists(_files(spark, whole)[1]):
+                fs.rename(_files(spark, other)[1], p)
+                return
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``swap`` keeps at ``path``."""
+    recover(spark, path)
+    return spark.read.parquet(path)
+
+
 def swap(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Writes a new table beside the old one and puts it in its place."""
     spark = df.sparkSession
+    recover(spark, path)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}.new")
     fs, p = _files(spark, path)
     old, new = _files(spark, f"{path}.old")[1], _files(spark, f"{path}.new")[1]

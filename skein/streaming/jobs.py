@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,30 +51,38 @@ def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 QUEUE = "username string, reply_cnt bigint, since_id bigint, done_time bigint"
 
 
-def crawl_queue(events: DataFrame) -> DataFrame:
+def crawl_queue(events: DataFrame, forget: int | None = None) -> DataFrame:
     """State of the crawl queue by user, from events (username, kind, at, since_id).
 
     ``mention`` adds one to the user's reply counter if the user was never done, or if it is newer than the
     user's done time; ``done`` sets done time and last seen id and starts the counter anew; ``block`` sets the
-    counter to -1 for good.  Events of one batch are taken in order of time.
+    counter to -1 for good.  Events of one batch are taken in order of time.  The state of a user without events
+    for ``forget`` milliseconds is dropped; by default it is kept.
     """
     ship(events.sparkSession)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, since, done = state.get if state.exists else (0, 0, 0)
-        for _, e in pd.concat(batches).sort_values(["at", "kind"]).iterrows():
-            if count < 0:
-                break
-            if e["kind"] == "block":
-                count = -1
-            elif e["kind"] == "done":
-                count, since, done = 0, int(max(since, e["since_id"])), int(e["at"])
-            elif e["at"] > done:
-                count += 1
+        if count >= 0:
+            e = pd.concat(batches).sort_values(["at", "kind"])
+            kind, at = e["kind"].to_numpy(), e["at"].to_numpy()
+            blocked = kind == "block"
+            end = int(blocked.argmax()) if blocked.any() else len(kind)
+            ends = np.flatnonzero(kind[:end] == "done")
+            new = 0
+            if len(ends):
+                since, done, new, count = int(max(since, e["since_id"].to_numpy()[ends].max())), int(at[ends[-1]]), int(ends[-1]) + 1, 0
+            count = -1 if blocked.any() else count + int(((kind[new:] == "mention") & (at[new:] > done)).sum())
         state.update((count, since, done))
+        if forget is not None:
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame({"username": [key[0]], "reply_cnt": [count], "since_id": [since], "done_time": [done]})
 
-    return events.groupBy("username").applyInPandasWithState(update, QUEUE, "reply_cnt bigint, since_id bigint, done_time bigint", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("username").applyInPandasWithState(update, QUEUE, "reply_cnt bigint, since_id bigint, done_time bigint", "update", timeout)
 
 
 def word_hours_of_files(spark: SparkSession, folder: str) -> DataFrame:
