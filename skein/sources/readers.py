@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from skein.functions.scalars import day, feed_time, has_cyrillic, to_digits
 from skein.schemas import CLUSTER, MARKS
@@ -70,14 +71,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     Line numbers come from the file's byte order: the file is read as one value, since a chunk is small.
     """
     whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("n", "line"))
+    given = [c for c in whole.columns if c != "value"]  # columns of the folder's partitions
+    lines = whole.select(*given, F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("n", "line"))
     cells = F.split("line", "\t")
-    return lines.select((F.col("n") + 1).alias("di"), F.get(cells, F.lit(0)).try_cast("bigint").alias("id"), F.get(cells, F.lit(1)).try_cast("bigint").alias("created_at"))
+    return lines.select(*given, (F.col("n") + 1).alias("di"), F.get(cells, F.lit(0)).try_cast("bigint").alias("id"), F.get(cells, F.lit(1)).try_cast("bigint").alias("created_at"))
 
 
 # ---- extracted facts
 
-FACT_ROW = """_di int,
+FACT_ROW = """_di bigint,
   facts struct<SimpleFact: array<struct<_FactID: int, _LeadID: int, _FieldsInfo: string, Noun: struct<_val: string>, Prep: struct<_val: string>,
     IsHashTag: struct<_val: int>, IsPersonName: struct<_val: int>, IsNumber: struct<_val: int>>>>,
   Leads struct<Lead: array<struct<_id: int, _text: string>>>, _corrupt string"""
@@ -109,7 +111,7 @@ def nouns_of_facts(facts: DataFrame) -> DataFrame:
 
     def part(t: str, mark: str) -> Column:
         pattern = F.concat(F.lit(rf"(?s)^.*<{t}(?=\s)[^>]*\s"), F.col(mark), F.lit(rf"\s*=[^>]*>([^<]*).*?</{t}>"))
-        return F.replace(plain(F.when(F.col("lead_text").rlike(pattern), F.regexp_extract("lead_text", pattern, 1))), F.lit('"'), F.lit(""))
+        return F.replace(plain(F.when(F.rlike("lead_text", pattern), F.call_function("regexp_extract", "lead_text", pattern, F.lit(1)))), F.lit('"'), F.lit(""))
 
     return rows.select(
         "di",
@@ -185,18 +187,64 @@ def read_database(spark: SparkSession, url: str, table: str, key: str | None = N
 # ---- paged and looked-up rows of a service
 
 
+class Busy(Exception):
+    """A service asks to wait for ``seconds`` before the next call."""
+
+    def __init__(self, seconds: float = 1.0) -> None:
+        super().__init__(seconds)
+        self.seconds = seconds
+
+
 class _Part(InputPartition):
-    def __init__(self, value: Any) -> None:
-        self.value = value
+    def __init__(self, value: Any, since: int = 0, until: int | None = None) -> None:
+        self.value, self.since, self.until = value, since, until
 
 
-class PagedSource(DataSource):
-    """A service that gives a user's rows in pages, newest first.
+def _open(path: str):
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return files, at
+
+
+def _keys(options: dict[str, str], name: str) -> list[InputPartition]:
+    """Partitions of keys: of the option ``name`` (comma separated) each its own, of ``name``_path each file one."""
+    given = options.get(f"{name}_path")
+    if not given:
+        return [_Part([k]) for k in options.get(name, "").split(",") if k]
+    from pyarrow import fs
+
+    files, at = _open(given)
+    return [_Part(f"{given.rstrip('/')}/{f.base_name}") for f in files.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))]
+
 
-    Options: ``users`` (comma separated), ``since_id``, ``page_size``; ``fetch`` is a module path
-    ``package.module:function`` of a callable (user, max_id, since_id, count) -> list of rows whose first value
-    is the id.  A user is one partition; pages go down by max_id until one is empty or since_id is reached.
-    A user whose fetch raises PermissionError is given up, other errors are tried three times.
+def _listed(value: Any) -> list[str]:
+    """The keys of a partition; those of a file are read where the partition is."""
+    if isinstance(value, list):
+        return value
+    files, at = _open(value)
+    with files.open_input_stream(at) as f:
+        return f.read().decode().split()
+
+
+def _called(options: dict[str, str], *values: Any) -> list[tuple]:
+    extra = (options["service"],) if "service" in options else ()
+    return retry(lambda: load(options["fetch"])(*values, *extra))
+
+
+ROW = "id bigint, tw_text string, username string, created_at bigint"
+
+
+class PagedSource(DataSource):
+    """A service that gives a user's rows in pages, newest first, as a batch or as a stream.
+
+    Options: ``users`` (comma separated) or ``users_path`` (a folder of files with a user a line), ``since_id``,
+    ``page_size``, ``fetch``, a module path ``package.module:function`` of a callable (user, max_id, since_id, count)
+    -> list of rows whose first value is the id, and ``service``, a further value for that callable.  A user or a
+    file of users is one partition; pages go down by max_id until one is empty or since_id is reached.  As a stream
+    its offset is the greatest id seen, so each batch has the rows above the last one's.  A service that is busy is
+    waited for.  A user whose fetch raises PermissionError is given up, other errors are tried three times and then
+    fail the job or, with ``on_error`` = skip, give up the user.
     """
 
     @classmethod
@@ -204,37 +252,72 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self) -> str:
-        return "id bigint, tw_text string, username string, created_at bigint"
+        return ROW
 
     def reader(self, schema: Any) -> DataSourceReader:
         return _PagedReader(self.options)
 
+    def streamReader(self, schema: Any) -> DataSourceStreamReader:
+        return _PagedStream(self.options)
+
 
-class _PagedReader(DataSourceReader):
+class _Paged:
     def __init__(self, options: dict[str, str]) -> None:
         self.options = dict(options)
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(u) for u in self.options.get("users", "").split(",") if u]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        fetch = load(self.options["fetch"])
-        since, count, last = int(self.options.get("since_id", 0)), int(self.options.get("page_size", 200)), None
+    def pages(self, user: str, since: int, until: int | None) -> Iterator[tuple]:
+        count, last = int(self.options.get("page_size", 200)), until
         while True:
             try:
-                page = [r for r in retry(lambda: fetch(partition.value, last, since, count)) if r[0] > since]
+                page = [r for r in _called(self.options, user, last, since, count) if r[0] > since]
             except PermissionError:
                 return
+            except Exception:
+                if self.options.get("on_error") == "skip":
+                    return
+                raise
             yield from page
             if not page:
                 return
             last = min(r[0] for r in page) - 1
 
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for user in _listed(partition.value):
+            yield from self.pages(user, partition.since, partition.until)
+
+
+class _PagedReader(_Paged, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return [_Part(p.value, int(self.options.get("since_id", 0))) for p in _keys(self.options, "users")]
+
+
+class _PagedStream(_Paged, DataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"since_id": int(self.options.get("since_id", 0))}
+
+    def latestOffset(self) -> dict:
+        """The greatest id of the users' first rows; users of files are asked one by one here, on the driver."""
+        newest = self.initialOffset()["since_id"]
+        for part in _keys(self.options, "users"):
+            for user in _listed(part.value):
+                try:
+                    newest = max([newest, *(r[0] for r in _called(self.options, user, None, newest, 1))])
+                except PermissionError:
+                    continue
+        return {"since_id": newest}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Part(p.value, start["since_id"], end["since_id"]) for p in _keys(self.options, "users")] if end["since_id"] > start["since_id"] else []
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept by the service."""
+
 
 class LookupSource(DataSource):
     """A service that gives rows by id, at most ``batch`` (100) ids a call.
 
-    Options: ``ids`` (comma separated), ``batch``, ``fetch`` as for PagedSource, called with a list of ids.
+    Options: ``ids`` (comma separated) or ``ids_path`` (a folder of files with an id a line, a partition each),
+    ``batch``, ``service`` and ``fetch`` as for PagedSource, called with a list of ids.
     """
 
     @classmethod
@@ -242,7 +325,7 @@ class LookupSource(DataSource):
         return "lookup"
 
     def schema(self) -> str:
-        return "id bigint, tw_text string, username string, created_at bigint"
+        return ROW
 
     def reader(self, schema: Any) -> DataSourceReader:
         return _LookupReader(self.options)
@@ -251,13 +334,18 @@ class LookupSource(DataSource):
 class _LookupReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = dict(options)
+        self.batch = int(self.options.get("batch", 100))
 
     def partitions(self) -> list[InputPartition]:
-        ids, n = [int(i) for i in self.options.get("ids", "").split(",") if i], int(self.options.get("batch", 100))
-        return [_Part(ids[i : i + n]) for i in range(0, len(ids), n)]
+        if self.options.get("ids_path"):
+            return _keys(self.options, "ids")
+        ids = [i for i in self.options.get("ids", "").split(",") if i]
+        return [_Part(ids[i : i + self.batch]) for i in range(0, len(ids), self.batch)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from retry(lambda: load(self.options["fetch"])(partition.value))
+        ids = [int(i) for i in _listed(partition.value)]
+        for i in range(0, len(ids), self.batch):
+            yield from _called(self.options, ids[i : i + self.batch])
 
 
 def load(path: str) -> Callable:
@@ -268,12 +356,17 @@ def load(path: str) -> Callable:
 
 
 def retry(f: Callable, times: int = 3) -> Any:
-    """The call's result; errors but PermissionError are tried again, the last is raised."""
+    """The call's result; errors but PermissionError are tried again, the last is raised.
+
+    A busy service is waited for, as long as it says, before the next try.
+    """
     for left in reversed(range(times)):
         try:
             return f()
         except PermissionError:
             raise
-        except Exception:
+        except Exception as e:
             if not left:
                 raise
+            if isinstance(e, Busy):
+                time.sleep(e.seconds)

@@ -1,22 +1,42 @@
 """Sources, sinks and streams on small files."""
 
 import json
+import os
+import re
+from xml.sax.saxutils import quoteattr
 
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import scalars
 from skein.operators.evaluate import fact_counts
 from skein.schemas import read_or_empty
 from skein.sources import readers, sinks
 from skein.streaming import jobs
 
-XML = """<?xml version='1.0' encoding='utf-8'?><fdo_objects>
-<document di="1"><facts><SimpleFact FactID="0" LeadID="0" FieldsInfo="n0;"><Noun val="СОЛНЦЕ"/><IsHashTag val="1"/></SimpleFact></facts>
-<Leads><Lead id="0" text="&lt;N n0 солнце&gt;солнце&lt;/N&gt;"/></Leads></document>
-<document di="2"><facts><SimpleFact FactID="0" LeadID="1" FieldsInfo="n0;p1;"><Noun val="СОЛНЦЕ"/><Prep val="ПО"/></SimpleFact>
-<SimpleFact FactID="1" LeadID="1" FieldsInfo="n2;"><Noun val="30"/><IsNumber val="1"/></SimpleFact></facts>
-<Leads><Lead id="1" text="&lt;P p1&gt;по&lt;/P&gt; &lt;N n0 солнце&gt;&quot;солнцу&quot;&lt;/N&gt; &lt;N n2&gt;30&lt;/N&gt;"/></Leads></document>
-</fdo_objects>"""
+def document(di, lead, *facts, lead_id=0):
+    """A document of the extractor's markup: in ``lead`` [N n0 x] stands for a marked part."""
+    marked = re.sub(r"\[([NP]) (n\d+) ([^\]]*)\]", lambda m: f'<{m[1]} {m[2]}="" lemma="{m[3].lower()}">{m[3]}</{m[1]}>', lead)
+    body = "".join(f'<SimpleFact FactID="{i}" LeadID="{lead_id}" FieldsInfo="{fields}" pos="1">{"".join(f"<{k} val={quoteattr(v)}/>" for k, v in parts.items())}</SimpleFact>' for i, (fields, parts) in enumerate(facts))
+    return f'<document url="" di="{di}" bi="-1"><facts>{body}</facts><Leads><Lead text={quoteattr(f"<l><b><s>{marked}</s></b></l>")} id="{lead_id}"/></Leads></document>'
+
+
+def xml(*documents):
+    return "<?xml version='1.0' encoding='utf-8'?><fdo_objects>" + "".join(documents) + "</fdo_objects>"
+
+
+def fact(fields, noun, tag=0, number=0, prep=None):
+    return fields, {"Noun": noun} | ({"Prep": prep} if prep else {}) | {"IsHashTag": str(tag), "IsNumber": str(number)}
+
+
+HASH_TAGS = [
+    document(1, "# [N n0 some1]", fact("n0;", "SOME1", 1)),
+    document(2, "[N n0 солнце]", fact("n0;", "СОЛНЦЕ")),
+    document(3, "# [N n0 солнце]", fact("n0;", "СОЛНЦЕ", 1)),
+    document(4, "по # [N n0 солнцу]", fact("n0;", "СОЛНЦЕ", 1)),
+    document(5, "[P n1 по] [N n0 солнцу]", fact("n0;n1;", "СОЛНЦЕ", prep="ПО")),
+]
+NUMBERS = [document(18, "Об этом [N n2 сообщил] [P n1 в] [N n0 четверг], [N n3 30] [N n4 апреля]", fact("n0;n1;", "ЧЕТВЕРГ", prep="В"), fact("n2;", "СООБЩИТЬ"), fact("n3;", "30", number=1), fact("n4;", "АПРЕЛЬ"))]
 
 
 def message(i, text, at="Sun Mar 09 12:30:00 +0000 2014"):
@@ -56,14 +76,38 @@ def test_crawl_state(spark, tmp_path):
     assert {r.username: tuple(r.s) for r in last.collect()} == {"a": (1, 44, 6), "b": (-1, 0, 0)}
 
 
-def test_facts(spark, tmp_path):
-    p = tmp_path / "20140309_1.facts.xml"
-    p.write_text(XML)
-    facts = readers.nouns_of_facts(sinks.quarantine(readers.read_facts(spark, str(p)), str(tmp_path)))
-    got = [(r.di, r.fact.noun, r.fact.noun_lemma, r.fact.prep, r.fact.is_hash_tag, r.fact.is_number) for r in facts.orderBy("di", "pos").collect()]
-    assert got == [(1, "#солнце", "#солнце", None, True, False), (2, "солнцу", "солнце", "по", False, False), (2, "30", "30", None, False, True)]
-    r = fact_counts(facts).first()
-    assert (r.total, r.most, round(r.is_hash_tag, 3)) == (3, 2, 0.333)
+def read(spark, tmp_path, name, text):
+    p = tmp_path / name
+    p.write_text(text)
+    return readers.nouns_of_facts(sinks.quarantine(readers.read_facts(spark, str(p)), str(tmp_path)))
+
+
+def surfaces(facts):
+    return [(r.s, r.fact.is_hash_tag, r.fact.is_number) for r in facts.orderBy("di", "pos").select("fact", scalars.surface("fact.noun", "fact.prep").alias("s")).collect()]
+
+
+def test_facts_of_hash_tags_and_numbers(spark, tmp_path):
+    tags = read(spark, tmp_path, "tags.xml", xml(*HASH_TAGS))
+    assert surfaces(tags) == [("#some1", True, False), ("солнце", False, False), ("#солнце", True, False), ("#солнцу", True, False), ("по солнцу", False, False)]
+    numbers = read(spark, tmp_path, "numbers.xml", xml(*NUMBERS))
+    assert surfaces(numbers) == [("в четверг", False, False), ("сообщил", False, False), ("30", False, True), ("апреля", False, False)]
+    assert [r.fact.noun_lemma for r in tags.orderBy("di").collect()] == ["some1", "солнце", "солнце", "солнце", "солнце"]
+    r = fact_counts(tags.unionByName(numbers)).first()
+    assert (r.total, r.most, round(r.is_hash_tag, 3), round(r.is_number, 3)) == (9, 4, 0.333, 0.111)
+
+
+def test_facts_of_odd_leads(spark, tmp_path):
+    odd = xml(
+        document(1, 'x [N n0 "солнцу"] [N n10 дню]', fact("n0;", "СОЛНЦЕ"), fact("n10;", "ДЕНЬ"), fact("n7;", "НЕТ"), lead_id=3),
+        document(2, "[N n0 a&amp;amp;b]", fact("n0;", "A&B")),
+        '<document di="3"><facts></facts></document>',
+    )
+    facts = read(spark, tmp_path, "odd.xml", odd)
+    assert [(r.di, r.fact.noun, r.fact.noun_lemma) for r in facts.orderBy("di", "pos").collect()] == [(1, "солнцу", "солнце"), (1, "дню", "день"), (1, None, "нет"), (2, "a&amp;b", "a&b")]
+
+
+def test_chunk_files(spark, tmp_path):
+    (tmp_path / "20140309_1.facts.xml").write_text(xml(*NUMBERS))
     (tmp_path / "20140309_1.index.txt").write_text("11\t20140309120000\n12\t20140309120001\n")
     (tmp_path / "20140309_2.index.txt").write_text("")
     assert [(r.day, r.chunk) for r in readers.ready_chunks(spark, str(tmp_path)).collect()] == [(20140309, 1)]
@@ -87,6 +131,8 @@ def test_small_files(spark, tmp_path):
 def fetch_page(user, max_id, since, count):
     if user == "denied":
         raise PermissionError
+    if user == "broken":
+        raise ValueError("broken")
     return [(i, "t", user, 1) for i in range(10, 0, -1) if max_id is None or i <= max_id][:count]
 
 
@@ -94,13 +140,46 @@ def fetch_ids(ids):
     return [(i, "t", "u", 1) for i in ids if i != 3]
 
 
-def test_services(spark):
+def feed(user, max_id, since, count, path):
+    """Rows 1, 2, ... up to the number in a file, newest first."""
+    with open(path) as f:
+        n = int(f.read())
+    return [(i, "t", user, 1) for i in range(n, 0, -1) if max_id is None or i <= max_id][:count]
+
+
+def test_paged_stream_goes_on_where_it_stopped(spark, tmp_path):
+    spark.dataSource.register(readers.PagedSource)
+    src = tmp_path / "n"
+    for n in (5, 5, 9):
+        src.write_text(str(n))
+        stream = spark.readStream.format("paged").options(users="a", page_size=2, service=str(src), fetch="tests.test_sources_and_streams:feed").load()
+        jobs.write_batches(stream, str(tmp_path / "o"), str(tmp_path / "c"), "append").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "o")).collect()) == list(range(1, 10))
+
+
+def test_services(spark, tmp_path):
     for source in (readers.PagedSource, readers.LookupSource):
         spark.dataSource.register(source)
     got = spark.read.format("paged").options(users="a,denied,b", page_size=3, since_id=4, fetch="tests.test_sources_and_streams:fetch_page").load()
     assert sorted((r.username, r.id) for r in got.collect()) == [(u, i) for u in "ab" for i in range(5, 11)]
     got = spark.read.format("lookup").options(ids="1,2,3,4,5", batch=2, fetch="tests.test_sources_and_streams:fetch_ids").load()
     assert sorted(r.id for r in got.collect()) == [1, 2, 4, 5]
+    (tmp_path / "u").mkdir()
+    for i, names in enumerate(("a\ndenied", "b\nbroken")):
+        (tmp_path / "u" / f"{i}.txt").write_text(names)
+    paged = {"users_path": str(tmp_path / "u"), "page_size": 3, "fetch": "tests.test_sources_and_streams:fetch_page"}
+    got = spark.read.format("paged").options(**paged, since_id=4, on_error="skip").load()
+    assert sorted((r.username, r.id) for r in got.collect()) == [(u, i) for u in "ab" for i in range(5, 11)]
+    with pytest.raises(Exception, match="broken"):
+        spark.read.format("paged").options(**paged).load().collect()
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "0.txt").write_text("1\n2\n3\n4")
+    got = spark.read.format("lookup").options(ids_path=str(tmp_path / "i"), batch=2, fetch="tests.test_sources_and_streams:fetch_ids").load()
+    assert sorted(r.id for r in got.collect()) == [1, 2, 4]
+    seen = []
+    with pytest.raises(readers.Busy):
+        readers.retry(lambda: (seen.append(1), (_ for _ in ()).throw(readers.Busy(0.01))))
+    assert len(seen) == 3
     calls = []
     with pytest.raises(ValueError):
         readers.retry(lambda: calls.append(1) or int("x"))
@@ -117,6 +196,12 @@ def test_sinks(spark, tmp_path):
     for rows in ([(1, 1)], [(2, 2)]):
         sinks.swap(df(rows), path)
     assert ids(spark.read.parquet(path)) == [(2, 2)] and sinks.exists(spark, path) and not sinks.exists(spark, path + ".new")
+    os.rename(path, path + ".old")  # broken off between the renames
+    assert ids(sinks.stored(spark, path)) == [(2, 2)]
+    os.rename(path, path + ".old")
+    df([(4, 4)]).write.parquet(path + ".new")
+    assert ids(sinks.stored(spark, path)) == [(4, 4)]
+    sinks.swap(df([(2, 2)]), path)
     sinks.append(df([(3, 3)]), path)
     assert spark.read.parquet(path).count() == 2
     days = str(tmp_path / "d")
