@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.components import components
 from skein.llm.density import density_groups, topic_pairs
-from skein.llm.gram import gram, gram_by, with_expected
+from skein.llm.gram import block_rows, gram, gram_by, with_expected
 from skein.llm.neighbours import directions, fit_forest, fit_tree, leaf_of, nearest
 from skein.llm.poisson import fit_mixture, histograms, occurrences, two_poisson
 from skein.llm.trie import BurstTrie, term_counts
@@ -35,6 +35,18 @@ def test_gram_weights_sides_and_expectation(spark):
     assert sorted(map(tuple, gram_by(by, "k", "items").collect())) == [("a", 1, 2, 2), ("b", 1, 2, 1), ("b", 1, 3, 1), ("b", 2, 3, 1)]
 
 
+def test_a_long_record_is_spread_over_tasks_and_a_repeated_one_is_multiplied_once(spark):
+    long = spark.createDataFrame([(list(range(3000)),)], "items array<int>")
+    rows = block_rows(long, "items", None, None, 256)
+    tasks = Counter(r.p for r in rows.select(F.spark_partition_id().alias("p")).collect())
+    assert len(tasks) >= 4 and sum(tasks.values()) == 12 * 13 // 2
+    got = gram(long, "items").agg(F.count("*").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    assert tuple(got) == (3000 * 2999 // 2, 1, 1)
+    same = spark.range(5000).select(F.array(F.lit("b"), F.lit("a")).alias("items"), F.lit(2).alias("w"))
+    assert [tuple(r) for r in block_rows(same, "items", None, "w", 256).collect()] == [("", ["a", "b"], ["a", "b"], 10_000)]
+    assert [tuple(r) for r in gram(same, "items", weight="w").collect()] == [("a", "b", 10_000)]
+
+
 def _groups(links):
     root = {}
 
