@@ -38,8 +38,8 @@ SAMPLE, PROBES, LEAF, BLOCK = 20_000, 4_000, 8192, 32768
 CHI2 = 45.559
 #: Pairs at the radius that may share no leaf.
 MISS = 0.001
-#: Projected neighbours verified first; queries of a tile; pairs gathered at a time.
-FIRST, ROWS, PAIRS = 64, 256, 50_000
+#: Projected neighbours verified first; rows and columns of a tile, which fits into a core's cache; pairs gathered at a time.
+FIRST, ROWS, COLUMNS, PAIRS = 64, 256, 2048, 50_000
 #: Leaves beyond ``block`` that may be broadcast.
 LARGE = 100_000
 
@@ -117,6 +117,25 @@ def _kept(row: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> Edges:
     return row[near], ids[near], dist[near]
 
 
+def _tighten(most: np.ndarray, edges: Edges, k: int) -> None:
+    """Sets the distance of the k-th edge of each row that has so many; edges are as ``_kept`` gives them."""
+    row = edges[0]
+    full = np.flatnonzero(np.append(row[1:] != row[:-1], True)[: len(row)] & (np.arange(len(row)) - np.searchsorted(row, row) == k - 1))
+    most[row[full]] = edges[2][full]
+
+
+def _nearest_of_tile(q: np.ndarray, data: np.ndarray, ruled_out: np.ndarray, ids: np.ndarray, sizes: np.ndarray, k: int, radius: float) -> Edges:
+    """Edges of a whole tile, among them the k nearest different ids of each query; ``ids`` are those of the rows of data."""
+    dist = np.round(1 - q @ data.T, 12)
+    dist[ruled_out] = np.inf
+    order = np.argsort(ids, kind="stable")
+    names, group = np.unique(ids[order], return_index=True)
+    dist = np.minimum.reduceat(dist[:, np.repeat(np.arange(len(data)), sizes)[order]], group, axis=1)
+    last = min(k, len(names)) - 1
+    row, col = np.nonzero(dist <= np.minimum(np.partition(dist, last, axis=1)[:, last], radius)[:, None])
+    return row, names[col], dist[row, col]
+
+
 def search(queries: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int, radius: float, seen: np.ndarray | None = None) -> Edges:
     """(row of queries, id, cosine distance) of the k nearest different ids within ``radius``.
 
@@ -125,15 +144,24 @@ def search(queries: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int,
     d = directions(0) if seen is None else seen
     flat, starts = (np.concatenate(ids), np.cumsum([0, *map(len, ids)])) if len(ids) else (np.empty(0, np.int64), np.zeros(1, np.int64))
     data_p, query_p = data.astype(np.float32) @ d, queries.astype(np.float32) @ d
-    norms, found = (data_p**2).sum(1), []
-    for start in range(0, len(queries), ROWS) if len(data) else ():
-        q, qp = queries[start : start + ROWS], query_p[start : start + ROWS]
-        near = norms - 2 * (qp @ data_p.T)
-        near += (qp**2).sum(1)[:, None]
+    # one product of these gives the squared distances
+    one = np.hstack([-2 * query_p, (query_p**2).sum(1, keepdims=True), np.ones((len(query_p), 1), np.float32)]).astype(np.float32)
+    two = np.hstack([data_p, np.ones((len(data_p), 1), np.float32), (data_p**2).sum(1, keepdims=True)]).astype(np.float32)
+    wide, found = np.float32(CHI2 * 2 * radius + 1e-3), []
+    for start in range(0, len(queries), ROWS):
+        q, hits, dense = queries[start : start + ROWS], [], []
+        for c in range(0, len(two), COLUMNS):
+            near = one[start : start + ROWS] @ two[c : c + COLUMNS].T
+            hit = np.flatnonzero(near <= wide)
+            if len(hit) * 8 > near.size:  # so many to verify that one product is less work than gathering them
+                dense.append(_nearest_of_tile(q, data[c : c + COLUMNS], near > wide, flat[starts[c] : starts[min(c + COLUMNS, len(data))]], np.diff(starts[c : c + COLUMNS + 1]), k, radius))
+                hit = hit[:0]
+            hits.append((hit // near.shape[1], hit % near.shape[1] + c, near.ravel()[hit]))
+        if not hits:
+            continue
+        at, to, near = map(np.concatenate, zip(*hits))
 
         def verified(at: np.ndarray, to: np.ndarray) -> np.ndarray:
-            if len(at) * 8 > near.size:  # one product is less work than gathering so many pairs
-                return np.round(1 - (q @ data.T)[at, to], 12)
             dist = np.empty(len(at))
             for i in range(0, len(at), PAIRS):
                 s = slice(i, i + PAIRS)
@@ -149,18 +177,20 @@ def search(queries: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int,
             return np.repeat(at, size), flat[np.repeat(starts[to], size) + slot], np.repeat(dist, size)
 
         most, first = np.full(len(q), radius), None
-        pending = near <= np.float32(CHI2 * 2 * radius + 1e-3)
-        many = np.flatnonzero(pending.sum(1) > FIRST)
-        if len(many):
-            to = np.argpartition(near[many], FIRST - 1, axis=1)[:, :FIRST]
-            at = np.repeat(many, FIRST)
-            pending[at, to.ravel()] = False
-            first = _kept(*edges(at, to.ravel(), most), k)
-            last = np.append(first[0][1:] != first[0][:-1], True)[: len(first[0])]
-            whole = last & (np.arange(len(first[0])) - np.searchsorted(first[0], first[0]) == k - 1)
-            most[first[0][whole]] = first[2][whole]
-            pending[many] &= near[many] <= (CHI2 * 2 * most[many] + 1e-3).astype(np.float32)[:, None]
-        rest = edges(*np.nonzero(pending), most)
+        if dense:
+            first = _kept(*map(np.concatenate, zip(*dense)), k)
+            _tighten(most, first, k)
+        count = np.bincount(at, minlength=len(q))
+        if count.max(initial=0) > FIRST:
+            order = np.lexsort((near, at))
+            at, to, near = at[order], to[order], near[order]
+            nearest_ = (np.arange(len(at)) - np.searchsorted(at, at) < FIRST) & (count[at] > FIRST)
+            verified_ = edges(at[nearest_], to[nearest_], most)
+            first = _kept(*(map(np.concatenate, zip(first, verified_)) if first else verified_), k)
+            _tighten(most, first, k)
+            left = ~nearest_ & (near <= (CHI2 * 2 * most[at] + 1e-3).astype(np.float32))
+            at, to = at[left], to[left]
+        rest = edges(at, to, most)
         row, i, dist = _kept(*(map(np.concatenate, zip(first, rest)) if first else rest), k)
         found.append((row + start, i, dist))
     return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
