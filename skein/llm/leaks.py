@@ -2,35 +2,35 @@
 
 The passages sought are the windows of ``SPAN`` words of every item, or the whole item if it is shorter.  All
 words of a window must be in the document, so one word is a sufficient prefix: its rarest in the corpus.  The
-document frequency of every item word is counted over all documents; windows are indexed by their rarest word
-with its place in them.  A document's words that are prefixes propose windows; the length bound is that the
-window fits into the document, the positional bound that it starts where the prefix word's place says; the
-words there are compared exactly.
+documents are tokenised once.  That pass counts the document frequency of every item word over all documents and
+keeps the runs of item words that are long enough for a window, since a window lies whole in such a run (the
+length bound).  The words of the runs are then joined with the windows on the prefix word; the positional bound is
+that the window starts where the prefix word's place says and fits into the run, and the words there are compared
+exactly.
 
-The index holds the items only.  Its size is checked: items beyond ``ITEM_CHARS`` characters are taken in parts
-of that size, and the documents are passed over once for each part.
+The item words are given to all tasks if they have at most ``VOCABULARY`` bytes; beyond that every word counts as
+one, so the runs are the whole documents and the join does the work alone.
 
 Texts are compared in NFC without U+00AD and U+200B, lower-cased, with ё as е; words are the longest runs of
-letters and digits.  Null, empty and wordless texts and items have no passages.  Empty tables give no rows.
-Repeated rows give one result row.
+letters and digits.  Null, empty and wordless texts and items have no passages, rows without id no result.  Empty
+tables give no rows.  Repeated rows give one result row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.runtime import ship, table
+from skein.runtime import cut, ship, table
 
-#: Words of a passage; characters of the items in one index.
-SPAN, ITEM_CHARS = 12, 32_000_000
+#: Words of a passage; bytes of the item words that may be given to all tasks; words counted before they are handed over.
+SPAN, VOCABULARY, WORDS = 12, 16_000_000, 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _FOLD = {0xAD: None, 0x200B: None}
@@ -45,68 +45,77 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower().replace("ё", "е"))
 
 
-def _frequencies(vocabulary: frozenset[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                df.update(vocabulary.intersection(words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["word", "n"])
-
-    return count
-
-
-class PassageIndex:
-    """Windows by their rarest word: word -> {(place, length)}, and (words) -> items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], df: dict[str, int], span: int = SPAN) -> None:
-        self.places: dict[str, set[tuple[int, int]]] = defaultdict(set)
-        self.items: dict[tuple[str, ...], set[int]] = defaultdict(set)
-        for item, words in items:
-            size = min(span, len(words))
-            for start in range(len(words) - size + 1 if size else 0):
-                window = tuple(words[start : start + size])
-                place = min(range(size), key=lambda i: (df.get(window[i], 0), window[i], i))
-                if df.get(window[place], 0):
-                    self.places[window[place]].add((place, size))
-                    self.items[window].add(item)
-
-    def found(self, text: str | None) -> set[int]:
-        words, out = words_of(text), set()
-        for at, word in enumerate(words):
-            if word in self.places:
-                for place, size in self.places[word]:
-                    start = at - place
-                    if start >= 0 and start + size <= len(words):
-                        out.update(self.items.get(tuple(words[start : start + size]), ()))
-        return out
-
-
-def _matches(index):
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.value
-        for batch in batches:
-            hits = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in known.found(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], ["doc_id", "item_id"])
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(words_of, batch.column(1).to_pylist()), pa.list_(pa.string()))], ["item_id", "words"])
+
 
-    return match
+def _runs(vocabularies: list[tuple[frozenset[str] | None, int]]):
+    """(doc_id, words, n) of documents: the runs of words of a vocabulary that are at least so long, and after
+    them, without doc_id, single words with the number of documents that have them."""
+    counted = None if any(v is None for v, _ in vocabularies) else frozenset().union(*(v for v, _ in vocabularies))
 
+    def out(docs: list[int | None], words: list[list[str]], n: list[int | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(n, pa.int64())], ["doc_id", "words", "n"])
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, span: int = SPAN, item_chars: int = ITEM_CHARS) -> DataFrame:
+    def given(df: Counter[str]) -> pa.RecordBatch:
+        return out([None] * len(df), [[w] for w in df], list(df.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter[str] = Counter()
+        for batch in batches:
+            docs, found = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                df.update(set(words) if counted is None else counted.intersection(words))
+                for vocabulary, least in vocabularies:
+                    start = 0
+                    for at in [*(() if vocabulary is None else (i for i, w in enumerate(words) if w not in vocabulary)), len(words)]:
+                        if at - start >= least:
+                            docs.append(doc)
+                            found.append(words[start:at])
+                        start = at + 1
+            yield out(docs, found, [None] * len(docs))
+            if len(df) > WORDS:
+                yield given(df)
+                df.clear()
+        yield given(df)
+
+    return run
+
+
+def _vocabulary(items: DataFrame, most: int) -> frozenset[str] | None:
+    """The different words of the items, if they have at most ``most`` bytes."""
+    words = items.select(F.explode("words").alias("w")).distinct()
+    if (words.agg(F.sum(F.octet_length("w") + 64)).first()[0] or 0) > most:
+        return None
+    return frozenset(r.w for r in words.toLocalIterator())
+
+
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, span: int = SPAN, vocabulary: int = VOCABULARY) -> DataFrame:
     """(doc_id, item_id): every document that holds ``span`` consecutive words, or all words, of an item."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    asked = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
-    parts = 1 + (asked.agg(F.sum(F.length("text"))).first()[0] or 0) // item_chars
-    found = []
-    for part in range(parts):
-        block = [(r.item_id, words_of(r.text)) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toLocalIterator()]
-        vocabulary = frozenset(w for _, words in block for w in words)
-        df = {r.word: r.n for r in texts.mapInArrow(_frequencies(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
-        index = spark.sparkContext.broadcast(PassageIndex(block, df, span))
-        found.append(texts.mapInArrow(_matches(index), "doc_id bigint, item_id bigint"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    ship(docs.sparkSession)
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    asked = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
+    asked = cut(asked.mapInArrow(_tokenised, "item_id bigint, words array<string>").where(F.size("words") > 0))
+    short = F.size("words") < span
+    least = asked.where(short).agg(F.min(F.size("words"))).first()[0]
+    groups = [(asked.where(~short), span)] + ([(asked.where(short), least)] if least else [])
+    rows = cut(texts.mapInArrow(_runs([(_vocabulary(g, vocabulary), n) for g, n in groups]), "doc_id bigint, words array<string>, n bigint"))
+    frequency = rows.where("n is not null").groupBy(F.col("words")[0].alias("word")).agg(F.sum("n").alias("df"))
+
+    size = F.least(F.lit(span), F.size("words"))
+    windows = asked.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("window")).distinct()
+    placed = windows.select("item_id", "window", F.posexplode("window").alias("place", "word")).join(frequency, "word")
+    prefix = placed.groupBy("item_id", "window").agg(F.min(F.struct("df", "word", "place")).alias("p"), F.count("*").alias("known")).where(F.col("known") == F.size("window"))
+    prefix = prefix.select("item_id", "window", "p.word", "p.place", F.size("window").alias("size"))
+
+    # a word of a run with the words round it, as far as a window that holds it can reach
+    around = lambda w, i: F.struct(w.alias("word"), F.slice("words", F.greatest(i - span + 1, F.lit(0)) + 1, F.lit(2 * span - 1)).alias("near"), F.least(i, F.lit(span - 1)).alias("at"))
+    tokens = rows.where("n is null").select("doc_id", F.inline(F.transform("words", around)))
+    start = F.col("at") - F.col("place")
+    met = tokens.join(prefix, "word").where((start >= 0) & (start + F.col("size") <= F.size("near"))).where(F.slice("near", start + 1, F.col("size")) == F.col("window"))
+    return met.select("doc_id", "item_id").distinct()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
