@@ -38,30 +38,32 @@ def histograms(rows: DataFrame) -> DataFrame:
     return hist.join(d, "term").withColumn("total", total)
 
 
-def fit_mixture(values: np.ndarray, counts: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(share of elite, mean of the rest, mean of elite) for each row of the padded histograms.
+def fit_mixture(values: np.ndarray, counts: np.ndarray, sizes: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of elite, mean of the rest, mean of elite) for each of the histograms, which lie one after another.
 
-    Rows leave when their parameters stand still; ``rounds`` ends all of them earlier.  A share below one record
-    is held against one record.
+    ``sizes`` are their numbers of entries, none 0.  Histograms leave when their parameters stand still; ``rounds``
+    ends all of them earlier.  A share below one record is held against one record.
     """
-    n = counts.sum(1)
-    mean = (values * counts).sum(1) / n
-    top = np.where(counts > 0, values, 0).max(1)
+    total = lambda x, size: np.add.reduceat(x, np.cumsum(size) - size) if len(size) else np.empty(0)
+    n = total(counts, sizes)
+    mean = total(values * counts, sizes) / n
+    top = np.maximum.reduceat(np.where(counts > 0, values, 0), np.cumsum(sizes) - sizes) if len(sizes) else n
     low, high, share = np.maximum(mean * 0.5, 1e-9), np.maximum((mean + top) / 2, mean * 1.5 + 1e-9), np.full(len(n), 0.1)
-    at, v, c, m, done = np.arange(len(n)), values, counts, n, 0
+    at, v, c, m, size, done = np.arange(len(n)), values, counts, n, sizes, 0
     while len(at) and done != rounds:
         s, lo, hi = share[at], low[at], high[at]
-        log_odds = np.log(s / (1 - s))[:, None] + v * np.log(hi / lo)[:, None] - (hi - lo)[:, None]
+        log_odds = np.repeat(np.log(s / (1 - s)) - (hi - lo), size) + v * np.repeat(np.log(hi / lo), size)
         elite = c / (1 + np.exp(-np.clip(log_odds, -700, 700)))
         rest = c - elite
-        e, r = elite.sum(1), rest.sum(1)
-        high[at] = np.maximum((elite * v).sum(1) / np.maximum(e, 1e-12), 1e-9)
-        low[at] = np.maximum((rest * v).sum(1) / np.maximum(r, 1e-12), 1e-9)
+        e, r = total(elite, size), total(rest, size)
+        high[at] = np.maximum(total(elite * v, size) / np.maximum(e, 1e-12), 1e-9)
+        low[at] = np.maximum(total(rest * v, size) / np.maximum(r, 1e-12), 1e-9)
         share[at] = np.clip(e / m, 1e-9, 1 - 1e-9)
         moved = np.maximum(abs(high[at] - hi) / hi, abs(low[at] - lo) / lo)
         moved = np.maximum(moved, abs(share[at] - s) / np.maximum(np.minimum(s, 1 - s), 1 / m)) > STILL
         if not moved.all():
-            at, v, c, m = at[moved], v[moved], c[moved], m[moved]
+            entry = np.repeat(moved, size)
+            at, v, c, m, size = at[moved], v[entry], c[entry], m[moved], size[moved]
         done += 1
     turn = high < low
     return np.where(turn, 1 - share, share), np.where(turn, high, low), np.where(turn, low, high)
@@ -74,14 +76,17 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist = batch.column(1)
         sizes = np.diff(hist.offsets.to_numpy())
         flat = hist.flatten()
-        cnt, n = flat.field("cnt").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
-        at = np.repeat(np.arange(len(sizes)), sizes)
-        slot = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-        values, counts = np.zeros((2, len(sizes), int(sizes.max(initial=0)) + 1))
-        values[at, slot], counts[at, slot] = cnt, n
-        counts[:, 0] = np.maximum(batch.column(2).to_numpy() - counts.sum(1), 0)
-        once, of = np.unique(np.hstack([values, counts]), axis=0, return_inverse=True)  # many terms have equal histograms
-        share, low, high = (x[of] for x in fit_mixture(*np.hsplit(once, 2)))
+        pairs = np.stack([flat.field("cnt").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)], 1).astype(float)
+        ends, total = np.cumsum(sizes), batch.column(2).to_numpy()
+        once: dict[bytes, int] = {}  # many terms have equal histograms
+        fitted, of = [], np.empty(len(sizes), np.int64)
+        for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+            whole = np.vstack([[0.0, max(total[i] - pairs[a:b, 1].sum(), 0.0)], pairs[a:b]])
+            of[i] = once.setdefault(whole.tobytes(), len(once))
+            if of[i] == len(fitted):
+                fitted.append(whole)
+        values, counts = np.vstack(fitted).T
+        share, low, high = (x[of] for x in fit_mixture(values, counts, np.array([len(x) for x in fitted])))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(share), pa.array(low), pa.array(high)], ["term", "share", "low", "high"])
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.llm.density import density_groups, topic_pairs
+from skein.llm.density import density_groups, density_peaks, topic_pairs
 from skein.llm.gram import block_rows, gram, gram_by, with_expected
 from skein.llm.neighbours import directions, fit_forest, fit_tree, leaf_of, nearest
 from skein.llm.poisson import fit_mixture, histograms, occurrences, two_poisson
@@ -73,6 +73,17 @@ def test_groups_and_components_equal_union_find(spark):
     assert density_groups(df.limit(0), "a", "b", "d").collect() == [] and components(df.limit(0), "a", "b").collect() == []
 
 
+def test_density_peaks_are_chosen_by_density_and_distance(spark):
+    # two stars round 1 and 10, joined by 5; 5 is nearer to 10
+    links = [(1, 2, 0.1), (1, 3, 0.1), (1, 4, 0.2), (1, 5, 0.4), (10, 11, 0.1), (10, 12, 0.1), (10, 13, 0.3), (10, 5, 0.2), (2, 3, None), (7, 8, 0.3)]
+    df = spark.createDataFrame(links, "a bigint, b bigint, d double")
+    got = {r.record: (r.peak, r.density) for r in density_peaks(df, "a", "b", "d").collect()}
+    assert got == {1: (1, 4), 2: (1, 2), 3: (1, 2), 4: (1, 1), 5: (10, 2), 10: (10, 4), 11: (10, 1), 12: (10, 1), 13: (10, 1), 7: (7, 1), 8: (7, 1)}
+    near = {r.record: r.peak for r in density_peaks(df, "a", "b", "d", apart=0.25).collect()}
+    assert near[13] == 13 and near[8] == 8 and near[4] == 1
+    assert density_peaks(df.limit(0), "a", "b", "d").collect() == []
+
+
 def test_topics_need_whole_json_and_enough_dates(spark):
     topic = '{"clusters": [{"members": [{"id": 1}, {"id": "2"}, {"id": "x"}, {"id": 2}]}, {"members": []}, {}]}'
     rows = [(f"2014030{i}000000", topic) for i in (1, 2, 3)] + [("20140304000000", topic[:-3]), ("20140305000000", None), ("20140306000000", ""), (None, topic), ("20140301000000", topic)]
@@ -202,7 +213,7 @@ def test_mixture_recovers_its_parameters():
     n, share, low, high = 200_000, 0.2, 0.5, 7.0
     x = np.where(rng.random(n) < share, rng.poisson(high, n), rng.poisson(low, n))
     counts = np.bincount(x)[None].astype(float)
-    s, a, b = fit_mixture(np.arange(counts.shape[1])[None].astype(float), counts, 300)
+    s, a, b = fit_mixture(np.arange(counts.shape[1]).astype(float), counts[0], np.array([counts.shape[1]]), 300)
     assert abs(s[0] - share) < 0.01 and abs(a[0] - low) < 0.03 and abs(b[0] - high) < 0.1
 
 
@@ -211,12 +222,12 @@ def test_mixture_is_fitted_to_the_end():
     x = np.where(rng.random((8, 2000)) < 0.3, rng.poisson(1.6, (8, 2000)), rng.poisson(0.7, (8, 2000)))
     values = np.tile(np.arange(16.0), (8, 1))
     counts = np.array([np.bincount(r, minlength=16) for r in x], float)
-    share, low, high = (p[:, None] for p in fit_mixture(values, counts))
+    share, low, high = (p[:, None] for p in fit_mixture(values.ravel(), counts.ravel(), np.full(8, 16)))
     elite = 1 / (1 + (1 - share) / share * np.exp(high - low) * (low / high) ** values)
     e = (elite * counts).sum(1)
     again = e / counts.sum(1), ((1 - elite) * counts * values).sum(1) / (counts.sum(1) - e), (elite * counts * values).sum(1) / e
     assert all(np.allclose(a, p[:, 0], rtol=1e-7) for a, p in zip(again, (share, low, high)))
-    alone = [fit_mixture(values[i : i + 1], counts[i : i + 1]) for i in range(8)]
+    alone = [fit_mixture(values[i], counts[i], np.array([16])) for i in range(8)]
     assert all(np.allclose(p[:, 0], [a[k][0] for a in alone], rtol=1e-6) for k, p in enumerate((share, low, high)))
 
 
