@@ -3,15 +3,21 @@
 The paragraphs of a text are all its runs of ``SPAN`` characters.  A paragraph's shingles are its runs of
 ``GRAM`` characters and its signature is the shingle of least hash (ties: the last).  One band of one row has
 full recall here, since equal paragraphs have equal signatures; neighbouring paragraphs mostly share theirs, so
-a text has about one signature in 50 characters.  Signatures that occur in two different texts or more collide, and their paragraphs are verified:
+a text has about one signature in 50 characters.  The texts are read twice and never moved:
 
-* a signature of at most ``FEW`` places by comparing, two by two, the characters round it;
-* a more frequent one by two 64-bit rolling hashes of each whole paragraph, which are then joined.
+* the first pass writes the class (MD5) of each text and its signatures.  Signatures of two different classes or more
+  are marked in two bitmaps of 2^26 bits, one for those of at most ``FEW`` texts, one for the more frequent ones;
+  bitmaps have that size whatever the data's, so they may be broadcast;
+* the second pass hands over what verifies the marked signatures.  For a signature of few texts that is the text round
+  it, which is compared character by character, two by two.  For a frequent one these would be too many pairs without
+  a result, so its whole paragraphs are brought together by the MD5 of their characters, as whole texts are.
 
-Equal texts are one class from the start.  Frequent paragraphs pair classes only at the first paragraph of a
-common run: where two classes have the same paragraph and their preceding paragraphs are the same too, the pair
-is left to these.  A passage shared by many records so makes one row a pair, as the result asks, and a frequent
-signature without a common paragraph makes none.
+A signature marked by chance does no harm: its contexts find no partner, or its paragraphs are equal or not.
+
+Equal texts are one class from the start, and a task hands over a class once.  Frequent paragraphs pair classes only
+at the first paragraph of a common run: where two classes have the same paragraph and their preceding paragraphs are
+the same too, the pair is left to these.  A passage shared by many records so makes one row a pair, as the result
+asks, and a frequent signature without a common paragraph makes none.
 
 Texts are compared exactly as stored, by code points.  Texts that are null or shorter than ``SPAN`` share
 nothing.  Empty input gives no rows.  Extra columns are ignored.
@@ -19,6 +25,7 @@ nothing.  Empty input gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 from skein.llm.components import components
 from skein.runtime import cut, ship, table
 
-#: Characters of a paragraph and of a shingle; places of a signature that are compared two by two.
+#: Characters of a paragraph and of a shingle; texts of a signature that are compared two by two.
 SPAN, GRAM, FEW = 200, 100, 16
 
 
@@ -54,7 +61,7 @@ def rolling(codes: np.ndarray, width: int, seed: int) -> np.ndarray:
     return _mix((sums[width:] - sums[:-width]) * _powers(inverse, n)[: n - width + 1])
 
 
-_BASES = {s: (b, pow(b, -1, 1 << 64)) for s, b in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9))}
+_BASES = {1: (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))}
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -90,33 +97,60 @@ def signatures(codes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[n
     return place, h
 
 
+def _class(text: str) -> bytes:
+    return hashlib.md5(text.encode()).digest()
+
+
 def _signed(span: int, gram: int):
+    """(doc_id, cls, c1, c2, n_chars, hs): c1 and c2 are the halves of cls, hs the signatures of a text."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, hs, places = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            hs = []
+            for text in texts:
                 place, h = signatures(_codes(text), span, gram)
-                place = np.unique(place)
-                cls += [key] * len(place)
-                hs.append(h[place].view(np.int64))
-                places.append(place)
-            if cls:
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(np.concatenate(hs)), pa.array(np.concatenate(places).astype(np.int32))], ["cls", "h", "place"])
+                hs.append(np.unique(h[np.unique(place)]).view(np.int64))
+            classes = [_class(t) for t in texts]
+            halves = np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2)
+            offsets = np.cumsum([0, *map(len, hs)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hs) if hs else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(t) for t in texts], pa.int32()), lists], ["doc_id", "cls", "c1", "c2", "n_chars", "hs"])
 
     return sign
 
 
-def _verified(span: int, gram: int):
-    """Contexts of the few-fold signatures, paragraphs of the many-fold ones."""
+def _bitmap(h: DataFrame) -> np.ndarray:
+    """A bitmap of 2^26 bits with one set for each h; at most 2^20 words come to the driver."""
+    words = h.select(F.expr("int(shiftright(h, 44) & 1048575)").alias("word"), F.expr("shiftleft(1L, int(shiftright(h, 38) & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << 20, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    word, bit = (h >> np.uint64(44)) & np.uint64((1 << 20) - 1), (h >> np.uint64(38)) & np.uint64(63)
+    return (bitmap[word.astype(np.int64)] >> bit) & np.uint64(1) == 1
+
+
+def _verified(span: int, gram: int, bitmaps):
+    """Contexts of the signatures marked in the first bitmap, paragraphs of those in the second."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, frequent = bitmaps.value
+        seen: set[bytes] = set()
         for batch in batches:
-            for key, text, few, many in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for text in batch.column(0).to_pylist():
+                key = _class(text)
+                if key in seen:
+                    continue
+                seen.add(key)
                 codes = _codes(text)
                 place, h = signatures(codes, span, gram)
-                few = np.array(few, np.int64)
-                lead, tail = np.minimum(few, span - gram), np.minimum(len(codes) - few - gram, span - gram)
+                places = np.unique(place)
+                few, many = (places[_marked(b, h[places])] for b in (rare, frequent))
                 if len(few):
+                    lead, tail = np.minimum(few, span - gram), np.minimum(len(codes) - few - gram, span - gram)
                     before = [text[p - a : p][::-1] for p, a in zip(few.tolist(), lead.tolist())]
                     after = [text[p : p + gram + b] for p, b in zip(few.tolist(), tail.tolist())]
                     none = pa.nulls(len(few), pa.int64())
@@ -125,10 +159,13 @@ def _verified(span: int, gram: int):
                     )
                 at = np.flatnonzero(np.isin(place, many))
                 if len(at):
-                    h1, h2 = rolling(codes, span, 2).view(np.int64), rolling(codes, span, 3).view(np.int64)
+                    whole = memoryview(text.encode("utf-32-le"))
+                    digests = {p: hashlib.md5(whole[4 * p : 4 * (p + span)]).digest() for p in np.union1d(at, np.maximum(at - 1, 0)).tolist()}
+                    halves = lambda ps: np.frombuffer(b"".join(digests[p] for p in ps), np.int64).reshape(-1, 2)
+                    own, before = halves(at.tolist()), halves(np.maximum(at - 1, 0).tolist())
                     none = pa.nulls(len(at), pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(h1[at]), pa.array(h2[at]), pa.array((h1 ^ (h2 << 1))[np.maximum(at - 1, 0)], mask=at == 0), none, none], _COLUMNS
+                        [pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(before[:, 0], mask=at == 0), none, none], _COLUMNS
                     )
 
     return verify
@@ -146,24 +183,25 @@ def common_prefix(a: str, b: str, most: int) -> Column:
 
 class Shared:
     """What texts share: ``members`` (cls, doc_id, n_chars) of the classes of equal texts, ``few`` pairs of classes
-    (cls1, start1, cls2, start2, r, l) by a signature of at most ``FEW`` places, ``many`` (cls, start, h1, h2, before)
-    the verified paragraphs of more frequent signatures."""
+    (cls1, start1, cls2, start2, r, l) by a signature of at most ``FEW`` texts, ``many`` (cls, start, h1, h2, before)
+    the paragraphs of more frequent signatures with their MD5 in halves."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, span: int = SPAN, gram: int = GRAM, few: int = FEW) -> None:
-        ship(docs.sparkSession)
+        spark = docs.sparkSession
+        ship(spark)
         self.span, self.gram = span, gram
-        texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span).select(F.unhex(F.md5("text")).alias("cls"), "doc_id", "text")
-        self.members = texts.select("cls", "doc_id", F.length("text").alias("n_chars"))
-        signed = cut(texts.select("cls", "text").mapInArrow(_signed(span, gram), "cls binary, h bigint, place int").distinct())
-        several = signed.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n")).where("a <> b").select("h", (F.col("n") <= few).alias("few"))
-        at = lambda kind: F.collect_list(F.when(F.col("few") == kind, F.col("place")))
-        wanted = signed.join(several, "h").groupBy("cls").agg(at(True).alias("few"), at(False).alias("many"))
-        one = self.members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        asked = wanted.join(one, "cls").select("cls", "doc_id", "few", "many")
+        texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").where(F.length("text") >= span)
+        signed = cut(texts.mapInArrow(_signed(span, gram), f"doc_id {dict(texts.dtypes)['doc_id']}, cls binary, c1 bigint, c2 bigint, n_chars int, hs array<bigint>"))
+        self.members = signed.select("cls", "doc_id", "n_chars")
+        ends = [f(c).alias(f"{c}_{n}") for c in ("c1", "c2") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        several = cut(signed.select(F.explode("hs").alias("h"), "c1", "c2").groupBy("h").agg(*ends, F.count("*").alias("n")).where("c1_lo <> c1_hi or c2_lo <> c2_hi").select("h", (F.col("n") <= few).alias("few")))
+        bitmaps = spark.sparkContext.broadcast((_bitmap(several.where("few")), _bitmap(several.where("not few"))))
         kinds = "cls binary, start int, h1 bigint, h2 bigint, before bigint, left string, right string"
-        rows = cut(texts.drop("cls").join(asked, "doc_id").select("cls", "text", "few", "many").mapInArrow(_verified(span, gram), kinds), signed)
-        self.few = self._compared(rows.where("right is not null"))
-        self.many = rows.where("right is null").select("cls", "start", "h1", "h2", "before")
+        rows = cut(texts.select("text").mapInArrow(_verified(span, gram, bitmaps), kinds))
+        # a class may come from several tasks; all rows of a signature are brought together once, for this and the join
+        contexts = rows.where("right is not null").select("cls", "start", "h1", "left", "right").repartition("h1").dropDuplicates(["h1", "cls", "start"])
+        self.few = self._compared(contexts.join(several.where("few").select(F.col("h").alias("h1")), "h1", "left_semi"))
+        self.many = rows.where("right is null").select("cls", "start", "h1", "h2", "before").distinct()
 
     def _compared(self, rows: DataFrame) -> DataFrame:
         """Pairs of places of one signature with a common span: ``l`` characters before and ``r`` from the place on."""
