@@ -38,6 +38,8 @@ from skein.runtime import cut, ship, table
 
 #: Characters of a paragraph and of a shingle; texts of a signature that are compared two by two.
 SPAN, GRAM, FEW = 200, 100, 16
+#: Characters of the texts that are hashed in one go.
+TOGETHER = 200_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -75,26 +77,55 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def signatures(codes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the signature of each paragraph, hashes of all shingles)."""
+    """(place of the signature of each paragraph, hashes of all shingles).
+
+    Shingles are ranked by the upper half of their hash, equal ones by place, the last first: both depend on the
+    paragraph alone.
+    """
     h = rolling(codes, gram, 1)
     w = span - gram + 1
     n = len(h) - w + 1
+    low = np.uint64(0xFFFFFFFF)
     # sliding minimum of blocks: the least of the rest of one block and the begin of the next
     pad = -(-len(h) // w) * w
     x = np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))
-    x[: len(h)] = h
+    x[: len(h)] = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
     blocks = x.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    # the last place of that value at or before the paragraph's end
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    place = np.empty(n, np.int64)
-    ends = np.concatenate([change[1:], [n]])
-    for a, b in zip(change.tolist(), ends.tolist()):
-        at = a + np.flatnonzero(h[a : b + w - 1] == least[a])
-        place[a:b] = at[np.searchsorted(at, np.arange(a, b) + w - 1, side="right") - 1]
-    return place, h
+    return (low - (least & low)).astype(np.int64), h
+
+
+def _together(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in lists of about so many characters."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+class Signed:
+    """Signatures of several texts, none shorter than ``span``, found in one go: for every paragraph that lies in one
+    text its ``text``, ``start`` and the ``place`` of its signature in that text, and the signature's ``hash``."""
+
+    def __init__(self, texts: list[str], span: int, gram: int) -> None:
+        ends = np.cumsum([len(t) for t in texts])
+        place, h = signatures(_codes("".join(texts)), span, gram)
+        at = np.arange(len(place))
+        of = np.searchsorted(ends, at, side="right")
+        inside = at + span <= ends[of]
+        self.text, begin = of[inside], (ends - [len(t) for t in texts])[of[inside]]
+        self.start, self.place, self.hash = at[inside] - begin, place[inside] - begin, h[place[inside]]
+        new = np.ones(len(self.text), bool)
+        new[1:] = (self.text[1:] != self.text[:-1]) | (self.place[1:] != self.place[:-1])
+        #: The paragraphs that are the first with their signature.
+        self.first = np.flatnonzero(new)
 
 
 def _class(text: str) -> bytes:
@@ -107,14 +138,17 @@ def _signed(span: int, gram: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            hs = []
-            for text in texts:
-                place, h = signatures(_codes(text), span, gram)
-                hs.append(np.unique(h[np.unique(place)]).view(np.int64))
+            if not texts:
+                continue
+            hs, sizes = [], []
+            for part in _together(texts, TOGETHER):
+                x = Signed(part, span, gram)
+                hs.append(x.hash[x.first].view(np.int64))
+                sizes.append(np.bincount(x.text[x.first], minlength=len(part)))
             classes = [_class(t) for t in texts]
             halves = np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2)
-            offsets = np.cumsum([0, *map(len, hs)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hs) if hs else np.empty(0, np.int64)))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hs)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(t) for t in texts], pa.int32()), lists], ["doc_id", "cls", "c1", "c2", "n_chars", "hs"])
 
     return sign
@@ -140,32 +174,42 @@ def _verified(span: int, gram: int, bitmaps):
         rare, frequent = bitmaps.value
         seen: set[bytes] = set()
         for batch in batches:
+            new = []
             for text in batch.column(0).to_pylist():
                 key = _class(text)
-                if key in seen:
-                    continue
-                seen.add(key)
-                codes = _codes(text)
-                place, h = signatures(codes, span, gram)
-                places = np.unique(place)
-                few, many = (places[_marked(b, h[places])] for b in (rare, frequent))
+                if key not in seen:
+                    seen.add(key)
+                    new.append(text)
+            for part in _together(new, TOGETHER):
+                x, keys = Signed(part, span, gram), [_class(t) for t in part]
+                few = x.first[_marked(rare, x.hash[x.first])]
                 if len(few):
-                    lead, tail = np.minimum(few, span - gram), np.minimum(len(codes) - few - gram, span - gram)
-                    before = [text[p - a : p][::-1] for p, a in zip(few.tolist(), lead.tolist())]
-                    after = [text[p : p + gram + b] for p, b in zip(few.tolist(), tail.tolist())]
+                    cls, before, after = [], [], []
+                    for i, p in zip(x.text[few].tolist(), x.place[few].tolist()):
+                        text = part[i]
+                        cls.append(keys[i])
+                        before.append(text[max(p - span + gram, 0) : p][::-1])
+                        after.append(text[p : p + span])
                     none = pa.nulls(len(few), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(few), pa.binary()), pa.array(few.astype(np.int32)), pa.array(h[few].view(np.int64)), none, none, pa.array(before, pa.string()), pa.array(after, pa.string())], _COLUMNS
+                        [pa.array(cls, pa.binary()), pa.array(x.place[few].astype(np.int32)), pa.array(x.hash[few].view(np.int64)), none, none, pa.array(before, pa.string()), pa.array(after, pa.string())], _COLUMNS
                     )
-                at = np.flatnonzero(np.isin(place, many))
-                if len(at):
-                    whole = memoryview(text.encode("utf-32-le"))
-                    digests = {p: hashlib.md5(whole[4 * p : 4 * (p + span)]).digest() for p in np.union1d(at, np.maximum(at - 1, 0)).tolist()}
-                    halves = lambda ps: np.frombuffer(b"".join(digests[p] for p in ps), np.int64).reshape(-1, 2)
-                    own, before = halves(at.tolist()), halves(np.maximum(at - 1, 0).tolist())
-                    none = pa.nulls(len(at), pa.string())
+                many = np.flatnonzero(_marked(frequent, x.hash))
+                if len(many):
+                    whole, own, before = {}, [], []
+                    for i, p in zip(x.text[many].tolist(), x.start[many].tolist()):
+                        if i not in whole:
+                            whole = {i: (memoryview(part[i].encode("utf-32-le")), {})}
+                        chars, known = whole[i]
+                        for at in (p, max(p - 1, 0)):
+                            if at not in known:
+                                known[at] = hashlib.md5(chars[4 * at : 4 * (at + span)]).digest()
+                        own.append(known[p])
+                        before.append(known[max(p - 1, 0)])
+                    halves = lambda digests: np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    mine, none = halves(own), pa.nulls(len(many), pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(before[:, 0], mask=at == 0), none, none], _COLUMNS
+                        [pa.array([keys[i] for i in x.text[many].tolist()], pa.binary()), pa.array(x.start[many].astype(np.int32)), pa.array(mine[:, 0]), pa.array(mine[:, 1]), pa.array(halves(before)[:, 0], mask=x.start[many] == 0), none, none], _COLUMNS
                     )
 
     return verify
