@@ -50,10 +50,9 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(words_of, batch.column(1).to_pylist()), pa.list_(pa.string()))], ["item_id", "words"])
 
 
-def _runs(vocabularies: list[tuple[frozenset[str] | None, int]]):
+def _runs(shared):
     """(doc_id, words, n) of documents: the runs of words of a vocabulary that are at least so long, and after
     them, without doc_id, single words with the number of documents that have them."""
-    counted = None if any(v is None for v, _ in vocabularies) else frozenset().union(*(v for v, _ in vocabularies))
 
     def out(docs: list[int | None], words: list[list[str]], n: list[int | None]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(n, pa.int64())], ["doc_id", "words", "n"])
@@ -62,6 +61,8 @@ def _runs(vocabularies: list[tuple[frozenset[str] | None, int]]):
         return out([None] * len(df), [[w] for w in df], list(df.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabularies: list[tuple[frozenset[str] | None, int]] = shared.value
+        counted = None if any(v is None for v, _ in vocabularies) else frozenset().union(*(v for v, _ in vocabularies))
         df: Counter[str] = Counter()
         for batch in batches:
             docs, found = [], []
@@ -101,18 +102,21 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     short = F.size("words") < span
     least = asked.where(short).agg(F.min(F.size("words"))).first()[0]
     groups = [(asked.where(~short), span)] + ([(asked.where(short), least)] if least else [])
-    rows = cut(texts.mapInArrow(_runs([(_vocabulary(g, vocabulary), n) for g, n in groups]), "doc_id bigint, words array<string>, n bigint"))
+    known = [(_vocabulary(g, vocabulary), n) for g, n in groups]
+    rows = cut(texts.mapInArrow(_runs(docs.sparkSession.sparkContext.broadcast(known)), "doc_id bigint, words array<string>, n bigint"))
     frequency = rows.where("n is not null").groupBy(F.col("words")[0].alias("word")).agg(F.sum("n").alias("df"))
 
     size = F.least(F.lit(span), F.size("words"))
     windows = asked.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("window")).distinct()
     placed = windows.select("item_id", "window", F.posexplode("window").alias("place", "word")).join(frequency, "word")
     prefix = placed.groupBy("item_id", "window").agg(F.min(F.struct("df", "word", "place")).alias("p"), F.count("*").alias("known")).where(F.col("known") == F.size("window"))
-    prefix = prefix.select("item_id", "window", "p.word", "p.place", F.size("window").alias("size"))
+    prefix = cut(prefix.select("item_id", "window", "p.word", "p.place", F.size("window").alias("size")))
 
     # a word of a run with the words round it, as far as a window that holds it can reach
     around = lambda w, i: F.struct(w.alias("word"), F.slice("words", F.greatest(i - span + 1, F.lit(0)) + 1, F.lit(2 * span - 1)).alias("near"), F.least(i, F.lit(span - 1)).alias("at"))
     tokens = rows.where("n is null").select("doc_id", F.inline(F.transform("words", around)))
+    if all(v is not None for v, _ in known):  # so the prefix words are as few
+        tokens = tokens.join(F.broadcast(prefix.select("word").distinct()), "word", "left_semi")
     start = F.col("at") - F.col("place")
     met = tokens.join(prefix, "word").where((start >= 0) & (start + F.col("size") <= F.size("near"))).where(F.slice("near", start + 1, F.col("size")) == F.col("window"))
     return met.select("doc_id", "item_id").distinct()
