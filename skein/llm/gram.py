@@ -29,11 +29,12 @@ BLOCK, PRODUCTS = 256, 4_000_000
 
 
 def _blocks(items: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int")), lambda i: F.slice(items, i * width + 1, F.lit(width)))
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int")), lambda i: F.slice(items, i * width + 1, F.lit(width)))
+    return F.when(F.size(items) > width, cut_up).otherwise(F.array(items))
 
 
 def _clean(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.col(c), lambda x: x.isNotNull())))
+    return F.sort_array(F.array_distinct(F.array_compact(c)))
 
 
 def gram(records: DataFrame, left: str, right: str | None = None, weight: str | None = None, block: int = BLOCK) -> DataFrame:
