@@ -6,8 +6,9 @@ again.  Joins are repaired: at each cut the piece between the nearest certain to
 encoded anew.  A border is certain where a space follows a letter, since no token of a byte-level vocabulary
 with the usual splitting pattern holds a letter before a space and nothing before it changes what follows; so
 the joined ids equal those of the whole text.  Where a text has no such border, the repair grows to the whole
-text.  Reuse reaches as far as one Python worker's memory of chunks, which spans its tasks; chunks are not
-shuffled to be encoded once in the whole cluster, as moving them and their ids costs more than encoding.
+text.  Reuse reaches as far as one Python worker's memory of chunks, which spans its tasks.  ``encode_shared`` has
+each chunk encoded once in the whole cluster instead; the query does without it, as moving chunks and ids costs more
+than encoding them.
 
 Null and empty texts give an empty list.  Texts are encoded exactly as stored, special tokens' strings as
 ordinary text.  Every input row gives one row.  Extra columns are ignored.
@@ -16,6 +17,7 @@ ordinary text.  Every input row gives one row.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.runtime import ship, table
+from skein.runtime import cut, ship, table
 
 #: Splitting pattern of the vocabulary, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -126,6 +128,30 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str | None =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encoded(path or vocabulary_path()), f"doc_id {kind}, ids array<int>")
 
 
+def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(start, TEXTS)
+            parts, of = pieces([t or "" for t in part.column(1).to_pylist()])
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(place.astype(np.int32)), pa.array([hashlib.md5(p.encode()).digest() for p in parts], pa.binary()), pa.array(parts, pa.string())], ["row", "place", "key", "piece"])
+
+
+def encode_shared(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
+    """(doc_id, ids) as ``encode_texts`` gives, but with every different piece encoded once in the whole cluster.
+
+    Pieces are brought together by their MD5, encoded, joined back and put together by row.  This moves all texts
+    and all ids, so it pays only where encoding costs much more than moving (see the README for figures).
+    """
+    ship(docs.sparkSession)
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    parts = cut(rows.select("row", "text").mapInArrow(_cut_up, "row bigint, place int, key binary, piece string"))
+    once = parts.groupBy("key").agg(F.any_value("piece").alias("piece"))
+    known = once.mapInArrow(_encoded(path or vocabulary_path()), "doc_id binary, ids array<int>").withColumnRenamed("doc_id", "key")
+    whole = parts.select("row", "place", "key").join(known, "key").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("p"))
+    return rows.select("row", "doc_id").join(whole, "row", "left").select("doc_id", F.coalesce(F.flatten(F.transform("p", lambda x: x["ids"])), F.array().cast("array<int>")).alias("ids"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "doc_id", "text")
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skein.llm.conversations import bare, conversations
-from skein.llm.encoding import Encoder, encode_texts, pieces, vocabulary_path
+from skein.llm.encoding import Encoder, encode_shared, encode_texts, pieces, vocabulary_path
 from skein.llm.leaks import leaks, words_of
 from skein.llm.spans import Shared, _codes, signatures
 from pyspark.sql import functions as F
@@ -63,6 +63,8 @@ def test_encoding_of_documents(spark, sf):
     got = sorted((r.doc_id, r.ids) for r in encode_texts(extra, "doc_id", "text").collect())
     assert got == sorted((r.doc_id, _ENCODER.encode(r.text or "")) for r in extra.collect())
     assert encode_texts(docs.limit(0), "doc_id", "text").collect() == []
+    assert sorted((r.doc_id, r.ids) for r in encode_shared(extra, "doc_id", "text").collect()) == got
+    assert encode_shared(docs.limit(0), "doc_id", "text").collect() == []
 
 
 def test_chunks_are_shared_by_shared_passages():
