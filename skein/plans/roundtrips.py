@@ -6,6 +6,10 @@ Their SQL says what must come back, from the same tables.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice, takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,11 +119,10 @@ def _queue(s: SparkSession, d: str) -> DataFrame:
 
 
 def serve(user: str, max_id: int | None, since_id: int, count: int, path: str) -> list[tuple]:
-    """A page of a user's rows of a table, newest first: the service of ``paged``."""
-    c = _reader(path)
-    most = 1 << 62 if max_id is None else max_id
-    rows = c.to_table(filter=(c.field_("username") == user) & (c.field_("id") <= most) & (c.field_("id") > since_id), columns=["id", "tw_text", "username", "created_at"]).sort_by([("id", "descending")])
-    return [tuple(r.values()) for r in rows.slice(0, count).to_pylist()]
+    """A page of a user's rows of a table by user and id, newest first: the service of ``paged``."""
+    most = (1 << 63) - 1 if max_id is None else max_id
+    mine = takewhile(lambda r: r[2] == user and r[0] > since_id, _sorted(path, ("username", "id")).down((user, most)))
+    return list(islice(mine, count))
 
 
 def find(ids: list[int], path: str) -> list[tuple]:
@@ -136,23 +139,73 @@ class _reader:
         self.field_, self.to_table = ds.field, ds.dataset(at, filesystem=files, format="parquet").to_table
 
 
-def _service(s: SparkSession, d: str) -> str:
+#: Rows of a block of a service's table, the least that is read of it; blocks that a process holds.
+BLOCK, HELD = 4096, 4
+
+
+class _Sorted:
+    """A table sorted by unique keys, as a service has it: the first key of each block is held, and the blocks read last."""
+
+    def __init__(self, path: str, by: tuple[str, ...]) -> None:
+        from pyarrow import fs
+        from pyarrow.parquet import ParquetFile
+
+        self.files, at = readers._open(path)
+        self.by, self.found, self.block = by, [], lru_cache(HELD)(self._block)
+        for f in self.files.get_file_info(fs.FileSelector(at)):
+            if f.base_name.endswith(".parquet"):
+                with self.files.open_input_file(f.path) as opened:
+                    p = ParquetFile(opened)
+                    for g in range(p.num_row_groups):
+                        first = next(p.iter_batches(1, [g], list(by))).select(list(by)).to_pylist()[0]
+                        self.found.append((tuple(first.values()), f.path, g, p.metadata))
+        self.found.sort(key=lambda b: b[0])
+        self.firsts = [b[0] for b in self.found]
+
+    def _block(self, i: int) -> tuple[list[tuple], list[tuple]]:
+        from pyarrow.parquet import ParquetFile
+
+        _, at, group, metadata = self.found[i]
+        with self.files.open_input_file(at) as f:
+            t = ParquetFile(f, metadata=metadata).read_row_group(group, list(TOLD))
+        columns = {c: t[c].to_pylist() for c in TOLD}
+        return list(zip(*[columns[c] for c in self.by])), list(zip(*columns.values()))
+
+    def down(self, key: tuple) -> Iterator[tuple]:
+        """The rows from ``key`` downwards."""
+        for i in reversed(range(bisect_right(self.firsts, key))):
+            keys, rows = self.block(i)
+            for j in reversed(range(bisect_right(keys, key))):
+                yield rows[j]
+
+
+#: The table of the last call, by process.
+_sorted = lru_cache(1)(_Sorted)
+
+#: What the services tell of a tweet.
+TOLD = ("id", "tw_text", "username", "created_at")
+
+
+def _service(s: SparkSession, d: str, *by: str) -> str:
+    """A folder of tweets sorted by ``by``, in blocks; those without a key cannot be asked for."""
     for source in (readers.PagedSource, readers.LookupSource):
         s.dataSource.register(source)
     path = _folder(s)
-    fr.tweets_once(s, d, "tw_text", "username", "created_at").write.parquet(path)
+    t = fr.tweets_once(s, d, *TOLD[1:]).dropna(subset=list(by))
+    t.orderBy(*by).write.option("parquet.block.row.count.limit", BLOCK).parquet(path)
     return path
 
 
-def _lines(s: SparkSession, df: DataFrame, parts: int = 8) -> str:
-    path = _folder(s)
-    df.select(F.col(df.columns[0]).cast("string")).repartition(parts).write.text(path)
+def _lines(s: SparkSession, df: DataFrame) -> str:
+    """A folder of files with a key a line, in the order of the keys: neighbours are in the same blocks of a service."""
+    path, key = _folder(s), F.col(df.columns[0])
+    df.repartitionByRange(max(8, s.sparkContext.defaultParallelism), key).sortWithinPartitions(key).select(key.cast("string")).write.text(path)
     return path
 
 
 def _paged(s: SparkSession, d: str) -> DataFrame:
     """The timelines of all partners that write themselves, above an id, page by page."""
-    service = _service(s, d)
+    service = _service(s, d, "username", "id")
     t = fr.tweets_once(s, d, "username", "in_reply_to_username")
     users = t.select("username").distinct().join(t.select(F.col("in_reply_to_username").alias("username")).distinct(), "username", "left_semi")
     options = {"users_path": _lines(s, users), "since_id": SINCE, "fetch": "skein.plans.roundtrips:serve", "service": service}
@@ -160,7 +213,7 @@ def _paged(s: SparkSession, d: str) -> DataFrame:
 
 
 def _looked_up(s: SparkSession, d: str) -> DataFrame:
-    service = _service(s, d)
+    service = _service(s, d, "id")
     ids = table(s, d, "tweets").where("in_reply_to_id <> 0").select("in_reply_to_id").distinct()
     return s.read.format("lookup").options(ids_path=_lines(s, ids), fetch="skein.plans.roundtrips:find", service=service).load().select("id", "username")
 

@@ -219,12 +219,12 @@ def _keys(options: dict[str, str], name: str) -> list[InputPartition]:
 
 
 def _listed(value: Any) -> list[str]:
-    """The keys of a partition; those of a file are read where the partition is."""
+    """The keys of a partition; those of a file, its lines, are read where the partition is."""
     if isinstance(value, list):
         return value
     files, at = _open(value)
     with files.open_input_stream(at) as f:
-        return f.read().decode().split()
+        return [k for k in f.read().decode().replace("\r\n", "\n").split("\n") if k.strip()]
 
 
 def _called(options: dict[str, str], *values: Any) -> list[tuple]:
