@@ -52,3 +52,18 @@ def test_users_are_lines(spark, tweets):
     service = roundtrips._service(spark, d, "username", "id")
     got = spark.read.format("paged").options(users_path=f"{d}/users", fetch="skein.plans.roundtrips:serve", service=service).load()
     assert sorted((r.id, r.username) for r in got.collect()) == sorted((i, u) for i, u in rows if u in ("a b", "hot"))
+
+
+def test_ids_in_order_read_the_table_about_once(spark, tweets):
+    d, rows = tweets
+    service = roundtrips._service(spark, d, "id")
+    ids = sorted(i for i, _ in rows) + [7_777, 40_000]
+    asked = sorted(ids)
+    reader = readers._LookupReader({"fetch": "skein.plans.roundtrips:find", "service": service})
+    got, read = read_by(lambda: [r for n in range(0, len(asked), 100) for r in reader.read(readers._Part([str(i) for i in asked[n : n + 100]]))])
+    assert sorted((r[0], r[2] or "") for r in got) == sorted((i, u or "") for i, u in rows)
+    assert read < 4 * size(service)
+    assert [r[0] for r in roundtrips.find([30_001, 5, 5, -1, TOP], service)] == [5, 30_001, TOP]
+    looked_up = roundtrips.QUERIES["s3_looked_up_tweets"](spark, d).collect()
+    wanted = {i - 1 for i, _ in rows if i % 2} - {0}
+    assert sorted((r.id, r.username or "") for r in looked_up) == sorted((i, u or "") for i, u in rows if i in wanted)
