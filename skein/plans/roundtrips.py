@@ -346,9 +346,8 @@ def _gold_correlation(s: SparkSession, d: str) -> DataFrame:
 
 
 def _database(s: SparkSession, d: str) -> DataFrame:
-    """Written to a database of this process and read in parallel ranges of the key; for one machine only."""
-    url = f"jdbc:derby:memory:trip{uuid.uuid4().hex};create=true"
-    fr.counts(s, d).write.jdbc(url, "post_cnt", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    """Imported into a database, which is put where all processes can open it, and read in parallel ranges of the key."""
+    url = sinks.write_database(fr.counts(s, d), "post_cnt", _folder(s))
     return readers.read_database(s, url, "post_cnt", "post_md5", (0, 1 << 32), 4)
 
 

@@ -7,9 +7,14 @@ Deltas are merged by aggregation: counters are associative, so increments may be
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +145,47 @@ def quarantine(facts: DataFrame, path: str) -> DataFrame:
     if not bad.isEmpty():
         bad.select("_corrupt").write.mode("append").text(f"{path}/__trash__")
     return facts.where("_corrupt is null")
+
+
+def write_database(df: DataFrame, table: str, path: str) -> str:
+    """Puts ``df``, of numbers, as a table into a new embedded database under ``path``; returns the address to read it.
+
+    An embedded database is written by one process and not seen by others, so the tasks write files, the driver's
+    database imports them one by one, and the closed database is packed into one file that all processes open at
+    once to read.  It is opened by its name, so ``path`` must be in a folder that is mounted on all machines.
+    """
+    spark = df.sparkSession
+    fs, rows = _files(spark, f"{path}/rows")
+    if fs.getScheme() != "file":
+        raise ValueError(f"{path}: an embedded database is read from a mounted folder")
+    df.write.csv(f"{path}/rows")
+    sql, work = spark._jvm.java.sql, Path(tempfile.mkdtemp(prefix="skein-db-"))
+    try:
+        url = f"jdbc:derby:{work}/db"
+        c = sql.DriverManager.getConnection(f"{url};create=true")
+        try:
+            c.createStatement().execute(f"create table {table} (" + ", ".join(f'"{name}" {kind}' for name, kind in df.dtypes) + ")")
+            load = c.prepareCall("call syscs_util.syscs_import_table(null, ?, ?, ',', '\"', 'UTF-8', 0)")
+            load.setString(1, table.upper())
+            for f in fs.listStatus(rows):
+                if f.getLen() and f.getPath().getName().startswith("part-"):
+                    load.setString(2, f.getPath().toUri().getPath())
+                    load.execute()
+        finally:
+            c.close()
+            try:
+                sql.DriverManager.getConnection(f"{url};shutdown=true")
+            except Py4JJavaError as e:  # how the database says that it is closed
+                if e.java_exception.getSQLState() != "08006":
+                    raise
+        packed = work / "packed.jar"
+        with zipfile.ZipFile(packed, "w") as z:  # stored, so pages are found without reading what is before them
+            for f in sorted((work / "db").rglob("*")):
+                if f.is_file() and f.name not in ("db.lck", "dbex.lck"):
+                    z.write(f, f.relative_to(work))
+        at = _files(spark, f"{path}/{table}.jar")[1]
+        fs.copyFromLocalFile(False, True, _files(spark, f"file://{packed}")[1], at)
+    finally:
+        shutil.rmtree(work, ignore_errors=True)
+    fs.delete(rows, True)
+    return f"jdbc:derby:jar:({at.toUri().getPath()})db"

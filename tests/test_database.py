@@ -1,0 +1,27 @@
+"""The database query where executors are processes of their own."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+from skein.plans import catalog
+from tests.oracle import connect
+
+REPO = Path(__file__).resolve().parent.parent
+RUN = """
+import sys
+from skein.plans import catalog
+from skein.runtime import session
+
+spark = session("local-cluster[2,1,1024]", 4, **{"spark.executor.memory": "1g", "spark.driver.memory": "1g", "spark.checkpoint.dir": f"file://{sys.argv[1]}/shared"})
+rows = catalog.QUERIES["s9_database"](spark, sys.argv[2]).collect()
+print("ROWS", sorted(map(tuple, rows)))
+"""
+
+
+def test_database_is_read_by_other_processes(tmp_path):
+    folder = "/root/testdata/sf0.001"
+    done = subprocess.run([sys.executable, "-c", RUN, str(tmp_path), folder], cwd=REPO, capture_output=True, text=True, timeout=240)
+    want = sorted(connect(folder).execute(catalog.SQL["s9_database"]).fetchall())
+    assert f"ROWS {want}" in done.stdout, done.stderr[-2000:]
+    assert want
