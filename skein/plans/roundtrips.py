@@ -19,7 +19,7 @@ from skein.functions import analysis, scalars
 from skein.functions.scalars import day, to_time
 from skein.operators import api, crawl, evaluate, profiles, topics
 from skein.plans import frames as fr
-from skein.runtime import shared_folder, table
+from skein.runtime import shared_folder, ship, table
 from skein.schemas import read_or_empty
 from skein.sources import readers, sinks
 from skein.streaming import jobs
@@ -180,6 +180,7 @@ TOLD = ("id", "tw_text", "username", "created_at")
 
 def _service(s: SparkSession, d: str, *by: str) -> str:
     """A folder of tweets sorted by ``by``, in blocks; those without a key cannot be asked for."""
+    ship(s)  # a source takes along the packages that are there when it is registered
     for source in (readers.PagedSource, readers.LookupSource):
         s.dataSource.register(source)
     path = _folder(s)
